@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, quality
+from . import langid, mixing, ngram_join, packing, pii, quality
 from .shared import Scratch, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(spark, load(spark, sf_dir, "documents"))
+
+
 @query
 def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, load(spark, sf_dir, "documents"), tokenizer_file())
