@@ -6,12 +6,12 @@ fixed size over all documents; any order gives right results, a good one gives f
 
 1. Equal sets become one node; its n-grams beyond the first few of the order cannot decide alone.
 2. A node posts the n-grams of its prefix (so many of its first that two sets that link must share one).
-   Within an n-gram, a node is paired with the first node of its size class and of the class below:
-   as many pairs as postings, however large a group is.
+   Within an n-gram, a node is paired with the most central node of another component, in its size class
+   and in the class below: as many pairs as postings, however large a group is. This runs ROUNDS times.
 3. Candidate pairs are counted exactly: the order is cut into FRAGMENTS ranges, each node's n-grams are
    cut with it, the overlap of a pair is counted in each range by itself, and the counts are summed per
    pair. The pair links if the sum reaches the threshold.
-4. Links are contracted to components. Postings whose nodes all lie in one component have nothing left
+4. Links are contracted to components after each round. Then postings whose nodes all lie in one component have nothing left
    to say; in all others each pair across two components with fitting sizes is counted as in 3, and
    components are contracted once more. So no link between different components is missed, and copies
    are never expanded into all their pairs.
@@ -40,6 +40,8 @@ FRAGMENTS = 16  # half for n-grams of usual frequency, half for frequent ones
 SKETCH_BITS = 20
 SLICES = 16
 BLOOM_BITS = 24
+#: Turns in which nodes are paired with leaders only, before pairs across components are all tried.
+ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts anew.
 WORD_MEMORY = 500_000
 _P = np.uint64(0x9DDFEA08EB382D69)
@@ -159,7 +161,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """(token, node, size, class) for the prefix of each set; a task posts equal sets once."""
+    """(token, pos, node, size, class) for the prefix of each set; a task posts equal sets once."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -178,10 +180,10 @@ def _postings(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
                 lengths.append(len(tokens[-1]))
             if tokens:
                 kinds = [size_class(s, percent) for s in sizes]
-                columns = [np.concatenate(tokens), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(kinds, np.int32), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "class"])
+                columns = [np.concatenate(tokens), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(kinds, np.int32), lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "pos", "node", "size", "class"])
 
-    return docs.select("text").mapInArrow(run, "token long, node long, size int, class int")
+    return docs.select("text").mapInArrow(run, "token long, pos int, node long, size int, class int")
 
 
 def _bloom(nodes: DataFrame) -> np.ndarray:
@@ -249,8 +251,49 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, pe
     return summed.where(100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b")
 
 
-def _fits(percent: int):
-    return (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
+def _possible(percent: int):
+    """Sizes fit, and what follows the shared n-gram in both orders is enough for the threshold.
+
+    Nothing before a pair's first shared n-gram is shared, so a pair that links passes there; rows of
+    later n-grams are judged more strictly still, which loses no pair.
+    """
+    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    rest = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    return fits & ((100 + percent) * rest >= percent * (F.col("size_a") + F.col("size_b"))) & (F.col("a") != F.col("b"))
+
+
+def _led(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node with the most central node of another component, in its class and the one below, per n-gram."""
+    in_class, below = Window.partitionBy("token", "class"), Window.partitionBy("token").orderBy("class").rangeBetween(-1, -1)
+    named = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lead = F.struct("score", "node", "size", "pos", "component")
+    named = named.withColumn("first", F.max(lead).over(in_class))
+    named = named.withColumn("second", F.max(F.when(F.col("component") != F.col("first.component"), lead)).over(in_class))
+    named = named.withColumn("first_below", F.max("first").over(below)).withColumn("second_below", F.max("second").over(below))
+    other = lambda one, two: F.when(F.col("component") != F.col(f"{one}.component"), F.col(one)).otherwise(F.col(two))
+    b = F.explode(F.array_compact(F.array(other("first", "second"), other("first_below", "second_below"))))
+    both = named.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), b.alias("b"))
+    both = both.select("a", "size_a", "pos_a", F.col("b.node").alias("b"), F.col("b.size").alias("size_b"), F.col("b.pos").alias("pos_b"))
+    return both.where(_possible(percent)).select(*_sorted_pair()).distinct()
+
+
+def _sorted_pair() -> list:
+    """a, b, size_a, size_b with the smaller node first."""
+    turn = F.col("a") > F.col("b")
+    return [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("size_a", "size_b"), ("size_b", "size_a"))]
+
+
+def _across(posted: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs of nodes of different components that share a posted n-gram and may link."""
+    at_token = Window.partitionBy("token")
+    named = posted.select("token", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = scratch.keep(
+        named.withColumn("least", F.min("component").over(at_token)).withColumn("most", F.max("component").over(at_token))
+        .where(F.col("least") != F.col("most")).drop("least", "most"))
+    x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
+    met = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
+    x, y = x.withColumn("a", F.col("node_a")), y.withColumn("b", F.col("node_b"))
+    return x.join(y, (x.token == y.token) & met & _possible(percent)).select("a", "b", "size_a", "size_b").distinct()
 
 
 def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -262,36 +305,28 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int
     frequent = spark.sparkContext.broadcast(sketch >= max(8, 4 * sketch.mean()))
     rows = passed.where(F.col("slice").isNull()).select("doc_id", "node", "n_shingles")
 
-    at_token, in_class = Window.partitionBy("token"), Window.partitionBy("token", "class")
-    below = at_token.orderBy("class").rangeBetween(-1, -1)
-    first = F.struct("node", "size")
+    at_token = Window.partitionBy("token")
     posted = _postings(docs, n, percent, frequent).repartition("token")
     posted = (
-        posted.withColumn("own", F.min(first).over(in_class)).withColumn("lower", F.min("own").over(below))
-        .withColumn("least", F.min("node").over(at_token)).withColumn("most", F.max("node").over(at_token))
-        .where(F.col("least") != F.col("most")).drop("least", "most")
+        posted.withColumn("least", F.min("node").over(at_token)).withColumn("most", F.max("node").over(at_token))
+        .where(F.col("least") != F.col("most")).drop("least", "most").distinct()
     )
     posted = scratch.keep(posted)
-    lead = posted.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.explode(F.array_compact(F.array("own", "lower"))).alias("b"))
-    pairs = scratch.keep(lead.select("a", F.col("b.node").alias("b"), "size_a", F.col("b.size").alias("size_b")).where(_fits(percent)).distinct())
-    links = scratch.keep(_verified(spark, docs, pairs, n, percent, frequent))
-    joined = components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    named = posted.select("token", "node", "size", "class").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = scratch.keep(
-        named.withColumn("least", F.min("component").over(at_token)).withColumn("most", F.max("component").over(at_token))
-        .where(F.col("least") != F.col("most")).select("token", "node", "size", "component").distinct())
-    x = open_.select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    across = x.join(y, (x.token == y.token) & (x.a < y.b) & (x.component_a != y.component_b) & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-    rest = across.select("a", "b", "size_a", "size_b").distinct()
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.keep(rest.join(seen, ["a", "b"], "left_anti"))
-    more = scratch.keep(_verified(spark, docs, rest, n, percent, frequent))
-    joined = scratch.keep(components(scratch, links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    # a node most of whose prefix is shared lies in the middle of its group
+    score = posted.groupBy("node").agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
+    posted = scratch.keep(posted.join(score, "node"))
+    labels = spark.createDataFrame([], "node long, component long")
+    links = tried = None
+    for turn in range(ROUNDS + 1):
+        pairs = _led(posted, labels, percent) if turn < ROUNDS else _across(posted, labels, percent, scratch)
+        pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = scratch.keep(_verified(spark, docs, pairs, n, percent, frequent))
+        links = found if links is None else links.union(found)
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        labels = scratch.keep(components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     smallest = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_doc"))
-    named = smallest.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = smallest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least_doc").alias("component_id"))
     per_node = named.join(ids, "component").select("node", "component_id")
     out = rows.join(per_node, "node", "left")
