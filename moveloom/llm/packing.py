@@ -33,19 +33,45 @@ from .shared import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers; at the bound it forgets them all and starts anew.
-WORD_MEMORY = 400_000
+#: Parts of words whose ids a worker remembers.
+WORD_MEMORY = 600_000
 #: Blocks per length within which ranks are counted; more of them means smaller windows.
 RANK_ROWS = 20_000
 
+#: Letters up to U+017F without the dotted capital I, whose lower case is two characters.
+_LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
+_SIGNS = "!-&(-/:-@\\[-`{-~"
+_PLAIN = re.compile(f"[{_LATIN}0-9{_SIGNS}]+")
+_PLAIN_TEXT = re.compile(f"[{_LATIN}0-9{_SIGNS}\\x20\\t-\\r]*")
+_PARTS = re.compile(f"[{_LATIN}]+|[0-9]|[{_SIGNS}]+")
 _CONTROL_GAPS = re.compile("[\x1c-\x1f]")
 
 
+class _Memory(dict):
+    """Remembers what `make` gave; of two generations the elder goes when the younger is full, so what is frequent stays."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.elder = make, bound // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.bound:
+            self.elder = dict(self)
+            self.clear()
+        found = self.elder.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
 class WordIds:
-    """Token ids of whole texts, word by word.
+    """Token ids of whole texts, part by part.
 
     The tokenizer turns every run of white space into one blank and never joins characters across it,
-    so the ids of a text are those of its words in turn; most words were seen before.
+    so the ids of a text are those of its words in turn; most were seen before. Latin letters, digits and
+    signs are cut as the tokenizer's own pattern cuts them, and the parts go straight to the merge table;
+    in a text that has other characters, words that do go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_file: str, memory: int = WORD_MEMORY):
@@ -53,29 +79,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.memory = memory
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.bytes_as = _byte_letters()
+        self.parts = _Memory(self._part, memory)
+        self.words = _Memory(self._word, memory // 4)
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self.bytes_as.__getitem__, part.encode()))
+        return np.array([t.id for t in self.merge(text)], "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            return b"".join([self.parts[p] for p in _PARTS.findall(word.lower())])
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text, without the end id."""
         if _CONTROL_GAPS.search(text):  # blanks for str.split() but not for the tokenizer
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known = self.known
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > self.memory:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = b"".join([known[w] for w in words])
-        if len(known) > self.memory:
-            known.clear()
-        return out
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if _PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def _byte_letters() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself, or the next unused one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
 def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
