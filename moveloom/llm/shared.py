@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,21 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package where it is not installed: once per context, as a zip file."""
+    context = spark.sparkContext
+    if not getattr(context, "_moveloom_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        name = Path(tempfile.mkdtemp(prefix="moveloom-")) / "moveloom.zip"
+        with zipfile.ZipFile(name, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(name))
+        context._moveloom_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
