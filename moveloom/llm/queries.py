@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, mixing, ngram_join, packing, pii, quality, substrings
+from . import imatch, langid, licenses, mixing, ngram_join, packing, pii, quality, quotes, substrings
 from .shared import Scratch, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, load(spark, sf_dir, "documents"), tokenizer_file())
 
 
+@query
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.chat_rows(spark, load(spark, sf_dir, "conversations"))
+
+
 @query
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_edits(spark, load(spark, sf_dir, "documents"))
@@ -58,6 +63,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(spark, load(spark, sf_dir, "documents"))
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(load(spark, sf_dir, "documents"))
