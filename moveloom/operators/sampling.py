@@ -60,7 +60,7 @@ def weighted_union(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
     """UNION ALL in which each part is listed as often as its weight says."""
     out = None
     for df, weight in parts:
-        copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(weight))).cast("long"))
+        copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(weight).cast("long"))))
         out = copies if out is None else out.unionByName(copies)
     return out
 
