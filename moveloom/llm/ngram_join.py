@@ -1,24 +1,29 @@
 r"""Jaccard join on word n-grams by vertical partitioning (operator 1).
 
-A document's set holds its distinct n-grams of lower-cased words. All n-grams have one global order:
-those of no more than usual frequency first, each class by hash. The frequencies come from a sketch of
-fixed size over all documents; any order gives right results, a good one gives few candidates.
+A document's set holds its distinct n-grams of lower-cased words. All n-grams have one global order: by the
+number of sets that have them, rare ones first, then by hash.
 
-1. Equal sets become one node; its n-grams beyond the first few of the order cannot decide alone.
+1. Equal sets become one node. The order is cut into ranges of hashes first: each n-gram goes to its range in
+   packed arrays, and those that other sets have too are sent back. An n-gram of one set only can't overlap,
+   so a set is dropped unless enough of it is shared; among the sets left this is counted once more, exactly.
 2. A node posts the n-grams of its prefix (so many of its first that two sets that link must share one).
    Within an n-gram, a node is paired with the most central node of another component, in its size class
    and in the class below: as many pairs as postings, however large a group is. This runs ROUNDS times.
 3. Candidate pairs are counted exactly: the order is cut into FRAGMENTS ranges, each node's n-grams are
    cut with it, the overlap of a pair is counted in each range by itself, and the counts are summed per
    pair. The pair links if the sum reaches the threshold.
-4. Links are contracted to components after each round. Then postings whose nodes all lie in one component have nothing left
-   to say; in all others each pair across two components with fitting sizes is counted as in 3, and
-   components are contracted once more. So no link between different components is missed, and copies
-   are never expanded into all their pairs.
+4. Links are contracted to components after each round. Then postings whose nodes all lie in one component
+   have nothing left to say; in all others each pair across two components that may still link is counted
+   as in 3, and components are contracted once more. So no link between different components is missed, and
+   copies are never expanded into all their pairs.
+
+An n-gram that several sets of one chunk have goes to its range once; the sets stay with the chunk. So what
+a very common n-gram sends does not grow with its documents but with the chunks.
 
 Defined cases: a null or blank text has an empty set and stays alone; a text with fewer words than n has
 one n-gram, its whole sequence; equal texts have equal sets and share a component; ids that occur on
-several rows get a row each; an empty table gives an empty table. Whole texts are read.
+several rows get a row each, null ids give way to others in a component; an empty table gives an empty
+table. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -29,21 +34,24 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import components
 from .shared import Scratch
 
 N = 4
 PERCENT = 85
-FRAGMENTS = 16  # half for n-grams of usual frequency, half for frequent ones
-SKETCH_BITS = 20
-SLICES = 16
-BLOOM_BITS = 24
+FRAGMENTS = 8
 #: Turns in which nodes are paired with leaders only, before pairs across components are all tried.
 ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts anew.
 WORD_MEMORY = 500_000
+#: n-grams of a chunk of sets, sets of a chunk, and documents per hash range.
+CHUNK_GRAMS = 400_000
+CHUNK_SETS = 60_000
+RANGE_DOCS = 2_500
+#: An n-gram is known by so many bits of its hash.
+GRAM_BITS = 48
+NO_ID = -(1 << 63)
 _P = np.uint64(0x9DDFEA08EB382D69)
 
 
@@ -82,7 +90,7 @@ class Shingler:
         for k in range(width):
             out = (out + h[k : m - width + 1 + k]) * _P
             out ^= out >> np.uint64(31)
-        return np.unique(_mixed(out))
+        return np.unique(_mixed(out) >> np.uint64(64 - GRAM_BITS))
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -92,161 +100,138 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def ordered(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """n-grams as numbers that sort in the global order: class, then hash."""
-    heavy = frequent[hashes & np.uint64((1 << SKETCH_BITS) - 1)]
-    return np.sort(((heavy.astype(np.uint64) << np.uint64(62)) | (hashes >> np.uint64(2))).astype(np.int64))
-
-
-def prefix_length(size: int, percent: int) -> int:
-    """Sets that reach the threshold share one of so many first n-grams."""
-    return size - -(-percent * size // 100) + 1
+def _ranges_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+    return ((grams >> np.uint64(GRAM_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def size_class(size: int, percent: int) -> int:
-    """Sizes that may link lie in the same class or in neighbouring ones."""
-    return int(math.log(size) / -math.log(percent / 100) + 1e-9)
+_POSTED = "range int, chunk string, kind int, low binary, mid binary, place binary, ids binary"
 
 
-def _sum_slices(rows: DataFrame, kind: str, width: int) -> np.ndarray:
-    """Adds (or ors) partial arrays, slice by slice, streaming; the result has a fixed size."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(b, np.uint16 if kind == "add" else np.uint8)
-                if s not in total:
-                    total[s] = part.astype(np.int64 if kind == "add" else np.uint8)
-                elif kind == "add":
-                    total[s] += part
-                else:
-                    total[s] |= part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "part"])
-
-    summed = rows.repartition(SLICES, "slice").mapInArrow(run, "slice int, part binary").collect()
-    out = np.zeros((SLICES, width), np.int64 if kind == "add" else np.uint8)
-    for r in summed:
-        out[r.slice] = np.frombuffer(r.part, out.dtype)
-    return out.reshape(-1)
-
-
-def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, node, n_shingles), and per task the slices of its sketch (slice, part)."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("slice", T.IntegerType()), T.StructField("part", T.BinaryType())])
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
+    """Packed n-grams with the numbers of their sets in the chunk.
 
-        shingler, sketch, kind = Shingler(n), np.zeros(1 << SKETCH_BITS, np.int64), None
-        low = np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
-            kind, nodes, sizes, held = batch.schema.field(0).type, [], [], []
-            for text in batch.column(1):
-                h = shingler.hashes(text.as_py())
-                held.append(h & low)
-                nodes.append(node_of(h))
-                sizes.append(len(h))
-            if held:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(sketch))
-            rows = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=schema.names)
-        if kind is not None:
-            parts = np.minimum(sketch, 65535).astype(np.uint16).reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, kind), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _postings(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """(token, pos, node, size, class) for the prefix of each set; a task posts equal sets once."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        shingler, seen = Shingler(n), set()
-        for batch in batches:
-            tokens, nodes, sizes, lengths = [], [], [], []
-            for text in batch.column(0):
-                h = shingler.hashes(text.as_py())
-                if not len(h) or (node := node_of(h)) in seen:
-                    continue
-                seen.add(node)
-                tokens.append(ordered(h, frequent.value)[: prefix_length(len(h), percent)])
-                nodes.append(node)
-                sizes.append(len(h))
-                lengths.append(len(tokens[-1]))
-            if tokens:
-                kinds = [size_class(s, percent) for s in sizes]
-                columns = [np.concatenate(tokens), np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), np.repeat(np.array(kinds, np.int32), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "pos", "node", "size", "class"])
-
-    return docs.select("text").mapInArrow(run, "token long, pos int, node long, size int, class int")
-
-
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A fixed number of bits that tell most other nodes from these."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        bits, rows = np.zeros(1 << BLOOM_BITS, bool), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for place in _bloom_places(batch.column(0).to_numpy()):
-                bits[place] = True
-        if rows:
-            parts = np.packbits(bits).reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part"])
-
-    return _sum_slices(nodes.mapInArrow(run, "slice int, part binary"), "or", (1 << BLOOM_BITS) // 8 // SLICES)
-
-
-def _bloom_places(nodes: np.ndarray) -> list[np.ndarray]:
-    h = nodes.astype(np.int64).view(np.uint64)
-    return [(h >> np.uint64(64 - BLOOM_BITS)).astype(np.int64), ((h * _P) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)]
-
-
-def _segments(docs: DataFrame, n: int, frequent, wanted) -> DataFrame:
-    """(node, fragment, tokens) of the wanted nodes, a row for each fragment that holds any."""
+    Kind 1: n-grams of one set of the chunk, by range. Kind 2: one mention each of those of several sets, by
+    range. Kind 0, once per chunk: its sets (node, size), its documents (id, number of the set), and the
+    n-grams of several sets with those sets.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        shingler, task, number = Shingler(n), TaskContext.get().partitionId(), 0
+        nodes: dict[int, int] = {}
+        held: list[np.ndarray] = []
+        ids: list[tuple[int, int]] = []
+        size = 0
+
+        def packed(grams, sets):
+            return (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (grams >> np.uint64(32)).astype(np.uint16).tobytes(), sets.astype(np.uint16).tobytes()
+
+        def flush():
+            nonlocal nodes, held, ids, size, number
+            chunk, rows = f"{task}-{number}", []
+            grams = np.concatenate(held)
+            sets = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            order = np.argsort(grams, kind="stable")  # ranges of hashes are ranges of this order
+            grams, sets = grams[order], sets[order]
+            equal = grams[1:] == grams[:-1]
+            again = np.concatenate([[False], equal])
+            several = again | np.concatenate([equal, [False]])
+            for kind, some in ((1, ~several), (2, several & ~again)):
+                own, own_sets = grams[some], sets[some]
+                at = _ranges_of(own, ranges)
+                cuts = np.searchsorted(at, np.arange(ranges + 1))
+                for r in np.flatnonzero(np.diff(cuts)):
+                    part = slice(cuts[r], cuts[r + 1])
+                    low, mid, place = packed(own[part], own_sets[part])
+                    rows.append((int(r), kind, low, mid, place if kind == 1 else b"", b""))
+            table = np.stack([np.array(list(nodes), np.int64), np.array([len(h) for h in held], np.int64)]).tobytes()
+            low, mid, place = packed(grams[several], sets[several])
+            rows.append(((task * 31 + number) * 7919 % ranges, 0, low, mid, place, len(held).to_bytes(8, "little") + table + np.array(ids, np.int64).tobytes()))
+            nodes, held, ids, size, number = {}, [], [], 0, number + 1
+            r, k, *parts = zip(*rows, strict=True)
+            columns = [pa.array(r, pa.int32()), pa.array([chunk] * len(r)), pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "kind", "low", "mid", "place", "ids"])
 
-        shingler, seen, bits = Shingler(n), set(), np.unpackbits(wanted.value).astype(bool)
-        shift = 63 - int(math.log2(FRAGMENTS))
         for batch in batches:
-            nodes, fragments, parts, lengths = [], [], [], []
-            for text in batch.column(0):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingler.hashes(text.as_py())
-                if not len(h) or (node := node_of(h)) in seen or not all(bits[p[0]] for p in _bloom_places(np.array([node]))):
-                    continue
-                seen.add(node)
-                tokens = ordered(h, frequent.value)
-                cuts = np.searchsorted(tokens >> shift, np.arange(FRAGMENTS + 1))
-                for f in np.flatnonzero(np.diff(cuts)):
-                    nodes.append(node)
-                    fragments.append(f)
-                    parts.append(tokens[cuts[f] : cuts[f + 1]])
-                    lengths.append(len(parts[-1]))
-            if nodes:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(fragments, pa.int32()), lists], names=["node", "fragment", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, fragment int, tokens array<long>")
-
-
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
+                node = node_of(h)
+                if node not in nodes:
+                    nodes[node] = len(nodes)
+                    held.append(h)
+                    size += len(h)
+                ids.append((NO_ID if doc is None else doc, nodes[node]))
+                if size >= CHUNK_GRAMS or len(nodes) >= CHUNK_SETS or len(ids) >= 4 * CHUNK_SETS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _POSTED)
+
+
+def _grams(low: bytes, mid: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(mid, np.uint16).astype(np.uint64) << np.uint64(32)
+
+
+def _shared(pdf):
+    """Of one range: n-grams of kind 1 that another set has too, by chunk; rows of kind 0 pass."""
+    import pandas as pd
+
+    passed = pdf[pdf.kind == 0].drop(columns="range")
+    rows = pdf[pdf.kind > 0]
+    if not len(rows):
+        return passed
+    parts = [_grams(a, b) for a, b in zip(rows.low, rows.mid, strict=True)]
+    everything = np.concatenate(parts)
+    order = np.argsort(everything, kind="stable")
+    equal = everything[order[1:]] == everything[order[:-1]]
+    twice = np.zeros(len(everything), bool)
+    twice[order[1:]] = equal
+    twice[order[:-1]] |= equal
+    out, at = [], 0
+    for chunk, kind, low, mid, place, part in zip(rows.chunk, rows.kind, rows.low, rows.mid, rows.place, parts, strict=True):
+        flags = twice[at : at + len(part)]
+        at += len(part)
+        if kind == 1 and flags.any():
+            out.append((chunk, 1, *(np.frombuffer(x, t)[flags].tobytes() for x, t in ((low, np.uint32), (mid, np.uint16), (place, np.uint16))), b""))
+    return pd.concat([passed, pd.DataFrame(out, columns=list(passed.columns))])
+
+
+def _sets_of(percent: int):
+    """Of one chunk: its documents (doc_id, node, size), and the sets enough of which is shared (node, size, grams)."""
+
+    def run(pdf):
+        import pandas as pd
+
+        table = pdf[pdf.kind == 0].iloc[0]
+        count = int.from_bytes(table["ids"][:8], "little")
+        node, size = np.frombuffer(table["ids"], np.int64, 2 * count, 8).reshape(2, -1)
+        ids, own = np.frombuffer(table["ids"], np.int64, -1, 8 + 16 * count).reshape(-1, 2).T
+        docs = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "node": node[own], "size": size[own], "grams": None})
+        docs.loc[ids == NO_ID, "doc_id"] = pd.NA
+        grams = np.concatenate([_grams(a, b) for a, b in zip(pdf.low, pdf.mid, strict=True)]).astype(np.int64)
+        sets = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf.place])
+        order = np.argsort(sets, kind="stable")
+        cuts = np.searchsorted(sets[order], np.arange(count + 1))
+        enough = np.flatnonzero((100 * np.diff(cuts) >= percent * size) & (size > 0))
+        found = pd.DataFrame({"doc_id": pd.array([pd.NA] * len(enough), "Int64"), "node": node[enough], "size": size[enough], "grams": [grams[order[cuts[i] : cuts[i + 1]]] for i in enough]})
+        return pd.concat([docs, found])
+
+    return run
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b, size_a, size_b) -> those that link, by overlaps counted per fragment and summed."""
-    wanted = spark.sparkContext.broadcast(_bloom(pairs.select("a").union(pairs.select("b"))))
-    # a set that several tasks met is the same in each: first() per node and fragment keeps one
-    parts = _segments(docs, n, frequent, wanted).groupBy("node", "fragment").agg(F.first("tokens").alias("tokens"))
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    left = cut.join(parts.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("tokens_a")), ["a", "fragment"])
-    both = left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("tokens_b")), ["b", "fragment"])
-    partial = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("part"))
+    shift = GRAM_BITS - int(math.log2(FRAGMENTS))
+    wanted = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    single = wanted.select("node", F.explode("fragments").alias("part"))
+    parts = single.select("node", F.shiftright(F.col("part")[0], shift).alias("fragment"), F.col("part").alias("grams"))
+    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).withColumn("fragment", F.col("fragment").cast("long"))
+    left = cut.join(parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), ["a", "fragment"])
+    both = left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
+    partial = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
     return summed.where(100 * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b")
 
@@ -264,7 +249,7 @@ def _possible(percent: int):
 
 def _led(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of each node with the most central node of another component, in its class and the one below, per n-gram."""
-    in_class, below = Window.partitionBy("token", "class"), Window.partitionBy("token").orderBy("class").rangeBetween(-1, -1)
+    in_class, below = Window.partitionBy("gram", "class"), Window.partitionBy("gram").orderBy("class").rangeBetween(-1, -1)
     named = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = F.struct("score", "node", "size", "pos", "component")
     named = named.withColumn("first", F.max(lead).over(in_class))
@@ -285,42 +270,57 @@ def _sorted_pair() -> list:
 
 def _across(posted: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs of nodes of different components that share a posted n-gram and may link."""
-    at_token = Window.partitionBy("token")
-    named = posted.select("token", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at_gram = Window.partitionBy("gram")
+    named = posted.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = scratch.keep(
-        named.withColumn("least", F.min("component").over(at_token)).withColumn("most", F.max("component").over(at_token))
+        named.withColumn("least", F.min("component").over(at_gram)).withColumn("most", F.max("component").over(at_gram))
         .where(F.col("least") != F.col("most")).drop("least", "most"))
-    x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
+    x, y = (open_.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
     met = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
     x, y = x.withColumn("a", F.col("node_a")), y.withColumn("b", F.col("node_b"))
-    return x.join(y, (x.token == y.token) & met & _possible(percent)).select("a", "b", "size_a", "size_b").distinct()
+    return x.join(y, (x.gram == y.gram) & met & _possible(percent)).select("a", "b", "size_a", "size_b").distinct()
+
+
+def _counted(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
+    """Sets (node, size, fragments, order): n-grams of two sets or more, by range and in the global order; sets with enough of them."""
+    single = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")).select("node", "size", F.explode("grams").alias("gram"))
+    counted = single.withColumn("n_sets", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n_sets > 1")
+    again = counted.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n_sets", "gram"))).alias("order"))
+    again = again.where(100 * F.size("order") >= percent * F.col("size")).withColumn("order", F.transform("order", lambda x: x["gram"]))
+    shift = GRAM_BITS - int(math.log2(FRAGMENTS))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda k: F.filter("order", lambda g: F.shiftright(g, shift) == k))
+    return scratch.keep(again.select("node", "size", "order", F.filter(cut, lambda p: F.size(p) > 0).alias("fragments")))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(gram, pos, node, size, class, score) of each set's prefix; n-grams of one set stand first in the order and are passed over."""
+    alone = F.col("size") - F.size("order")
+    prefix = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / F.lit(100.0)) + 1 - alone
+    kind = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
+    score = F.size("order") / F.col("size")  # a set most of which is shared lies in the middle of its group
+    taken = sets.where(prefix > 0).select("node", "size", kind.alias("class"), score.alias("score"), alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "gram"))
+    return taken.select("gram", (F.col("alone") + F.col("at")).cast("int").alias("pos"), "node", "size", "class", "score")
 
 
 def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row per row of docs."""
     docs = docs.select("doc_id", "text")
     scratch = Scratch(spark)
-    passed = scratch.keep(_first_pass(docs, n))
-    sketch = _sum_slices(passed.where(F.col("slice").isNotNull()).select("slice", "part"), "add", (1 << SKETCH_BITS) // SLICES)
-    frequent = spark.sparkContext.broadcast(sketch >= max(8, 4 * sketch.mean()))
-    rows = passed.where(F.col("slice").isNull()).select("doc_id", "node", "n_shingles")
-
-    at_token = Window.partitionBy("token")
-    posted = _postings(docs, n, percent, frequent).repartition("token")
-    posted = (
-        posted.withColumn("least", F.min("node").over(at_token)).withColumn("most", F.max("node").over(at_token))
-        .where(F.col("least") != F.col("most")).drop("least", "most").distinct()
-    )
-    posted = scratch.keep(posted)
-    # a node most of whose prefix is shared lies in the middle of its group
-    score = posted.groupBy("node").agg((F.count(F.lit(1)) / F.first("size")).alias("score"))
-    posted = scratch.keep(posted.join(score, "node"))
+    ranges = int(max(16, docs.count() // RANGE_DOCS))
+    back = _posted(docs, n, ranges).groupBy("range").applyInPandas(_shared, _POSTED.replace("range int, ", ""))
+    found = scratch.keep(back.groupBy("chunk").applyInPandas(_sets_of(percent), "doc_id long, node long, size long, grams array<long>"))
+    rows = found.where("grams is null").select("doc_id", "node", F.col("size").alias("n_shingles"))
+    sets = _counted(scratch, found.where("grams is not null"), percent)
+    posted = scratch.keep(_prefixes(sets, percent))
+
     labels = spark.createDataFrame([], "node long, component long")
     links = tried = None
     for turn in range(ROUNDS + 1):
         pairs = _led(posted, labels, percent) if turn < ROUNDS else _across(posted, labels, percent, scratch)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = scratch.keep(_verified(spark, docs, pairs, n, percent, frequent))
+        if not pairs.limit(1).count():
+            continue
+        found = scratch.keep(_verified(sets, pairs, percent))
         links = found if links is None else links.union(found)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         labels = scratch.keep(components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))

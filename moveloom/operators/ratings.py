@@ -10,22 +10,31 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import elo_of, expected_score
 
-Z95 = 1.959963984540054
+Z95 = 1.96
 
 
 def tally(score: Column) -> list[Column]:
     return [F.sum(F.when(score == v, 1).otherwise(0)).cast("long").alias(n) for v, n in ((1.0, "wins"), (0.5, "draws"), (0.0, "losses"))]
 
 
+def _margin(score: Column, error: Column, edge: float) -> Column:
+    """Half the width of the rating interval around a score, kept off 0 and 1."""
+    low, high = F.greatest(score - Z95 * error, F.lit(edge)), F.least(score + Z95 * error, F.lit(1 - edge))
+    return (elo_of(high) - elo_of(low)) / 2
+
+
 def elo_interval(df: DataFrame) -> DataFrame:
-    """(wins, draws, losses) with score, elo and margin: half the width of the rating interval at 95 %."""
+    """(wins, draws, losses) with n, score, elo and margin at 95 %, by the binomial error of the score.
+
+    A score of 0 or 1 has an infinite rating and margin 0.
+    """
     n = F.col("wins") + F.col("draws") + F.col("losses")
-    score = (F.col("wins") + 0.5 * F.col("draws")) / n
-    variance = (F.col("wins") * F.pow(1 - F.col("score"), 2.0) + F.col("draws") * F.pow(0.5 - F.col("score"), 2.0) + F.col("losses") * F.pow(F.col("score"), 2.0)) / F.col("n")
-    out = df.withColumn("n", n).withColumn("score", score)
-    error = F.sqrt(variance / F.col("n"))
-    low, high = F.greatest(F.col("score") - Z95 * error, F.lit(1e-6)), F.least(F.col("score") + Z95 * error, F.lit(1 - 1e-6))
-    return out.withColumn("elo", elo_of(F.col("score"))).withColumn("margin", (elo_of(high) - elo_of(low)) / 2)
+    out = df.withColumn("n", n).withColumn("score", (F.col("wins") + 0.5 * F.col("draws")) / n)
+    score = F.col("score")
+    inside = (score > 0) & (score < 1)
+    elo = F.when(score <= 0, float("-inf")).when(score >= 1, float("inf")).otherwise(elo_of(score))
+    error = F.sqrt(score * (1 - score) / F.col("n"))
+    return out.withColumn("elo", elo).withColumn("margin", F.when(inside, _margin(score, error, 1e-6)).otherwise(F.lit(0.0)))
 
 
 def trinomial_llr(wins: Column, draws: Column, losses: Column, elo0: float, elo1: float) -> Column:
@@ -51,8 +60,8 @@ def pentanomial(pairs: DataFrame, *by: str) -> DataFrame:
     bins = [F.sum(F.when(F.col("a_points") == k / 2, 1).otherwise(0)).cast("long").alias(f"bin{k}") for k in range(5)]
     out = pairs.groupBy(*by).agg(*bins, F.count(F.lit(1)).alias("pairs"), F.avg(F.col("a_points") / 2).alias("score"), F.var_pop(F.col("a_points") / 2).alias("variance"))
     error = F.sqrt(F.col("variance") / F.col("pairs"))
-    low, high = F.greatest(F.col("score") - Z95 * error, F.lit(1e-6)), F.least(F.col("score") + Z95 * error, F.lit(1 - 1e-6))
-    return out.withColumn("elo", elo_of(F.col("score"))).withColumn("margin", (elo_of(high) - elo_of(low)) / 2)
+    bounded = F.greatest(F.least(F.col("score"), F.lit(1 - 1e-9)), F.lit(1e-9))
+    return out.withColumn("elo", elo_of(bounded)).withColumn("margin", _margin(F.col("score"), error, 1e-9))
 
 
 def running_llr(trials: DataFrame, by: str, order: list[str], points: str, s0: float, s1: float) -> DataFrame:

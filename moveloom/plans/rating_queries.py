@@ -12,14 +12,14 @@ from .registry import PAIRINGS, query
 
 _E = "CASE WHEN {x} > 0 AND {x} < 1 THEN -400.0 * log10(1.0 / ({x}) - 1.0) END"
 _WDL = f"WITH {PAIRINGS}, w AS (SELECT a, (count(*) FILTER (score = 1))::BIGINT AS wins, (count(*) FILTER (score = 0.5))::BIGINT AS draws, (count(*) FILTER (score = 0))::BIGINT AS losses, count(*) AS n FROM p GROUP BY a)"
-_LOW, _HIGH = "greatest(score - 1.959963984540054::DOUBLE * se, 1e-6)", "least(score + 1.959963984540054::DOUBLE * se, 1 - 1e-6)"
+_LOW, _HIGH = "greatest(score - 1.96::DOUBLE * se, 1e-6)", "least(score + 1.96::DOUBLE * se, 1 - 1e-6)"
 
 
 def tallies(spark, sf_dir):
     return pairings(spark, sf_dir).groupBy("a").agg(*R.tally(F.col("score")))
 
 
-@query(f"""{_WDL}, s AS (SELECT *, (wins + 0.5::DOUBLE * draws) / n AS score FROM w), e AS (SELECT *, sqrt((wins * pow(1 - score, 2) + draws * pow(0.5 - score, 2) + losses * pow(score, 2)) / n / n) AS se FROM s)
+@query(f"""{_WDL}, s AS (SELECT *, (wins + 0.5::DOUBLE * draws) / n AS score FROM w), e AS (SELECT *, sqrt(score * (1 - score) / n) AS se FROM s)
 SELECT a, wins, draws, losses, n, round(score, 6) AS score, round({_E.format(x='score')}, 4) AS elo, round(({_E.format(x=_HIGH)} - {_E.format(x=_LOW)}) / 2, 4) AS margin FROM e""")
 def q64_elo_interval(spark, sf_dir):
     out = R.elo_interval(tallies(spark, sf_dir))
@@ -53,7 +53,7 @@ def paired(spark, sf_dir):
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT opening, {', '.join(f'(count(*) FILTER (a_points = {k / 2}))::BIGINT AS bin{k}' for k in range(5))}, count(*) AS pairs, avg(a_points / 2) AS score, var_pop(a_points / 2) AS variance FROM z GROUP BY opening),
 e AS (SELECT *, sqrt(variance / pairs) AS se FROM s)
-SELECT opening, bin0, bin1, bin2, bin3, bin4, pairs, round(score, 6) AS score, round({_E.format(x='score')}, 4) AS elo, round(({_E.format(x=_HIGH)} - {_E.format(x=_LOW)}) / 2, 4) AS margin FROM e""")
+SELECT opening, bin0, bin1, bin2, bin3, bin4, pairs, round(score, 6) AS score, round({_E.format(x='score')}, 4) AS elo, round(({_E.format(x=_HIGH.replace('1e-6', '1e-9'))} - {_E.format(x=_LOW.replace('1e-6', '1e-9'))}) / 2, 4) AS margin FROM e""")
 def q66_pentanomial(spark, sf_dir):
     out = R.pentanomial(paired(spark, sf_dir), "opening")
     return out.select("opening", *(f"bin{k}" for k in range(5)), "pairs", F.round("score", 6).alias("score"), F.round("elo", 4).alias("elo"), F.round("margin", 4).alias("margin"))
