@@ -136,8 +136,10 @@ def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
             order = np.argsort(grams, kind="stable")  # ranges of hashes are ranges of this order
             grams, sets = grams[order], sets[order]
             equal = grams[1:] == grams[:-1]
-            again = np.concatenate([[False], equal])
-            several = again | np.concatenate([equal, [False]])
+            again = np.zeros(len(grams), bool)
+            again[1:] = equal
+            several = again.copy()
+            several[:-1] |= equal
             for kind, some in ((1, ~several), (2, several & ~again)):
                 own, own_sets = grams[some], sets[some]
                 at = _ranges_of(own, ranges)
@@ -182,7 +184,7 @@ def _shared(pdf):
     passed = pdf[pdf.kind == 0].drop(columns="range")
     rows = pdf[pdf.kind > 0]
     if not len(rows):
-        return passed
+        return passed.astype({"chunk": object})
     parts = [_grams(a, b) for a, b in zip(rows.low, rows.mid, strict=True)]
     everything = np.concatenate(parts)
     order = np.argsort(everything, kind="stable")
@@ -196,7 +198,7 @@ def _shared(pdf):
         at += len(part)
         if kind == 1 and flags.any():
             out.append((chunk, 1, *(np.frombuffer(x, t)[flags].tobytes() for x, t in ((low, np.uint32), (mid, np.uint16), (place, np.uint16))), b""))
-    return pd.concat([passed, pd.DataFrame(out, columns=list(passed.columns))])
+    return pd.concat([passed, pd.DataFrame(out, columns=list(passed.columns))]).astype({"chunk": object})
 
 
 def _sets_of(percent: int):
