@@ -117,3 +117,41 @@ def test_book(spark, tmp_path):
 def test_pgn_sink(spark):
     plies = spark.createDataFrame([(1, 2, "e5", "0:09"), (1, 1, "e4", "0:10")], "game int, ply int, move string, clk string")
     assert texts.pgn_of(plies, "game", "ply", "move", "clk").first().movetext == "1. e4 {[%clk 0:10]} e5 {[%clk 0:09]}"
+
+
+def squeezed(board: str, flag: int = 0) -> bytes:
+    nibbles, i = [], 0
+    while i < 64:
+        if board[i] == " ":
+            run = len(board[i:]) - len(board[i:].lstrip(" "))
+            while run:
+                nibbles += [12, min(run, 16) - 1]
+                i += min(run, 16)
+                run -= min(run, 16)
+        else:
+            nibbles.append(boards.NIBBLE_PIECES.index(board[i]))
+            i += 1
+    if len(nibbles) % 2:
+        nibbles.append(15)
+    return bytes([flag]) + bytes(a << 4 | b for a, b in zip(nibbles[::2], nibbles[1::2], strict=True)) + b"\0" * 6
+
+
+def test_nibble_boards(spark):
+    from random import Random
+
+    rng = Random(1)
+    rows = []
+    for i in range(60):
+        board = [" "] * 64
+        for s in rng.sample(range(64), rng.randint(2, 32)):
+            board[s] = rng.choice(boards.NIBBLE_PIECES)
+        rows.append((i, "".join(board), bytearray(squeezed("".join(board), i % 2)), 100 + i))
+    df = spark.createDataFrame(rows, "i int, want string, fen binary, score int").withColumn("depth", F.lit(9))
+    assert all(r.got == r.want for r in df.select("want", boards.decompress(F.col("fen")).alias("got")).collect())
+    got = boards.evaluated_positions(df, 5).collect()
+    assert len(got) == 60
+    for r, (i, board, _, score) in zip(got, rows, strict=True):
+        want = {(7 - s // 8) * 8 + s % 8: (6 if p.islower() else 0) + "PNBRQK".index(p.upper()) for s, p in enumerate(board) if p != " "}
+        assert dict(zip(r.squares, r.pieces, strict=True)) == want and r.men == len(want) and (r.stm, r.score) == ((1, -score) if i % 2 else (0, score))
+    bad = spark.createDataFrame([(bytearray(b"\x04" + b"\xc0" * 20),), (bytearray(b"\x00\x01"),), (bytearray(b"\x00" + b"\x11" * 10 + b"\0" * 6),)], "fen binary")
+    assert [r[0] for r in bad.select(boards.decompress(F.col("fen"))).collect()] == [None, None, None]
