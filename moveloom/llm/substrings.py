@@ -9,8 +9,8 @@ that all suffixes that agree in `width` bytes meet, and only those are sorted th
    if several are equal. Equal windows have equal anchors, and neighbouring windows mostly share theirs, so
    a text becomes a chain of short strings (the windows of one anchor, overlapping), about one for 14 bytes.
 3. Anchor hashes are dealt to buckets, in packed arrays; those that two texts have are sent back.
-4. For these anchors, the strings go to the anchor's bucket. There equal strings become one, and a suffix
-   array of the rest is built by the difference cover (sort sampled triples, recurse on their names, merge the
+4. For these anchors, the strings go to the anchor's bucket. There equal strings become one; of anchors that
+   have several strings then, a suffix array is built by the difference cover (sort sampled triples, recurse on their names, merge the
    remaining suffixes). Neighbours in it that agree in `width` bytes form groups, each with its smallest id.
 5. The windows of a text whose group has a smaller id go back to the text as runs of starts.
 
@@ -39,8 +39,10 @@ SEED = 24
 #: Bytes of text per bucket of anchors, and anchors per packed row before it is dealt.
 BUCKET_BYTES = 8_000_000
 CHUNK_ANCHORS = 400_000
+#: Buckets of strings per bucket of anchors.
+FINER = 4
 #: Symbols in one suffix array; anchors are never split between two, so one anchor may need more.
-BLOCK = 2_000_000
+BLOCK = 500_000
 NO_ID = (1 << 63) - 1
 _M = np.uint64(0x9DDFEA08EB382D69)
 
@@ -67,7 +69,7 @@ def anchors(raw: bytes, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarra
         have, rest = have + part, rest - part
     h = (h ^ (h >> np.uint64(32))) * _M
     h ^= h >> np.uint64(29)
-    at, span, goal = np.arange(len(h), dtype=np.int64), 1, width - seed + 1
+    at, span, goal = np.arange(len(h), dtype=np.int32 if n < 1 << 31 else np.int64), 1, width - seed + 1
     while span < goal:  # argmin over 2, 4, ... seeds; the first of equal ones
         step = min(span, goal - span)
         left, right = at[: len(at) - step], at[step:]
@@ -177,7 +179,7 @@ def _shared(pdf):
     rows = pdf[pdf.kind == 1]
     passed = pdf[pdf.kind == 0][["chunk", "kind", "low", "place"]]
     if not len(rows):
-        return passed
+        return passed.astype({"chunk": object})
     low = [np.frombuffer(x, np.uint32) for x in rows.low]
     everything = np.concatenate(low)
     order = np.argsort(everything, kind="stable")
@@ -192,7 +194,7 @@ def _shared(pdf):
         at += len(x)
         if flags.any():
             out.append((chunk, 1, b"", np.frombuffer(place, np.uint32)[flags].tobytes()))
-    return pd.concat([passed, pd.DataFrame(out, columns=["chunk", "kind", "low", "place"])])
+    return pd.concat([passed, pd.DataFrame(out, columns=["chunk", "kind", "low", "place"])]).astype({"chunk": object})
 
 
 def _by_text(pdf):
@@ -203,12 +205,12 @@ def _by_text(pdf):
     keys, counts = table.low.decode().split("\n"), np.frombuffer(table.place, np.uint32)
     parts = [np.frombuffer(x, np.uint32) for x in pdf[pdf.kind == 1].place]
     if not parts:
-        return pd.DataFrame({"key": [], "shared": []})
+        return pd.DataFrame([], columns=["key", "shared"])
     flagged = np.sort(np.concatenate(parts)).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     cuts = np.searchsorted(flagged, starts)
     own = np.flatnonzero(np.diff(cuts))
-    return pd.DataFrame({"key": [keys[i] for i in own], "shared": [(flagged[cuts[i] : cuts[i + 1]] - starts[i]).astype(np.uint32).tobytes() for i in own]})
+    return pd.DataFrame([(keys[i], (flagged[cuts[i] : cuts[i + 1]] - starts[i]).astype(np.uint32).tobytes()) for i in own], columns=["key", "shared"])
 
 
 def _strings(texts: DataFrame, buckets: int, width: int) -> DataFrame:
@@ -238,7 +240,7 @@ def _strings(texts: DataFrame, buckets: int, width: int) -> DataFrame:
             for c in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[c] : cuts[c + 1]]
                 data = b"".join([held[t][3][s : s + k + width - 1] for t, s, k in zip(text_at[own].tolist(), start[own].tolist(), count[own].tolist(), strict=True)])
-                info = np.stack([text_at[own], start[own], count[own]]).astype(np.uint32)
+                info = np.stack([text_at[own], start[own], count[own], (hashes[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)]).astype(np.uint32)
                 least = np.array([held[t][4] for t in text_at[own].tolist()], np.int64)
                 rows.append((int(c), 1, info.tobytes(), least.tobytes(), data))
             rows.append((hash_text(chunk) % buckets, 0, b"", b"", "\n".join(keys).encode()))
@@ -274,7 +276,7 @@ def _covered(width: int):
         rows = pdf[pdf.kind == 1]
         out = [(c, 0, d) for c, d in zip(pdf.chunk[pdf.kind == 0], pdf.data[pdf.kind == 0], strict=True)]
         if len(rows):
-            info = [np.frombuffer(x, np.uint32).reshape(3, -1) for x in rows["info"]]
+            info = [np.frombuffer(x, np.uint32).reshape(4, -1) for x in rows["info"]]
             least = np.concatenate([np.frombuffer(x, np.int64) for x in rows.least])
             counts = np.concatenate([x[2] for x in info]).astype(np.int64)
             lengths = counts + width - 1
@@ -292,7 +294,11 @@ def _covered(width: int):
             class_count = np.array([len(d) for d in distinct], np.int64) - width + 1
             class_start = np.concatenate([[0], np.cumsum(class_count)])
             group_least = np.empty(class_start[-1], np.int64)
-            for some in _blocks(distinct, width):
+            anchor = np.empty(len(distinct), np.uint32)
+            anchor[kind] = np.concatenate([x[3] for x in info])
+            # the only string of an anchor has no window in common with any other
+            group_least[:] = np.repeat(class_least, class_count)
+            for some in _blocks(anchor, class_count + width):
                 text = np.frombuffer(b"".join([distinct[i] + b"\x00" for i in some]), np.uint8).astype(np.int64)
                 # symbols from 2; each string ends in 1, which no window holds
                 sizes = class_count[some] + width
@@ -329,16 +335,16 @@ def _covered(width: int):
     return run
 
 
-def _blocks(distinct: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """Numbers of strings, so many as make one suffix array; strings of one anchor stay together."""
-    sizes = np.array([len(d) + 1 for d in distinct])
-    if sizes.sum() <= BLOCK:
-        yield np.arange(len(distinct))
+def _blocks(anchor: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of strings, so many as make one suffix array; those of one anchor stay together, single ones are left out."""
+    order = np.argsort(anchor, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))
+    several = np.repeat(np.diff(np.concatenate([[0], ends])) > 1, np.diff(np.concatenate([[0], ends])))
+    order = order[several]
+    if not len(order):
         return
-    names = np.array([anchors(d[:width], width)[0][0] for d in distinct])  # all windows of a string have one anchor
-    order = np.argsort(names, kind="stable")
     done = np.cumsum(sizes[order])
-    ends = np.append(np.flatnonzero(np.diff(names[order])) + 1, len(order))
+    ends = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))
     begin = 0
     while begin < len(order):
         base = done[begin - 1] if begin else 0
@@ -354,12 +360,12 @@ def _runs_by_text(pdf):
     keys = pdf[pdf.kind == 0].iloc[0].runs.decode().split("\n")
     parts = [np.frombuffer(x, np.uint32).reshape(3, -1) for x in pdf[pdf.kind == 1].runs]
     if not parts:
-        return pd.DataFrame({"key": [], "runs": []})
+        return pd.DataFrame([], columns=["key", "runs"])
     runs = np.concatenate(parts, axis=1).astype(np.int64)
     runs = runs[:, np.lexsort((runs[1], runs[0]))]
     cuts = np.searchsorted(runs[0], np.arange(len(keys) + 1))
     own = np.flatnonzero(np.diff(cuts))
-    return pd.DataFrame({"key": [keys[i] for i in own], "runs": [runs[1:, cuts[i] : cuts[i + 1]].tobytes() for i in own]})
+    return pd.DataFrame([(keys[i], runs[1:, cuts[i] : cuts[i + 1]].tobytes()) for i in own], columns=["key", "runs"])
 
 
 def spans_of(runs: bytes | None, width: int) -> list[tuple[int, int]]:
@@ -405,7 +411,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, width: int = WIDTH) ->
     texts = _distinct_texts(spark, docs)
     posted = _posted(texts, buckets, width).groupBy("bucket").applyInPandas(_shared, "chunk string, kind int, low binary, place binary")
     shared = scratch.keep(posted.groupBy("chunk").applyInPandas(_by_text, "key string, shared binary"))
-    strings = _strings(texts.join(shared, "key").join(ids.select("key", "least"), "key"), buckets, width)
+    strings = _strings(texts.join(shared, "key").join(ids.select("key", "least"), "key"), buckets * FINER, width)
     covered = strings.groupBy("bucket").applyInPandas(_covered(width), "chunk string, kind int, runs binary")
     runs = scratch.keep(covered.groupBy("chunk").applyInPandas(_runs_by_text, "key string, runs binary"))
     return texts.join(runs, "key", "left"), ids.drop("bytes")
