@@ -55,7 +55,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows, names = quality.with_measures(docs, keep=["doc_id", "source"])
     judged, names = quality.judge(docs, measured=(Scratch(spark).keep(rows), names))
-    return judged.select("doc_id", *(F.col(names[n]).alias(n) for n in (*quality.MEASURES, "base_failed", "host_rate", "kept")))
+    shown = judged.select("doc_id", *(F.col(names[n]).alias(n) for n in (*quality.MEASURES, "base_failed", "host_rate", "kept")))
+    return shown.withColumn("host_rate", F.round("host_rate", 6))
 
 
 @query
@@ -91,3 +92,45 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
       FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (least(floor(rate) + (CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END), 3))::BIGINT * size AS taken FROM r
 """
+
+ORACLES["op6_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+gs AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM d WHERE len(w) > 4),
+win AS (SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM gs),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, d.source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN dup ON d.doc_id = dup.doc_id LEFT JOIN cov ON d.doc_id = cov.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, (count(*) FILTER (base_failed))::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT (sum(f) + 0.5) / (sum(n) + 1.0) AS mean, var_samp(f / n) AS v, avg(1.0 / n) AS inv, count(*) AS hosts FROM h),
+q AS (SELECT mean, mean * (1 - mean) AS spread, CASE WHEN hosts > 1 THEN v - mean * (1 - mean) * inv ELSE 0 END AS extra FROM p),
+k AS (SELECT mean, CASE WHEN extra > 0 THEN least(greatest(spread / extra - 1, 1.0), 1000.0) ELSE 20.0 END AS strength FROM q),
+r AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM h, k)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(r.rate, 6) AS host_rate, NOT base_failed AND NOT coalesce(r.rate > 0.6, false) AS kept
+FROM b LEFT JOIN r ON b.source = r.source
+"""
+
+
+def _license_sql() -> str:
+    """The templates as rows, then the same comparison in SQL."""
+    rows = ", ".join(f"('{name}', [{', '.join(repr(b) for b in own)}])" for name, own in licenses.template_bigrams())
+    ratio = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    return rf"""
+WITH tm(license, t) AS (VALUES {rows}),
+x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT DISTINCT doc_id, unnest(list_concat(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '
+\s*
+')), [t])) AS unit FROM x),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(unit), '[^\p{{L}}\p{{N}}]+'), lambda q: q <> '') AS w FROM u),
+b AS (SELECT row_number() OVER () AS id, doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM w WHERE len(w) > 1),
+c AS (SELECT id, doc_id, license, 2.0::DOUBLE * len(list_intersect(s, t)) / (len(s) + len(t)) AS dice FROM b JOIN tm ON len(s) BETWEEN len(t) * {ratio!r} AND len(t) / {ratio!r}),
+best AS (SELECT id, doc_id, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM c GROUP BY id, doc_id)
+SELECT doc_id, license, max(dice) AS dice FROM best WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, license
+"""
+
+
+ORACLES["op8_license_scan"] = _license_sql()
