@@ -3,7 +3,9 @@ r"""Licence scans (operator 8), in DataFrame functions only.
 The units of a document are its lines, its paragraphs and the whole text. A unit and a template are
 normalised to lower-case words of letters and digits; their likeness is the Dice coefficient of their sets
 of word bigrams. Dice reaches t only if the smaller set is at least t / (2 - t) of the larger, so for each
-unit only the templates within those bounds are compared; most units have none.
+unit only the templates within those bounds are compared; most units have none. A unit that reaches t also
+shares so many bigrams with the template that it must hold one of any few of them: texts without the words
+of such a few are passed over before anything is split.
 
 Defined cases: a null or empty text has no units and no rows; units of fewer than two words have no
 bigrams; a licence found several times in a document gives one row with its best score; equal rows give a
@@ -12,6 +14,8 @@ row each per id; an empty table gives an empty table; long texts are compared wh
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +53,10 @@ TEMPLATES = {
 }
 
 
+#: Words too common to tell a licence by.
+COMMON = ("a", "and", "by", "in", "is", "of", "or", "the", "this", "to", "with")
+
+
 def template_bigrams(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     out = []
     for name, texts in templates.items():
@@ -58,6 +66,24 @@ def template_bigrams(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[
     return out
 
 
+def anchor_words(own: list[str], threshold: float) -> list[str]:
+    """Words one of which every text has that reaches the threshold with a template of these bigrams.
+
+    Such a text shares at least `least` bigrams, so it shares one of any len(own) - least + 1; the longest
+    words are taken, common ones last, until the bigrams that hold them are so many.
+    """
+    n = len(own)
+    sizes = range(math.ceil(n * threshold / (2 - threshold) - 1e-9), n + 1)
+    least = min(math.ceil(threshold * (size + n) / 2 - 1e-9) for size in sizes)
+    words, held = [], set()
+    for word in sorted({w for b in own for w in b.split(" ")}, key=lambda w: (w in COMMON, -len(w), w)):
+        if len(held) > n - least:
+            break
+        words.append(word)
+        held |= {b for b in own if word in b.split(" ")}
+    return words
+
+
 def bigrams(unit: Column) -> Column:
     """Distinct word bigrams of a text."""
     words = F.array_remove(F.split(F.lower(unit), r"[^\p{L}\p{N}]+"), "")
@@ -71,8 +97,13 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     ratio = threshold / (2 - threshold)
     body = F.coalesce(F.col(text), F.lit(""))
     units = F.array_distinct(F.concat(F.split(body, "\n"), F.split(body, r"\n\s*\n"), F.array(body)))
-    single = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(units).alias("unit"))
-    sets = single.select("doc_id", bigrams(F.col("unit")).alias("set")).withColumn("n", F.size("set"))
+    words = {w for _, own in known for w in anchor_words(own, threshold)}
+    words = sorted(w for w in words if not any(v != w and v in w for v in words))
+    # a lambda's variable holds the lower-cased text once for all words
+    held = F.exists(F.array(F.lower(body)), lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)))
+    single = docs.where(held).select(F.col(doc_id).alias("doc_id"), F.explode_outer(units).alias("unit"))
+    # explode() of one element keeps the filter below from being computed with the set once per condition
+    sets = single.select("doc_id", F.explode_outer(F.array(bigrams(F.col("unit")))).alias("set")).withColumn("n", F.size("set"))
     near = F.lit(False)
     for low, high in sorted({(len(b) * ratio, len(b) / ratio) for _, b in known}):
         near = near | F.col("n").between(low, high)
