@@ -134,3 +134,12 @@ SELECT doc_id, license, max(dice) AS dice FROM best WHERE dice >= {licenses.THRE
 
 
 ORACLES["op8_license_scan"] = _license_sql()
+
+#: For tables without a quoted line, as the given ones are: each message then answers the one before it.
+ORACLES["op3_chat_formatting"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_turn, min(turn) OVER (PARTITION BY conv_id) AS start FROM t)
+SELECT c.conv_id, c.turn, c.role, p.parent_turn, CASE WHEN p.turn IS NOT NULL THEN 0::BIGINT END AS quote_links, '1:0:' || p.start || '/0:' || c.turn || ':0' AS reply_path,
+  '<|' || coalesce(c.role, 'user') || '|>' || chr(10) || trim(coalesce(c.text, ''), ' ') || chr(10) AS message
+FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id AND c.turn = p.turn
+"""
