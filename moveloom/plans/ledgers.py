@@ -104,3 +104,30 @@ def q98_judge(spark, sf_dir):
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("side")).agg(
         F.count(F.lit(1)).alias("n"), n(F.col("l_linenumber") == 1).alias("first"), n(F.col("l_linenumber") <= 3).alias("top3"), F.round(F.sum(F.greatest(F.lit(0.0), F.least(F.lit(300.0), x))), 2).alias("loss"), n(x >= 100).alias("blunders"))
+
+
+@query("SELECT user_id AS job, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') <= 2 AS retried FROM events GROUP BY user_id")
+def q102_job_state(spark, sf_dir):
+    """The state of each job is its last event; a job is tried again while it failed at most twice."""
+    failures = F.sum((F.col("event_type") == "error").cast("long"))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), failures.alias("failures"), (failures <= 2).alias("retried"))
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS key, event_type AS move, ts < TIMESTAMP '2024-01-16' AS older, value / 490.0 - 0.5 AS r FROM events),
+f AS (SELECT key, move FROM e WHERE older GROUP BY ALL HAVING count(*) >= 5 AND avg(r) < -0.05)
+SELECT f.key IS NOT NULL AS flagged, count(*) AS n, round(avg(r), 6) AS mean FROM e LEFT JOIN f ON e.key = f.key AND e.move = f.move WHERE NOT older GROUP BY 1""")
+def q103_backtest(spark, sf_dir):
+    """Moves flagged on the older half of the log, judged on the newer one."""
+    older = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("key"), F.col("event_type").alias("move"), older.alias("older"), (F.col("value") / 490.0 - 0.5).alias("r"))
+    flagged = e.where("older").groupBy("key", "move").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean")).where("n >= 5 and mean < -0.05").select("key", "move", F.lit(True).alias("hit"))
+    judged = e.where("not older").join(flagged, ["key", "move"], "left").groupBy(F.coalesce("hit", F.lit(False)).alias("flagged"))
+    return judged.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean"))
+
+
+@query("SELECT count(*) AS shared FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def q104_overlap(spark, sf_dir):
+    """Keys that two runs have in common."""
+    orders = table(spark, sf_dir, "orders")
+    one, two = (orders.where(F.col("o_orderstatus") == s).select("o_custkey") for s in "FP")
+    return one.intersect(two).agg(F.count(F.lit(1)).alias("shared"))
