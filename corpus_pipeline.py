@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from moveloom.llm import mixing, ngram_join, packing, pii, quality
 from moveloom.llm.queries import tokenizer_file
-from moveloom.llm.shared import Scratch, fresh, load, ship
+from moveloom.llm.shared import Scratch, free_shuffles, fresh, load, ship
 
 #: Near duplicates of the pipeline: sets of five-word shingles, similarity of 0.8 or more.
 SHINGLE_WORDS = 5
@@ -29,6 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     classes = ngram_join.join_classes(spark, docs, SHINGLE_WORDS, SIMILAR_PERCENT)
     chosen = Scratch(spark).keep(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    del classes
+    free_shuffles(spark)
     key, turn = fresh(docs, "_chosen"), fresh(docs, "_turn")
     kept = docs.join(chosen.select(F.col("doc_id").alias(key)), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
     if chosen.where("n > 1").limit(1).count():  # an id on several rows

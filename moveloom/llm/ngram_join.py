@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, free_shuffles
 
 N = 4
 PERCENT = 85
@@ -46,7 +46,7 @@ ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts anew.
 WORD_MEMORY = 500_000
 #: n-grams of a chunk of sets, sets of a chunk, and documents per hash range.
-CHUNK_GRAMS = 400_000
+CHUNK_GRAMS = 1_000_000
 CHUNK_SETS = 60_000
 RANGE_DOCS = 2_500
 #: An n-gram is known by so many bits of its hash.
@@ -104,7 +104,7 @@ def _ranges_of(grams: np.ndarray, ranges: int) -> np.ndarray:
     return ((grams >> np.uint64(GRAM_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-_POSTED = "range int, chunk string, kind int, low binary, mid binary, place binary, ids binary"
+_POSTED = "range int, chunk string, kind int, grams binary, place binary, ids binary"
 
 
 def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
@@ -125,9 +125,6 @@ def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
         ids: list[tuple[int, int]] = []
         size = 0
 
-        def packed(grams, sets):
-            return (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (grams >> np.uint64(32)).astype(np.uint16).tobytes(), sets.astype(np.uint16).tobytes()
-
         def flush():
             nonlocal nodes, held, ids, size, number
             chunk, rows = f"{task}-{number}", []
@@ -146,15 +143,13 @@ def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
                 cuts = np.searchsorted(at, np.arange(ranges + 1))
                 for r in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[r], cuts[r + 1])
-                    low, mid, place = packed(own[part], own_sets[part])
-                    rows.append((int(r), kind, low, mid, place if kind == 1 else b"", b""))
+                    rows.append((int(r), kind, _packed(own[part]), own_sets[part].astype(np.uint16).tobytes() if kind == 1 else b"", b""))
             table = np.stack([np.array(list(nodes), np.int64), np.array([len(h) for h in held], np.int64)]).tobytes()
-            low, mid, place = packed(grams[several], sets[several])
-            rows.append(((task * 31 + number) * 7919 % ranges, 0, low, mid, place, len(held).to_bytes(8, "little") + table + np.array(ids, np.int64).tobytes()))
+            rows.append(((task * 31 + number) * 7919 % ranges, 0, _packed(grams[several]), sets[several].astype(np.uint16).tobytes(), len(held).to_bytes(8, "little") + table + np.array(ids, np.int64).tobytes()))
             nodes, held, ids, size, number = {}, [], [], 0, number + 1
             r, k, *parts = zip(*rows, strict=True)
             columns = [pa.array(r, pa.int32()), pa.array([chunk] * len(r)), pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)]
-            return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "kind", "low", "mid", "place", "ids"])
+            return pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "kind", "grams", "place", "ids"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -173,8 +168,25 @@ def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _POSTED)
 
 
-def _grams(low: bytes, mid: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint32).astype(np.uint64) | np.frombuffer(mid, np.uint16).astype(np.uint64) << np.uint64(32)
+def _packed(grams: np.ndarray) -> bytes:
+    """Ascending numbers as the first one and 32-bit steps; a step of all ones adds its value and goes on."""
+    if not len(grams):
+        return b""
+    most = np.uint64(0xFFFFFFFF)
+    steps = np.diff(grams)
+    more = (steps // most).astype(np.int64)
+    out = np.full(len(steps) + int(more.sum()), most, np.uint32)
+    out[np.cumsum(more + 1) - 1] = steps % most
+    return grams[:1].tobytes() + out.tobytes()
+
+
+def _grams(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    steps = np.frombuffer(packed, np.uint32, -1, 8)
+    done = np.cumsum(steps, dtype=np.uint64)[steps != 0xFFFFFFFF] if len(steps) else np.zeros(0, np.uint64)
+    first = np.frombuffer(packed, np.uint64, 1)
+    return np.concatenate([first, first + done])
 
 
 def _shared(pdf):
@@ -185,7 +197,7 @@ def _shared(pdf):
     rows = pdf[pdf.kind > 0]
     if not len(rows):
         return passed.astype({"chunk": object})
-    parts = [_grams(a, b) for a, b in zip(rows.low, rows.mid, strict=True)]
+    parts = [_grams(x) for x in rows.grams]
     everything = np.concatenate(parts)
     order = np.argsort(everything, kind="stable")
     equal = everything[order[1:]] == everything[order[:-1]]
@@ -193,11 +205,11 @@ def _shared(pdf):
     twice[order[1:]] = equal
     twice[order[:-1]] |= equal
     out, at = [], 0
-    for chunk, kind, low, mid, place, part in zip(rows.chunk, rows.kind, rows.low, rows.mid, rows.place, parts, strict=True):
+    for chunk, kind, place, part in zip(rows.chunk, rows.kind, rows.place, parts, strict=True):
         flags = twice[at : at + len(part)]
         at += len(part)
         if kind == 1 and flags.any():
-            out.append((chunk, 1, *(np.frombuffer(x, t)[flags].tobytes() for x, t in ((low, np.uint32), (mid, np.uint16), (place, np.uint16))), b""))
+            out.append((chunk, 1, _packed(part[flags]), np.frombuffer(place, np.uint16)[flags].tobytes(), b""))
     return pd.concat([passed, pd.DataFrame(out, columns=list(passed.columns))]).astype({"chunk": object})
 
 
@@ -213,7 +225,7 @@ def _sets_of(percent: int):
         ids, own = np.frombuffer(table["ids"], np.int64, -1, 8 + 16 * count).reshape(-1, 2).T
         docs = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "node": node[own], "size": size[own], "grams": None})
         docs.loc[ids == NO_ID, "doc_id"] = pd.NA
-        grams = np.concatenate([_grams(a, b) for a, b in zip(pdf.low, pdf.mid, strict=True)]).astype(np.int64)
+        grams = np.concatenate([_grams(x) for x in pdf.grams]).astype(np.int64)
         sets = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf.place])
         order = np.argsort(sets, kind="stable")
         cuts = np.searchsorted(sets[order], np.arange(count + 1))
@@ -311,9 +323,12 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int
     ranges = int(max(16, docs.count() // RANGE_DOCS))
     back = _posted(docs, n, ranges).groupBy("range").applyInPandas(_shared, _POSTED.replace("range int, ", ""))
     found = scratch.keep(back.groupBy("chunk").applyInPandas(_sets_of(percent), "doc_id long, node long, size long, grams array<long>"))
+    del back
+    free_shuffles(spark)
     rows = found.where("grams is null").select("doc_id", "node", F.col("size").alias("n_shingles"))
     sets = _counted(scratch, found.where("grams is not null"), percent)
     posted = scratch.keep(_prefixes(sets, percent))
+    free_shuffles(spark)
 
     labels = spark.createDataFrame([], "node long, component long")
     links = tried = None
@@ -323,6 +338,9 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int
         if not pairs.limit(1).count():
             continue
         found = scratch.keep(_verified(sets, pairs, percent))
+        if links is not None and not found.limit(1).count():
+            tried = tried.union(pairs.select("a", "b"))
+            continue
         links = found if links is None else links.union(found)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         labels = scratch.keep(components(scratch, links.select(F.col("a").alias("u"), F.col("b").alias("v"))))

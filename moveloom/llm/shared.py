@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -65,8 +67,10 @@ class Scratch:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner delete shuffle files of stages whose frames are gone."""
+    """Let the cleaner delete shuffle files of frames that nothing refers to any more, before the next large step."""
+    gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def fresh(df: DataFrame, name: str) -> str:
