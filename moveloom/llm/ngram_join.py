@@ -44,9 +44,9 @@ FRAGMENTS = 8
 #: Turns in which nodes are paired with leaders only, before pairs across components are all tried.
 ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts anew.
-WORD_MEMORY = 500_000
+WORD_MEMORY = 200_000
 #: n-grams of a chunk of sets, sets of a chunk, and documents per hash range.
-CHUNK_GRAMS = 1_000_000
+CHUNK_GRAMS = 600_000
 CHUNK_SETS = 60_000
 RANGE_DOCS = 2_500
 #: An n-gram is known by so many bits of its hash.

@@ -34,7 +34,7 @@ from .shared import Scratch
 CAPACITY = 2048
 END_ID = 0
 #: Parts of words whose ids a worker remembers.
-WORD_MEMORY = 600_000
+WORD_MEMORY = 300_000
 #: Blocks per length within which ranks are counted; more of them means smaller windows.
 RANK_ROWS = 20_000
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
+#: Rows of whole texts that a Python worker holds at once.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,6 +29,8 @@ def ship(spark: SparkSession) -> None:
                 out.write(file, file.relative_to(package.parent))
         context.addPyFile(str(name))
         context._moveloom_shipped = True
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default, too many for whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
