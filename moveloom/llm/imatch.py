@@ -1,10 +1,11 @@
 r"""Document fingerprints by I-Match (operator 4), in DataFrame functions only.
 
 Terms are lower-cased runs of letters and digits. Of these, the lexicon keeps those within a band of
-inverse document frequency: in at most MAX_SHARE of all documents, and in at least two, in MIN_SHARE, and
-often enough that no more than MAX_LEXICON terms can be in the lexicon. (Document frequencies add up to the
-number of (document, term) pairs, so at most pairs / f terms have a frequency of f or more: this is the
-proven bound under which the lexicon is broadcast.)
+inverse document frequency: in at most MAX_SHARE of all distinct texts, so that a group of copies, however
+large, weighs once; and in at least two documents, in MIN_SHARE, and often enough that no more than
+MAX_LEXICON terms can be in the lexicon. (Document frequencies add up to the number of (document, term)
+pairs, so at most pairs / f terms have a frequency of f or more: this is the proven bound under which the
+lexicon is broadcast.) Near copies are distinct texts and weigh each.
 
 A fingerprint has LEVELS x PARTS signatures. Each is the hash of the document's sorted distinct terms in one
 random subset of the lexicon, chosen by bits of the term's hash; the subsets of a level take one in 16, 64,
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, free_shuffles
 
 MAX_SHARE = 0.25
 MIN_SHARE = 0.0002
@@ -45,12 +46,28 @@ def term_ids(text: Column) -> Column:
 
 
 def lexicon(spark: SparkSession, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(term) within the band, over all documents; no more than MAX_LEXICON rows."""
+    """(term) within the band, over all documents; no more than MAX_LEXICON rows.
+
+    A term in few rows is in few texts. Only those in many are counted by distinct texts, from the few of them that each text has.
+    """
+    scratch = Scratch(spark)
     found = docs.select(F.explode_outer(term_ids(F.col("text"))).alias("term"))  # explode() would compute the array twice, to filter
-    counted = Scratch(spark).keep(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term is not null"))
+    counted = scratch.keep(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term is not null"))
     everything = counted.agg(F.sum("df").alias("pairs")).first().pairs or 0
     least = max(2.0, MIN_SHARE * n_docs, everything / MAX_LEXICON)
-    return counted.where((F.col("df") >= least) & (F.col("df") <= max(2.0, MAX_SHARE * n_docs))).select("term")
+    counted = counted.where(F.col("df") >= least)
+    n_texts = docs.select(F.md5("text")).distinct().count()
+    most = max(2.0, MAX_SHARE * n_texts)
+    rare, often = counted.where(F.col("df") <= most).select("term"), counted.where(F.col("df") > most)
+    if n_texts == n_docs:
+        return rare
+    listed = F.broadcast(often.agg(F.collect_list("term").alias("often")))  # a part of MAX_LEXICON
+    held = docs.crossJoin(listed).select(F.md5("text").alias("hash"), F.array_intersect(term_ids(F.col("text")), "often").alias("held"))
+    single = held.groupBy("hash").agg(F.first("held").alias("held")).select(F.explode_outer("held").alias("term"))
+    in_texts = single.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where((F.col("texts") <= most) & F.col("term").isNotNull())
+    out = scratch.keep(rare.union(in_texts.select("term")))
+    free_shuffles(spark)
+    return out
 
 
 def signatures(terms: Column) -> Column:

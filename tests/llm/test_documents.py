@@ -293,6 +293,22 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_fingerprints_of_a_large_group_of_copies(spark):
+    from random import Random
+
+    rng = Random(6)
+    copy = " ".join(f"group{k}" for k in range(200))
+    rows = [(3 * i + k, copy if k == 0 else " ".join(rng.choices([f"word{j}" for j in range(400)], k=60))) for i in range(60) for k in range(3)]
+    rows.append((1000, copy + " odd"))  # followed by a text of other words
+    rows.append((1001, copy + " odd last"))
+    got = {r.doc_id: r for r in imatch.fingerprint_edits(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = [got[3 * i] for i in range(60)]
+    assert len({r.fingerprint for r in copies}) == 1 and not copies[0].fingerprint.startswith("text ")
+    assert any(r.near_edited > 0 for r in copies) and got[1001].near_next > 0.5
+    # the word of few texts stays in their fingerprints, whatever the group's size
+    assert all(not r.fingerprint.startswith("text ") for r in got.values())
+
+
 def test_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
     docs = spark.createDataFrame(some_texts(60), "doc_id long, text string")
     one = sorted(map(tuple, imatch.fingerprint_edits(spark, docs).collect()))
