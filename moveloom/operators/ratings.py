@@ -127,5 +127,19 @@ def anchored_rating(opponent: np.ndarray, score: np.ndarray, steps: int = 60) ->
     return r
 
 
+def anchored_ratings(opponent: np.ndarray, score: np.ndarray, times: np.ndarray, steps: int = 60) -> np.ndarray:
+    """anchored_rating() of each row of `times`, which says how often each game counts."""
+    k = math.log(10) / 400
+    r = times @ opponent / np.maximum(times.sum(axis=1), 1)
+    for _ in range(steps):
+        p = 1 / (1 + 10 ** ((opponent - r[:, None]) / 400))
+        slope = k * (times * p * (1 - p)).sum(axis=1)
+        move = (times * (score - p)).sum(axis=1) / np.maximum(slope, 1e-9)
+        r = np.clip(r + np.clip(move, -200.0, 200.0), 1000.0, 4500.0)
+        if np.abs(move).max() < 1e-9:
+            break
+    return r
+
+
 def residual(score: Column, difference: Column) -> Column:
     return score - expected_score(difference)

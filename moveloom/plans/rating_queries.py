@@ -91,36 +91,41 @@ def q70_bradley_terry(spark, sf_dir):
     return spark.createDataFrame(R.bradley_terry(cells), "player string, elo double").withColumn("elo", F.round("elo", 3))
 
 
+#: Replicates of a bootstrap, as in the reference.
+REPLICATES = 2000
+
+
 @query()
 def q71_bootstrap_rating(spark, sf_dir):
-    """Anchored ratings with a bootstrap interval: each game is drawn a Poisson number of times, by its hash.
+    """Anchored ratings of all players with a 95 % bootstrap interval over their games."""
+    return bootstrap_ratings(pairings(spark, sf_dir))
+
 
-    Opponents are few, so a replicate is a row of drawn games and points per opponent; only those sums are
-    gathered for a replicate.
+def bootstrap_ratings(games, replicates: int = REPLICATES, seed: int = 1):
+    """games (a, b, score of a) -> a, elo, low, high of each player, from its games on either side.
+
+    A rating depends only on how many games have which opponent and score, and drawing all games with replacement
+    draws these counts from a multinomial; so a player's replicates are drawn from its counts, and no game is copied.
+    The percentiles are without the estimate itself and without replicates that drew none of the player's games.
     """
     import numpy as np
     import pandas as pd
 
-    games = pairings(spark, sf_dir).where("a < b and a < 5")
-    reps = games.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "a", "b", "rep")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    cumulative, out, term = 0.0, F.lit(6), np.exp(-1.0)
-    cuts = []
-    for k in range(6):
-        cumulative += term / (1 if k == 0 else float(np.prod(np.arange(1, k + 1))))
-        cuts.append(cumulative)
-    for k in reversed(range(6)):
-        out = F.when(u < cuts[k], k).otherwise(out)
-    drawn = reps.withColumn("times", F.when(F.col("rep") == 0, 1).otherwise(out))
-    sums = drawn.groupBy("a", "rep", "b").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("score")).alias("points"))
+    total = games.count()
+    sides = games.select("a", "b", "score").union(games.select("b", "a", 1 - F.col("score")))
+    cells = sides.groupBy("a", "b", "score").agg(F.count(F.lit(1)).alias("n"))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        opponent = 2000.0 + 10.0 * pdf.b.to_numpy(float)
-        score = np.concatenate([np.full(int(n), p / n) for n, p in zip(pdf.n, pdf.points, strict=True) if n > 0])
-        return pd.DataFrame({"a": [key[0]], "rep": [key[1]], "elo": [R.anchored_rating(np.repeat(opponent, pdf.n.astype(int)), score)]})
-
-    fitted = sums.groupBy("a", "rep").applyInPandas(fit, "a int, rep int, elo double")
-    return fitted.groupBy("a").agg(F.round(F.max(F.when(F.col("rep") == 0, F.col("elo"))), 2).alias("elo"), F.round(F.percentile("elo", 0.025), 2).alias("low"), F.round(F.percentile("elo", 0.975), 2).alias("high"))
+        pdf = pdf.sort_values(["b", "score"])
+        opponent, score, n = 2000.0 + 10.0 * pdf.b.to_numpy(float), pdf.score.to_numpy(float), pdf.n.to_numpy()
+        rest = max(total - n.sum(), 0)
+        drawn = np.random.default_rng([seed, int(key[0])]).multinomial(total, [*(n / total), rest / total], replicates)[:, :-1]
+        elo = R.anchored_ratings(opponent, score, np.vstack([n, drawn[drawn.sum(axis=1) > 0]]))
+        low, high = np.percentile(elo[1:], [2.5, 97.5])
+        return pd.DataFrame({"a": [key[0]], "elo": [elo[0]], "low": [low], "high": [high]})
+
+    fitted = cells.groupBy("a").applyInPandas(fit, "a int, elo double, low double, high double")
+    return fitted.select("a", *(F.round(c, 2).alias(c) for c in ("elo", "low", "high")))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation) SELECT x.k AS a, y.k AS b, o.opening FROM n x JOIN n y ON x.r = y.r AND x.k < y.k, (SELECT DISTINCT o_orderpriority AS opening FROM orders) o""")

@@ -102,6 +102,36 @@ def test_equal_shares_need_every_stratum(spark):
     assert sampling.equal_shares(rows, "s", "id", 4, 1, 2).count() == 0
 
 
+def test_bootstrap_rates_all_players_from_all_games(spark):
+    from random import Random
+
+    from moveloom.plans.rating_queries import bootstrap_ratings
+
+    rng = Random(3)
+    games = [(a, b, rng.choice((0.0, 0.5, 1.0, 1.0))) for a in (1, 4, 9, 20) for b in (1, 4, 9, 20) if a != b for _ in range(12)]
+    got = {r.a: r for r in bootstrap_ratings(spark.createDataFrame(games, "a int, b int, score double")).collect()}
+    assert set(got) == {1, 4, 9, 20}
+
+    def rating(player, sample):
+        own = [(b, s) for a, b, s in sample if a == player] + [(a, 1 - s) for a, b, s in sample if b == player]
+        return ratings.anchored_rating(np.array([2000.0 + 10 * b for b, _ in own]), np.array([s for _, s in own]))
+
+    samples = [[games[rng.randrange(len(games))] for _ in games] for _ in range(1000)]
+    for player, r in got.items():
+        low, high = np.percentile([rating(player, sample) for sample in samples], [2.5, 97.5])
+        assert r.elo == pytest.approx(rating(player, games), abs=0.01) and r.low < r.elo < r.high
+        assert r.low == pytest.approx(low, abs=12) and r.high == pytest.approx(high, abs=12)
+
+
+def test_bootstrap_query_has_every_player(spark):
+    from moveloom.plans import registry
+    from moveloom.sources.tables import pairings
+
+    games = pairings(spark, "/root/testdata/sf0.001")
+    got = registry.QUERIES["q71_bootstrap_rating"](spark, "/root/testdata/sf0.001")
+    assert {r.a for r in got.collect()} == {r.a for r in games.select("a").union(games.select("b")).distinct().collect()}
+
+
 def test_quarantine_lists_every_hit(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "f string")
     with pytest.raises(ValueError, match="a.*b"):
