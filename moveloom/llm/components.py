@@ -29,14 +29,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges (u, v) -> (node, component) for every node with an edge to another; component is its smallest node."""
+    """edges (u, v) -> (node, component) for every node with an edge to another; component is its smallest node.
+
+    An error if that takes more than max_rounds.
+    """
     now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(max_rounds):
+    for done in range(max_rounds + 1):
         # done when each node has one smaller neighbour, which has none
         twice = now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
         chained = now.join(now.select(F.col("u").alias("v")), "v", "left_semi").select("u")
         if not twice.union(chained).limit(1).count():
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components not found within {max_rounds} rounds")
         after = scratch.keep(_small_star(_large_star(now)))
         scratch.drop(now)
         now = after

@@ -25,3 +25,9 @@ def test_components(spark, kind):
         parent[max(ra, rb)] = min(ra, rb)
     got = {r.node: r.component for r in components(Scratch(spark), spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_unfinished_components_are_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="1 rounds"):
+        components(Scratch(spark), edges, max_rounds=1)
