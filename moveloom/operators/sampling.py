@@ -66,8 +66,10 @@ def weighted_union(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def refuse_quarantined(inputs: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """The inputs, or an error that lists every one that the manifest quarantines."""
-    hits = [r[0] for r in inputs.join(manifest.select(key).distinct(), key, "left_semi").select(key).distinct().orderBy(key).limit(1000).collect()]
+    """The inputs, or an error that counts all that the manifest quarantines and lists the first 1000."""
+    found = inputs.join(manifest.select(key).distinct(), key, "left_semi").select(key).distinct()
+    hits = [r[0] for r in found.orderBy(key).limit(1000).collect()]
     if hits:
-        raise ValueError(f"quarantined inputs: {hits}")
+        n = len(hits) if len(hits) < 1000 else found.count()
+        raise ValueError(f"{n} quarantined inputs{', the first 1000' if n > 1000 else ''}: {hits}")
     return inputs

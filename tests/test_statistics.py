@@ -138,6 +138,12 @@ def test_quarantine_lists_every_hit(spark):
         sampling.refuse_quarantined(rows, rows, "f")
 
 
+def test_quarantine_counts_what_it_does_not_list(spark):
+    rows = spark.range(1003).select(F.col("id").alias("f"))
+    with pytest.raises(ValueError, match="1003 quarantined inputs, the first 1000"):
+        sampling.refuse_quarantined(rows, rows, "f")
+
+
 def test_colours_flip(spark):
     """Swapping the sides of every game turns the sign of the rating."""
     one = ratings.elo_interval(spark.createDataFrame([(30, 10, 20)], "wins long, draws long, losses long")).first()
