@@ -118,6 +118,12 @@ def q86_text_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", position_key(F.col("text")).alias("key"), tsv_cell(F.left("text", F.lit(40))).alias("cell"))
 
 
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS key, translate(text, chr(9) || chr(10) || chr(13), '   ') AS cell FROM documents")
+def q108_text_keys_all(spark, sf_dir):
+    """The keys of q86, and cells of whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", position_key(F.col("text")).alias("key"), tsv_cell(F.col("text")).alias("cell"))
+
+
 @query("""WITH r AS (SELECT source, n_chars, doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT rn <= greatest(10, n // 5) AS worst, count(*) AS n, round(avg(n_chars), 4) AS mean FROM r GROUP BY 1""")
 def q87_worst_fifth(spark, sf_dir):
     """The worst fifth against the rest: only the fifth's boundary is looked up, nothing is ranked as a whole."""

@@ -84,6 +84,14 @@ def q69_crosstable(spark, sf_dir):
     return out.select("a", *(F.col(str(k)).alias(f"b{k}") for k in range(4)))
 
 
+@query(f"WITH {PAIRINGS} SELECT a, {', '.join(f'round(sum(score) FILTER (b = {k}), 1) AS b{k}' for k in range(25))} FROM p GROUP BY a")
+def q106_crosstable_all(spark, sf_dir):
+    """The cross table of q69 with all players; the SQL has those of the given tables."""
+    players = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    out = pairings(spark, sf_dir).groupBy("a").pivot("b", players).agg(F.round(F.sum("score"), 1))
+    return out.select("a", *(F.col(str(k)).alias(f"b{k}") for k in players))
+
+
 @query()
 def q70_bradley_terry(spark, sf_dir):
     """Ratings of all players from all games; the likelihood is solved on the players' table of results."""
@@ -148,6 +156,16 @@ def q73_residuals(spark, sf_dir):
 
 @query(f"WITH {PAIRINGS} SELECT a, l_orderkey, l_linenumber, l_partkey, b, (sum(CASE WHEN score = 1 THEN 1 ELSE 0 END) OVER w)::BIGINT AS wins, (sum(CASE WHEN score = 0.5 THEN 1 ELSE 0 END) OVER w)::BIGINT AS draws FROM p WHERE a = 3 WINDOW w AS (PARTITION BY a ORDER BY l_orderkey, l_linenumber, l_partkey, b ROWS UNBOUNDED PRECEDING)")
 def q74_running_tally(spark, sf_dir):
+    return _running(pairings(spark, sf_dir).where("a = 3"))
+
+
+@query(f"WITH {PAIRINGS} SELECT a, l_orderkey, l_linenumber, l_partkey, b, (sum(CASE WHEN score = 1 THEN 1 ELSE 0 END) OVER w)::BIGINT AS wins, (sum(CASE WHEN score = 0.5 THEN 1 ELSE 0 END) OVER w)::BIGINT AS draws FROM p WINDOW w AS (PARTITION BY a ORDER BY l_orderkey, l_linenumber, l_partkey, b ROWS UNBOUNDED PRECEDING)")
+def q107_running_tally_all(spark, sf_dir):
+    """The running tally of q74 for all players."""
+    return _running(pairings(spark, sf_dir))
+
+
+def _running(games):
     w = Window.partitionBy("a").orderBy("l_orderkey", "l_linenumber", "l_partkey", "b").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda v: F.sum(F.when(F.col("score") == v, 1).otherwise(0)).over(w).cast("long")
-    return pairings(spark, sf_dir).where("a = 3").select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", run(1.0).alias("wins"), run(0.5).alias("draws"))
+    return games.select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", run(1.0).alias("wins"), run(0.5).alias("draws"))

@@ -52,6 +52,18 @@ def test_query_without_sql_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("part, whole", [("q39_upsert", "q105_upsert_all"), ("q74_running_tally", "q107_running_tally_all")])
+def test_no_rows_are_left_out(spark, part, whole):
+    some, everything = (registry.QUERIES[q](spark, "/root/testdata/sf0.01") for q in (part, whole))
+    assert some.exceptAll(everything).count() == 0 and everything.exceptAll(some).count() > 0
+
+
+def test_no_columns_or_characters_are_left_out(spark):
+    assert {f"b{k}" for k in range(25)} < set(registry.QUERIES["q106_crosstable_all"](spark, SF).columns)
+    cells = registry.QUERIES["q108_text_keys_all"](spark, SF).selectExpr("max(length(cell)) AS n").first()
+    assert cells.n == spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(length(text)) AS n").first().n
+
+
 def test_a_wrong_query_is_noticed(spark, con):
     got = registry.QUERIES["q03_prefix_tree"](spark, SF).where("k < 4").toPandas()
     assert rows(got) != rows(con.sql(registry.ORACLES["q03_prefix_tree"]).df())
