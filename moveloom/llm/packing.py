@@ -71,14 +71,16 @@ class WordIds:
     The tokenizer turns every run of white space into one blank and never joins characters across it,
     so the ids of a text are those of its words in turn; most were seen before. Latin letters, digits and
     signs are cut as the tokenizer's own pattern cuts them, and the parts go straight to the merge table;
-    in a text that has other characters, words that do go through the whole tokenizer.
+    in a text that has other characters, words that do go through the whole tokenizer. So do texts that
+    hold an added token such as an end marker, which the tokenizer finds before it cuts.
     """
 
     def __init__(self, tokenizer_file: str, memory: int = WORD_MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)  # some are looked for in the lower-cased text
         self.merge = self.tokenizer.model.tokenize
         self.bytes_as = _byte_letters()
         self.parts = _Memory(self._part, memory)
@@ -95,7 +97,7 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text, without the end id."""
-        if _CONTROL_GAPS.search(text):  # blanks for str.split() but not for the tokenizer
+        if _CONTROL_GAPS.search(text) or self.added.search(text):  # blanks for str.split() but not for the tokenizer; added tokens
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _PLAIN_TEXT.fullmatch(text):
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))

@@ -181,6 +181,16 @@ def test_word_ids_equal_the_tokenizer():
             assert words.encode(t) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_keep_their_ids():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    words, fresh = packing.WordIds(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
+    for t in ("<|endoftext|>", "one text<|endoftext|>another text", "<|startoftext|> a b <|endoftext|>", "é漢<|endoftext|>é", "<|ENDOFTEXT|> x", "<|endoftext |>", "a <|endoftext|>\x1c<|endoftext|>"):
+        assert words.encode(t) == np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert np.frombuffer(words.encode("<|startoftext|> <|endoftext|>"), "<u4").tolist() == [49406, 49407]
+
+
 def check_packing(rows, capacity):
     sequences = defaultdict(list)
     for r in rows:
