@@ -6,7 +6,7 @@ the next one's docs. All but the last keep the columns of documents; the last re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moveloom.llm import mixing, ngram_join, packing, pii, quality
@@ -25,18 +25,24 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, once."""
+    """Of each group of near duplicates the document with the smallest id, once; null ids come last, texts of one id by hash.
+
+    A row is known by a hash of its id and text, so several rows may have one id or none.
+    """
     ship(spark)
-    classes = ngram_join.join_classes(spark, docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    chosen = Scratch(spark).keep(classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    del classes
+    key = fresh(docs, "_row")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    classes = ngram_join.join_classes(spark, keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    rows = classes.groupBy(F.col("doc_id").alias(key)).agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
+    ids = keyed.select(key, F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", key, "n")).alias("first")
+    chosen = Scratch(spark).keep(rows.join(ids, key).groupBy("component").agg(first).select(f"first.{key}", "first.n"))
+    del classes, rows
     free_shuffles(spark)
-    key, turn = fresh(docs, "_chosen"), fresh(docs, "_turn")
-    kept = docs.join(chosen.select(F.col("doc_id").alias(key)), F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
-    if chosen.where("n > 1").limit(1).count():  # an id on several rows
-        order = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
-    return kept
+    kept = keyed.join(chosen.select(key), key, "left_semi")
+    if chosen.where("n > 1").limit(1).count():  # rows equal in id and text
+        kept = kept.dropDuplicates([key])
+    return kept.select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

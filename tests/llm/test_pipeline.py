@@ -56,6 +56,14 @@ def test_odd_rows(spark):
     assert by[1] == 1 and 2 not in by and by[12] == 1 and by[None] == 1 and 9 not in by and by[8] == 1
 
 
+def test_survivors_are_rows_not_ids(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(20)) for w in ("ka", "lo", "mi", "nu"))
+    rows = [(1, one), (5, two), (5, one + " end"), (7, two), (7, three), (None, four), (None, "other " + one[:40] + four[:60]), (None, three), (None, four)]
+    kept = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [(1, one), (5, two), (7, three), (None, four), rows[6]]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_run(spark):
     packed = P.run(spark, "/root/testdata/sf0.001").collect()
     check_packing(packed, 2048)
