@@ -1,6 +1,8 @@
 r"""Licence scans (operator 8), in DataFrame functions only.
 
-The units of a document are its lines, its paragraphs and the whole text. A unit and a template are
+The units of a document are its lines, its paragraphs, the whole text, and for each template the windows of
+as many words as it has that place one of its rare words where the template has it. Of windows that overlap by
+more than half, only the likest licence's count. A unit and a template are
 normalised to lower-case words of letters and digits; their likeness is the Dice coefficient of their sets
 of word bigrams. Dice reaches t only if the smaller set is at least t / (2 - t) of the larger, so for each
 unit only the templates within those bounds are compared; most units have none. A unit that reaches t also
@@ -53,6 +55,22 @@ TEMPLATES = {
 }
 
 
+_WARRANTY = "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+
+
+def _header(work: str, kind: str, version: str) -> str:
+    return f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. This {work} is {_WARRANTY} See the GNU {kind} for more details."
+
+
+#: The usual headers that TEMPLATES lacks; the SQL doesn't have them.
+HEADERS = {
+    "GPL-2.0": (_header("program", "General Public License", "2"),),
+    "LGPL-2.1": (_header("library", "Lesser General Public License", "2.1"),),
+    "LGPL-3.0": (_header("program", "Lesser General Public License", "3"), _header("library", "Lesser General Public License", "3")),
+}
+ALL_TEMPLATES = {name: TEMPLATES.get(name, ()) + HEADERS.get(name, ()) for name in sorted({*TEMPLATES, *HEADERS})}
+
+
 #: Words too common to tell a licence by.
 COMMON = ("a", "and", "by", "in", "is", "of", "or", "the", "this", "to", "with")
 
@@ -91,7 +109,40 @@ def bigrams(unit: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(F.transform(pairs, lambda p: F.concat_ws(" ", p["x"], p["y"])))).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _window_hits(words: Column, templates: dict[str, tuple[str, ...]], threshold: float) -> Column:
+    """(dice, license, start, end) of the windows of a text's words that reach the threshold."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    listed = [(name, [w for w in re.split(r"[^\w]|_", text.lower()) if w]) for name, texts in templates.items() for text in texts]
+    for k, ((_, own), (_, pairs)) in enumerate(zip(listed, template_bigrams(templates), strict=True)):
+        for word in anchor_words(pairs, threshold):
+            places.setdefault(word, []).extend((k, at) for at, w in enumerate(own) if w == word)
+    found = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*places))
+    known = F.create_map(*(c for w, own in places.items() for c in (F.lit(w), F.array(*(F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in own)))))
+    starts = F.array_distinct(F.flatten(F.transform(found, lambda x: F.transform(known[x["w"]], lambda p: F.struct(p["k"].alias("k"), (x["i"] - p["at"]).alias("start"))))))
+    lengths, names = F.array(*(F.lit(len(own)) for _, own in listed)), F.array(*(F.lit(name) for name, _ in listed))
+    sets = F.array(*(F.array(*map(F.lit, own)) for _, own in template_bigrams(templates)))
+
+    def hit(c: Column) -> Column:
+        low, end = F.greatest(c["start"], F.lit(0)), c["start"] + F.get(lengths, c["k"])
+        own = F.get(sets, c["k"])
+        there = F.transform(F.array(bigrams(F.array_join(F.slice(words, low + 1, end - low), " "))), lambda b: 2.0 * F.size(F.array_intersect(b, own)) / (F.size(b) + F.size(own)))
+        return F.struct(there[0].alias("dice"), F.get(names, c["k"]).alias("license"), low.alias("start"), F.least(end, F.size(words)).alias("end"))
+
+    return F.filter(F.transform(starts, hit), lambda h: h["dice"] >= threshold)
+
+
+def _likest(hits: Column) -> Column:
+    """Hits that no likelier hit of another licence overlaps by more than half."""
+
+    def beaten(x: Column, y: Column) -> Column:
+        both = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+        more = (y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["license"] > x["license"]))
+        return (y["license"] != x["license"]) & more & (2 * both > F.least(x["end"] - x["start"], y["end"] - y["start"]))
+
+    return F.filter(hits, lambda x: ~F.exists(hits, lambda y: beaten(x, y)))
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs -> (doc_id, license, dice): the best score of each licence that reaches the threshold."""
     known = template_bigrams(templates)
     ratio = threshold / (2 - threshold)
@@ -101,7 +152,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     words = sorted(w for w in words if not any(v != w and v in w for v in words))
     # a lambda's variable holds the lower-cased text once for all words
     held = F.exists(F.array(F.lower(body)), lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)))
-    single = docs.where(held).select(F.col(doc_id).alias("doc_id"), F.explode_outer(units).alias("unit"))
+    texts = docs.where(held)
+    split = texts.select(F.col(doc_id).alias("doc_id"), F.explode_outer(F.array(F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), ""))).alias("words"))
+    hits = split.select("doc_id", F.explode_outer(F.array(_window_hits(F.col("words"), templates, threshold))).alias("hits")).where(F.size("hits") > 0)
+    within_text = hits.select("doc_id", F.explode_outer(_likest(F.col("hits"))).alias("hit")).select("doc_id", F.struct("hit.dice", "hit.license").alias("hit"))
+    single = texts.select(F.col(doc_id).alias("doc_id"), F.explode_outer(units).alias("unit"))
     # explode() of one element keeps the filter below from being computed with the set once per condition
     sets = single.select("doc_id", F.explode_outer(F.array(bigrams(F.col("unit")))).alias("set")).withColumn("n", F.size("set"))
     near = F.lit(False)
@@ -114,5 +169,5 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
         shared = F.size(F.array_intersect("set", F.array(*map(F.lit, own))))
         scores.append(F.when(within, F.struct((2.0 * shared / (F.col("n") + len(own))).alias("dice"), F.lit(name).alias("license"))))
     best = F.array_max(F.array(*scores))  # of the licences that reach the threshold, a unit counts for the likest
-    found = sets.select("doc_id", best.alias("hit")).where(F.col("hit.dice") >= threshold)
+    found = sets.select("doc_id", best.alias("hit")).union(within_text).where(F.col("hit.dice") >= threshold)
     return found.groupBy("doc_id", F.col("hit.license").alias("license")).agg(F.max("hit.dice").alias("dice"))

@@ -365,3 +365,14 @@ def test_licenses(spark):
     got = {(r.doc_id, r.license): r.dice for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {(1, "MIT"), (2, "GPL-3.0"), (6, "MIT")} and got[1, "MIT"] == 1.0
     assert licenses.scan(odd_docs(spark)).count() == 0 and licenses.scan(empty_docs(spark)).count() == 0
+
+
+def test_licenses_among_other_words(spark):
+    filler = " ".join(f"w{i}" for i in range(150))
+    mit, gpl3 = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1]
+    wrapped = "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60))
+    rows = [(1, "Copyright 2020 Foo. Licensed under the MIT License."), (2, "Licensed under the MIT License. See License.txt in the project root for license information."),
+            (3, f"{filler}\n{wrapped}\n{filler}"), (4, f"{filler} {mit} {filler}"), (5, licenses.HEADERS["GPL-2.0"][0]), (6, f"{filler} {licenses.HEADERS['LGPL-2.1'][0]} {filler}"), (7, f"{filler} {gpl3}"),
+            (8, f"{filler} This work is licensed under the GNU General Public License, version 2. {filler}"), (9, f"{filler} This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. {filler}"), (10, filler + " license")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (5, "GPL-2.0"), (6, "LGPL-2.1"), (7, "GPL-3.0"), (8, "GPL-2.0"), (9, "CC-BY-NC-4.0")}
