@@ -83,41 +83,14 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _once_per_task(docs: DataFrame) -> DataFrame:
-    """(key, text) of each distinct text that a task meets: a group of copies sends one text per task."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        seen: set[str] = set()
-        for batch in batches:
-            keep = []
-            for key in batch.column(0).to_pylist():
-                keep.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.select("key", "text").mapInArrow(run, "key string, text string")
-
-
 def _distinct_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The distinct texts as a table bucketed by key, so that joins on the key leave it in place."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        last = None
-        for batch in batches:
-            keep = []
-            for key in batch.column(0).to_pylist():
-                keep.append(key != last)
-                last = key
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    """The distinct texts as a table bucketed by key, so that joins on the key leave it in place.
 
+    Each task sorts its rows by key and sends one text of each, so a group of copies is never gathered.
+    """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _once_per_task(docs).repartition(parts, "key").sortWithinPartitions("key")
     name = f"moveloom_texts_{uuid.uuid4().hex}"
-    dealt.mapInArrow(run, "key string, text string").write.bucketBy(parts, "key").format("parquet").saveAsTable(name)
+    docs.groupBy("key").agg(F.first("text").alias("text")).write.bucketBy(parts, "key").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
