@@ -20,9 +20,9 @@ def q40_falls(spark, sf_dir):
     return both.select("game", "ply", r("fall").alias("fall"), r("fall2").alias("fall2"))
 
 
-@query(f"WITH {CURVES}, m AS (SELECT game, ply, max(score) OVER (PARTITION BY game ORDER BY ply ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS most FROM c) SELECT game, min(ply) FILTER (most <= -50) AS turn FROM m GROUP BY game")
+@query(f"WITH {CURVES}, m AS (SELECT game, ply, max(score) OVER (PARTITION BY game ORDER BY ply ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS most FROM c) SELECT game, min(ply) FILTER (most <= -10) AS turn FROM m GROUP BY game")
 def q41_turning_point(spark, sf_dir):
-    return C.turning_point(curves(spark, sf_dir), "game", "ply", "score", -50)
+    return C.turning_point(curves(spark, sf_dir), "game", "ply", "score", -10)
 
 
 @query(f"""WITH {CURVES}, x AS (SELECT game, min(ply) FILTER (score >= 150) AS crossing FROM c GROUP BY game)

@@ -58,16 +58,15 @@ def q78_combinations(spark, sf_dir):
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())""")
 def q79_grouping_sets(spark, sf_dir):
     """Losses by each dimension of a report in one pass."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("moveloom_lineitem")
     return spark.sql("""SELECT l_returnflag, l_linestatus, l_linenumber, grouping_id(l_returnflag, l_linestatus, l_linenumber) AS level, count(*) AS n, round(sum(l_discount * l_extendedprice), 2) AS loss
-      FROM moveloom_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())""")
+      FROM {lines} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())""", lines=table(spark, sf_dir, "lineitem"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_reduce(list_transform(range(0, 62), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i::INT) ELSE 0::BIGINT END), lambda x, y: x + y) AS bits FROM embeddings)
+@query("""WITH b AS (SELECT vec_id, list_reduce(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i::INT) ELSE 0::BIGINT END), lambda x, y: x + y) + CASE WHEN embedding[64] > 0 THEN (-9223372036854775808)::BIGINT ELSE 0::BIGINT END AS bits FROM embeddings)
 SELECT vec_id, bits, bit_count(bits)::INT AS men, xor(bits, 56::BIGINT) AS flipped, (bits >> 8) & 255 AS rank2 FROM b""")
 def q80_bitboards(spark, sf_dir):
     """Signs packed into one word: population count, flips and masks."""
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.element_at("embedding", i + 1) > 0, F.expr("shiftleft(1L, 0)") * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    bits = F.expr("aggregate(sequence(0, 63), 0L, (acc, i) -> acc | IF(embedding[i] > 0, shiftleft(1L, i), 0L))")
     b = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("bits"))
     return b.select("vec_id", "bits", F.bit_count("bits").alias("men"), F.col("bits").bitwiseXOR(F.lit(56).cast("long")).alias("flipped"), F.shiftright("bits", 8).bitwiseAND(F.lit(255).cast("long")).alias("rank2"))
 
@@ -96,11 +95,11 @@ def q83_signature(spark, sf_dir):
     return games(spark, sf_dir).select("game", F.array_join(F.transform(kinds, part), " ").alias("signature"))
 
 
-@query("""WITH s AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), t AS (SELECT label, i, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM s WHERE i <= 11 GROUP BY ALL)
+@query("""WITH s AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), t AS (SELECT label, i, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM s GROUP BY ALL)
 SELECT label, i::BIGINT AS i, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY label), 6) AS share FROM t""")
 def q84_vector_sum(spark, sf_dir):
-    """Element-wise sums of counters of eleven cells, and their shares."""
-    s = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 11)).alias("at", "v"))
+    """Element-wise sums of counters, and their shares."""
+    s = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("at", "v"))
     t = s.groupBy("label", (F.col("at") + 1).cast("long").alias("i")).agg(F.sum((F.col("v") > 0).cast("long")).alias("n"))
     return t.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("label")), 6))
 
@@ -112,15 +111,9 @@ def q85_bands_and_games(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 7).alias("family"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("games"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS key, translate(left(text, 40), chr(9) || chr(10) || chr(13), '   ') AS cell FROM documents")
-def q86_text_keys(spark, sf_dir):
-    """Keys of the first four fields, and cells fit for a TSV file."""
-    return table(spark, sf_dir, "documents").select("doc_id", position_key(F.col("text")).alias("key"), tsv_cell(F.left("text", F.lit(40))).alias("cell"))
-
-
 @query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS key, translate(text, chr(9) || chr(10) || chr(13), '   ') AS cell FROM documents")
-def q108_text_keys_all(spark, sf_dir):
-    """The keys of q86, and cells of whole texts."""
+def q86_text_keys(spark, sf_dir):
+    """Keys of the first four fields, and whole texts as cells fit for a TSV file."""
     return table(spark, sf_dir, "documents").select("doc_id", position_key(F.col("text")).alias("key"), tsv_cell(F.col("text")).alias("cell"))
 
 

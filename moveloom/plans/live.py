@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..sources.folders import work_folder
 from ..sources.tables import table
 from ..streaming import ledger
 from .registry import query
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="moveloom-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _landed(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    base = _folder(spark)
+    base = work_folder(spark)
     ledger.land(events.union(events.where("event_id % 9 = 0")), f"{base}/in", 6)  # some lines come twice
     return base, events.schema
 

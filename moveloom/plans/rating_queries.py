@@ -78,15 +78,9 @@ def q68_pooled_estimate(spark, sf_dir):
     return out.select("n", F.round("mean", 6).alias("mean"), F.round("error", 6).alias("error"))
 
 
-@query(f"WITH {PAIRINGS} SELECT a, round(sum(score) FILTER (b = 0), 1) AS b0, round(sum(score) FILTER (b = 1), 1) AS b1, round(sum(score) FILTER (b = 2), 1) AS b2, round(sum(score) FILTER (b = 3), 1) AS b3 FROM p WHERE b <= 3 GROUP BY a")
-def q69_crosstable(spark, sf_dir):
-    out = pairings(spark, sf_dir).where("b <= 3").groupBy("a").pivot("b", [0, 1, 2, 3]).agg(F.round(F.sum("score"), 1))
-    return out.select("a", *(F.col(str(k)).alias(f"b{k}") for k in range(4)))
-
-
 @query(f"WITH {PAIRINGS} SELECT a, {', '.join(f'round(sum(score) FILTER (b = {k}), 1) AS b{k}' for k in range(25))} FROM p GROUP BY a")
-def q106_crosstable_all(spark, sf_dir):
-    """The cross table of q69 with all players; the SQL has those of the given tables."""
+def q69_crosstable(spark, sf_dir):
+    """Points of each player against each other one; the SQL has the players of the given tables."""
     players = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     out = pairings(spark, sf_dir).groupBy("a").pivot("b", players).agg(F.round(F.sum("score"), 1))
     return out.select("a", *(F.col(str(k)).alias(f"b{k}") for k in players))
@@ -154,18 +148,10 @@ def q73_residuals(spark, sf_dir):
     return x.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r"), 5).alias("residual"), F.round(F.avg("r"), 6).alias("mean"), F.round(1.96 * F.stddev_samp("r") / F.sqrt(F.count(F.lit(1))), 6).alias("half"))
 
 
-@query(f"WITH {PAIRINGS} SELECT a, l_orderkey, l_linenumber, l_partkey, b, (sum(CASE WHEN score = 1 THEN 1 ELSE 0 END) OVER w)::BIGINT AS wins, (sum(CASE WHEN score = 0.5 THEN 1 ELSE 0 END) OVER w)::BIGINT AS draws FROM p WHERE a = 3 WINDOW w AS (PARTITION BY a ORDER BY l_orderkey, l_linenumber, l_partkey, b ROWS UNBOUNDED PRECEDING)")
-def q74_running_tally(spark, sf_dir):
-    return _running(pairings(spark, sf_dir).where("a = 3"))
-
-
 @query(f"WITH {PAIRINGS} SELECT a, l_orderkey, l_linenumber, l_partkey, b, (sum(CASE WHEN score = 1 THEN 1 ELSE 0 END) OVER w)::BIGINT AS wins, (sum(CASE WHEN score = 0.5 THEN 1 ELSE 0 END) OVER w)::BIGINT AS draws FROM p WINDOW w AS (PARTITION BY a ORDER BY l_orderkey, l_linenumber, l_partkey, b ROWS UNBOUNDED PRECEDING)")
-def q107_running_tally_all(spark, sf_dir):
-    """The running tally of q74 for all players."""
-    return _running(pairings(spark, sf_dir))
-
-
-def _running(games):
+def q74_running_tally(spark, sf_dir):
+    """Wins and draws of each player so far, game by game."""
+    games = pairings(spark, sf_dir)
     w = Window.partitionBy("a").orderBy("l_orderkey", "l_linenumber", "l_partkey", "b").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda v: F.sum(F.when(F.col("score") == v, 1).otherwise(0)).over(w).cast("long")
     return games.select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", run(1.0).alias("wins"), run(0.5).alias("draws"))

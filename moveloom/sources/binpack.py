@@ -1,0 +1,247 @@
+"""Chunked bit streams of games: decoder and encoder.
+
+A file is a row of chunks, each `BINP`, its size (four bytes, least first) and as many bytes; a `.zst` file is the
+same compressed. A chunk holds whole games. A game is a stem of 32 bytes (first position, move, score, ply, result),
+the number of moves that follow (two bytes, most significant first) and these as bits: which of the own pieces
+moves, which of its options it takes, and by how much the score differs from the negated one before. Decoding is
+stateful within a game, so chunks are what is dealt to tasks.
+"""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .rules import KING, PAWN, ROOK, Move, Position, uci
+
+MAGIC = b"BINP"
+#: Codes of a stem beyond the twelve pieces, and the kinds of a packed move.
+PASSED_PAWN, WHITE_ROOK, BLACK_ROOK, BLACK_KING = 12, 13, 14, 15
+PLAIN, PROMOTION, CASTLING, EN_PASSANT = 0, 1, 2, 3
+#: Units of a stored score that make a pawn, and the bound of centipawns.
+UNITS_PER_PAWN, MOST_CP = 208, 10000
+
+SCHEMA = T.StructType([
+    T.StructField("file", T.StringType()), T.StructField("chunk", T.IntegerType()), T.StructField("game", T.IntegerType()), T.StructField("ply", T.IntegerType()), T.StructField("stm", T.ByteType()),
+    T.StructField("men", T.ByteType()), T.StructField("pieces", T.ArrayType(T.ByteType())), T.StructField("squares", T.ArrayType(T.ByteType())), T.StructField("move", T.StringType()),
+    T.StructField("score", T.ShortType()), T.StructField("result_stm", T.ByteType()),
+])
+
+
+def zigzag(x: int) -> int:
+    """0, -1, 1, -2, ... as 0, 1, 2, 3, ..."""
+    return 2 * x if x >= 0 else -2 * x - 1
+
+
+def unzigzag(n: int) -> int:
+    return -(n >> 1) - 1 if n & 1 else n >> 1
+
+
+def wrapped(x: int) -> int:
+    """As a signed number of 16 bits."""
+    return (x + 0x8000) % 0x10000 - 0x8000
+
+
+def width(n: int) -> int:
+    """Bits that tell n options apart."""
+    return max(n - 1, 0).bit_length()
+
+
+class BitReader:
+    def __init__(self, data: bytes, start: int):
+        self.data, self.at = data, 8 * start
+
+    def take(self, n: int) -> int:
+        whole = int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 3].ljust(3, b"\0"), "big")
+        out = whole >> 24 - (self.at & 7) - n & (1 << n) - 1
+        self.at += n
+        if self.at > 8 * len(self.data):
+            raise ValueError("the chunk ends within a game")
+        return out
+
+    def number(self) -> int:
+        """Groups of four bits, the lowest first, each after a bit that says whether another follows."""
+        out = shift = 0
+        more = 1
+        while more:
+            more, part = self.take(1), self.take(4)
+            out |= part << shift
+            shift += 4
+        return out & 0xFFFF
+
+    def end(self) -> int:
+        return self.at + 7 >> 3
+
+
+class BitWriter:
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value: int, n: int) -> None:
+        self.bits.append(f"{value:0{n}b}" if n else "")
+
+    def number(self, value: int) -> None:
+        while True:
+            self.put(int(value > 15), 1)
+            self.put(value & 15, 4)
+            value >>= 4
+            if not value:
+                return
+
+    def bytes(self) -> bytes:
+        text = "".join(self.bits)
+        return int(text.ljust(-(-len(text) // 8) * 8, "0") or "0", 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def read_stem(stem: bytes) -> tuple[Position, Move, int, int, int]:
+    """First position, its move, score, ply and result for the side to move."""
+    occupied, at, rooks, black, ep = int.from_bytes(stem[:8], "big"), [-1] * 64, set(), 0, None
+    codes = [c for b in stem[8:24] for c in (b & 15, b >> 4)]
+    for square, code in zip((s for s in range(64) if occupied >> s & 1), codes, strict=False):
+        if code == PASSED_PAWN:
+            at[square] = 2 * PAWN + (square >= 32)
+            ep = square + 8 if square >= 32 else square - 8
+        elif code in (WHITE_ROOK, BLACK_ROOK):
+            at[square] = 2 * ROOK + (code == BLACK_ROOK)
+            rooks.add(square)
+        elif code == BLACK_KING:
+            at[square], black = 2 * KING + 1, 1
+        else:
+            at[square] = code
+    packed, raw_score, ply_result, clock = (int.from_bytes(stem[k : k + 2], "big") for k in (24, 26, 28, 30))
+    kind, source, target = packed >> 14, packed >> 8 & 63, packed >> 2 & 63
+    if kind == CASTLING:  # stored as the king that takes its rook
+        target = source // 8 * 8 + (6 if target > source else 2)
+    ply = ply_result & 0x3FFF
+    position = Position(at, black, frozenset(rooks), ep, clock, ply // 2 + 1)
+    return position, (source, target, (packed & 3) + 1 if kind == PROMOTION else 0), unzigzag(raw_score), ply, unzigzag(ply_result >> 14)
+
+
+def write_stem(position: Position, move: Move, score: int, ply: int, result: int) -> bytes:
+    squares = [s for s in range(64) if position.at[s] >= 0]
+    passed = None if position.ep is None else position.ep + (8 if position.black else -8)
+    codes = []
+    for s in squares:
+        piece = position.at[s]
+        if s == passed:
+            piece = PASSED_PAWN
+        elif s in position.rooks:
+            piece = BLACK_ROOK if piece & 1 else WHITE_ROOK
+        elif piece == 2 * KING + 1 and position.black:
+            piece = BLACK_KING
+        codes.append(piece)
+    codes += [0] * (32 - len(codes))
+    source, target, promoted = move
+    kind, extra = (PROMOTION, promoted - 1) if promoted else (PLAIN, 0)
+    if position.at[source] >> 1 == KING and abs(source % 8 - target % 8) == 2:
+        kind, target = CASTLING, next(r for r in position.rooks if r // 8 == source // 8 and (r < source) == (target < source))
+    elif position.at[source] >> 1 == PAWN and target == position.ep:
+        kind = EN_PASSANT
+    numbers = (kind << 14 | source << 8 | target << 2 | extra, zigzag(score), zigzag(result) << 14 | ply, position.clock)
+    return sum(1 << s for s in squares).to_bytes(8, "big") + bytes(a | b << 4 for a, b in zip(codes[::2], codes[1::2], strict=True)) + b"".join(n.to_bytes(2, "big") for n in numbers)
+
+
+def games_of(chunk: bytes) -> Iterator[list[tuple[Position, Move, int, int, int]]]:
+    """Of each game of a chunk its (position, move, score, result, ply), the numbers for the side to move; bad chunks are errors."""
+    at = 0
+    while at < len(chunk):
+        if at + 34 > len(chunk):
+            raise ValueError("the chunk ends within a stem")
+        position, move, score, ply, result = read_stem(chunk[at : at + 32])
+        count = int.from_bytes(chunk[at + 32 : at + 34], "big")
+        bits, rows = BitReader(chunk, at + 34), []
+        for k in range(count + 1):
+            if k:
+                position, result = position.after(move), -result
+                own = position.own()
+                choices = position.options(own[bits.take(width(len(own)))])
+                move = choices[bits.take(width(len(choices)))]
+                score = wrapped(-score + unzigzag(bits.number()))
+            if not position.legal(move):
+                raise ValueError(f"illegal move {uci(move)} in {position.fen()}")
+            rows.append((position, move, score, result, ply + k))
+        at = bits.end()
+        yield rows
+
+
+def game_bytes(rows: list[tuple[Position, Move, int, int, int]]) -> bytes:
+    """One game as it stands in a chunk; the inverse of games_of."""
+    position, move, score, result, ply = rows[0]
+    bits = BitWriter()
+    for position_, move_, score_, _, _ in rows[1:]:
+        own = position_.own()
+        choices = position_.options(move_[0])
+        bits.put(own.index(move_[0]), width(len(own)))
+        bits.put(choices.index(move_), width(len(choices)))
+        bits.number(zigzag(wrapped(score_ + score)))
+        score = score_
+    return write_stem(position, move, rows[0][2], ply, result) + (len(rows) - 1).to_bytes(2, "big") + bits.bytes()
+
+
+def file_bytes(chunks: Iterable[bytes]) -> bytes:
+    return b"".join(MAGIC + len(c).to_bytes(4, "little") + c for c in chunks)
+
+
+def chunks_of(content: bytes, compressed: bool) -> Iterator[bytes]:
+    """The chunks of a file, read one after the other."""
+    stream: io.BufferedIOBase = io.BytesIO(content)
+    if compressed:
+        import zstandard
+
+        stream = io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(stream, read_size=1 << 20, read_across_frames=True))
+    while head := stream.read(8):
+        size = int.from_bytes(head[4:], "little")
+        if head[:4] != MAGIC or len(head) < 8:
+            raise ValueError(f"no chunk begins with {head!r}")
+        chunk = stream.read(size)
+        if len(chunk) < size:
+            raise ValueError("the file ends within a chunk")
+        yield chunk
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """file, chunk, data: the raw chunks of all files below a path of any store that Spark reads."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                for k, chunk in enumerate(chunks_of(content.as_py(), name.as_py().endswith(".zst"))):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k], pa.int32()), pa.array([chunk], pa.binary())], names=["file", "chunk", "data"])
+
+    return files.mapInArrow(run, "file string, chunk int, data binary")
+
+
+def read_binpack(spark: SparkSession, path: str) -> DataFrame:
+    """One row per position with the columns of SCHEMA; chunks are dealt evenly to the tasks that decode them."""
+    return decode(read_chunks(spark, path).repartition("file", "chunk"))
+
+
+def decode(chunks: DataFrame) -> DataFrame:
+    """chunks (file, chunk, data) -> the positions of their games, with the columns of SCHEMA."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int8(), pa.int8(), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.string(), pa.int16(), pa.int8()]
+        for batch in batches:
+            for name, number, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for g, game in enumerate(games_of(data)):
+                    rows = []
+                    for position, move, score, result, ply in game:
+                        squares = [s for s in range(64) if position.at[s] >= 0]
+                        rows.append((name, number, g, ply, position.black, len(squares), [position.at[s] for s in squares], squares, uci(move), score, result))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=SCHEMA.names)
+
+    return chunks.select("file", "chunk", "data").mapInArrow(run, SCHEMA)
+
+
+def centipawns(score) -> F.Column:
+    """Stored units as centipawns within the bound."""
+    return F.greatest(F.lit(-float(MOST_CP)), F.least(F.lit(float(MOST_CP)), score * 100.0 / UNITS_PER_PAWN))

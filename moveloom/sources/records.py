@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: The layout of a record.
 RECORD = np.dtype([("stm", "u1"), ("count", "u1"), ("pieces", "u1", 32), ("squares", "u1", 32), ("score", "<i2"), ("result", "u1"), ("engine", "u1")])
@@ -73,8 +73,64 @@ class RecordReader(DataSourceReader):
                 left -= n
 
 
+def bytes_of(batch) -> bytes:
+    """An Arrow batch with the columns of SCHEMA as packed records; the inverse of table_of."""
+    out = np.zeros(batch.num_rows, RECORD)
+    for name, column in zip(("stm", "count", "score", "result", "engine"), (0, 1, 4, 5, 6), strict=True):
+        out[name] = batch.column(column).to_numpy(zero_copy_only=False)
+    men = out["count"].astype(np.int64)
+    if (men > 32).any():
+        raise ValueError("a record has at most 32 pieces")
+    live = np.arange(32) < men[:, None]
+    for name, column in (("pieces", 2), ("squares", 3)):
+        flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != men.sum():
+            raise ValueError(f"{name} are not as many as men")
+        out[name][live] = flat
+    return out.tobytes()
+
+
+class Shard(WriterCommitMessage):
+    def __init__(self, written: str, name: str, count: int):
+        self.written, self.name, self.count = written, name, count
+
+
+class RecordWriter(DataSourceArrowWriter):
+    """A shard per task under a temporary name; all get their names when the job commits, so no reader meets half of it."""
+
+    def __init__(self, folder: str, overwrite: bool):
+        self.folder, self.overwrite = folder, overwrite
+
+    def write(self, iterator: Iterator) -> Shard:
+        from pyspark import TaskContext
+
+        context, count = TaskContext.get(), 0
+        name = f"{self.folder}/part-{context.partitionId():05d}.bin"
+        os.makedirs(self.folder, exist_ok=True)
+        written = f"{name}.{context.taskAttemptId()}.tmp"
+        with open(written, "wb") as out:
+            for batch in iterator:
+                out.write(bytes_of(batch))
+                count += batch.num_rows
+        return Shard(written, name, count)
+
+    def commit(self, messages) -> None:
+        if self.overwrite:
+            for old in os.listdir(self.folder):
+                if old.endswith(".bin"):
+                    os.remove(f"{self.folder}/{old}")
+        for m in messages:
+            if m is not None:
+                os.replace(m.written, m.name) if m.count else os.remove(m.written)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.written):
+                os.remove(m.written)
+
+
 class RecordSource(DataSource):
-    """format("positions"): options path (comma-separated), limit per file, recordsPerPartition."""
+    """format("positions"): options path (comma-separated), limit per file, recordsPerPartition; writes shards into a folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,6 +142,35 @@ class RecordSource(DataSource):
     def reader(self, schema: T.StructType) -> RecordReader:
         return RecordReader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> RecordWriter:
+        return RecordWriter(self.options["path"], overwrite)
+
+
+def write_records(records: DataFrame, folder: str, skip_if_exists: bool = False) -> bool:
+    """Records with the columns of SCHEMA as shards in a folder that all tasks can open; false if that is there and to be skipped."""
+    if skip_if_exists and os.path.isdir(folder) and any(f.endswith(".bin") for f in os.listdir(folder)):
+        return False
+    spark = records.sparkSession
+    spark.dataSource.register(RecordSource)
+    ordered = records.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA))
+    ordered.write.format("positions").mode("overwrite").save(folder)
+    return True
+
+
+def shards_of(folder: str) -> list[str]:
+    return sorted(f"{folder}/{f}" for f in os.listdir(folder) if f.endswith(".bin"))
+
+
+def union_report(*paths: str, limit: int = 0) -> list[tuple[str, int]]:
+    """How many records a union takes of each file; a file that is no whole number of records is an error."""
+    out = []
+    for path in paths:
+        count, rest = divmod(os.path.getsize(path), RECORD.itemsize)
+        if rest:
+            raise ValueError(f"{path} is no whole number of records")
+        out.append((path, min(count, limit) if limit else count))
+    return out
+
 
 def read_records(spark: SparkSession, *paths: str, limit: int | None = None, per_partition: int = 1_000_000) -> DataFrame:
     """Records of files that tasks can open; `limit` takes the first rows of each and fails where there are fewer."""

@@ -1,0 +1,232 @@
+"""The rules of chess as far as decoding and replaying games need them: set-up, legal moves, making a move, FEN, SAN.
+
+A piece is a number from 0 to 11, twice its kind (pawn, knight, bishop, rook, queen, king) and one more if black; an
+empty square is -1. Squares go from a1 = 0 to h8 = 63. A move is (source, target, kind promoted to or 0); castling is
+the king's move of two files.
+"""
+
+from __future__ import annotations
+
+import re
+
+PAWN, KNIGHT, BISHOP, ROOK, QUEEN, KING = range(6)
+LETTERS = "PNBRQK"
+#: The usual array of the pieces.
+START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+_SAN = re.compile(r"([KQRBN])?([a-h])?([1-8])?x?([a-h])([1-8])(?:=?([QRBN]))?")
+
+Move = tuple[int, int, int]
+
+
+def _ray(square: int, step: tuple[int, int], most: int = 7) -> tuple[int, ...]:
+    out, (f, r) = [], (square % 8 + step[0], square // 8 + step[1])
+    while 0 <= f < 8 and 0 <= r < 8 and len(out) < most:
+        out.append(8 * r + f)
+        f, r = f + step[0], r + step[1]
+    return tuple(out)
+
+
+_STRAIGHT, _DIAGONAL = ((1, 0), (-1, 0), (0, 1), (0, -1)), ((1, 1), (1, -1), (-1, 1), (-1, -1))
+_LEAPS = tuple((f, r) for f in (-2, -1, 1, 2) for r in (-2, -1, 1, 2) if abs(f) != abs(r))
+#: By kind and square, the rays a piece looks along; leapers see one square of each.
+RAYS = {
+    KNIGHT: [[x for d in _LEAPS if (x := _ray(s, d, 1))] for s in range(64)],
+    KING: [[x for d in _STRAIGHT + _DIAGONAL if (x := _ray(s, d, 1))] for s in range(64)],
+    BISHOP: [[x for d in _DIAGONAL if (x := _ray(s, d))] for s in range(64)],
+    ROOK: [[x for d in _STRAIGHT if (x := _ray(s, d))] for s in range(64)],
+    QUEEN: [[x for d in _STRAIGHT + _DIAGONAL if (x := _ray(s, d))] for s in range(64)],
+}
+#: By colour and square, where a pawn takes.
+TAKES = [[sorted(x for f in (-1, 1) for x in _ray(s, (f, 1 - 2 * c), 1)) for s in range(64)] for c in (0, 1)]
+
+
+def name(square: int) -> str:
+    return "abcdefgh"[square % 8] + str(square // 8 + 1)
+
+
+def uci(move: Move) -> str:
+    return name(move[0]) + name(move[1]) + (LETTERS[move[2]].lower() if move[2] else "")
+
+
+class Position:
+    __slots__ = ("at", "black", "rooks", "ep", "clock", "number")
+
+    def __init__(self, at: list[int], black: int, rooks: frozenset[int], ep: int | None, clock: int = 0, number: int = 1):
+        """at: 64 pieces; black: 1 if Black is to move; rooks: squares of rooks that may castle; ep: the square behind a pawn that has just gone two."""
+        self.at, self.black, self.rooks, self.ep, self.clock, self.number = at, black, rooks, ep, clock, number
+
+    def own(self) -> list[int]:
+        """Squares of the side to move, ascending."""
+        return [s for s, p in enumerate(self.at) if p >= 0 and p & 1 == self.black]
+
+    def seen_from(self, square: int) -> list[int]:
+        """Squares that the piece there attacks and that its own side does not hold, ascending."""
+        piece, out = self.at[square], []
+        if piece >> 1 == PAWN:
+            return [t for t in TAKES[piece & 1][square] if self.at[t] < 0 or self.at[t] & 1 != piece & 1]
+        for ray in RAYS[piece >> 1][square]:
+            for t in ray:
+                other = self.at[t]
+                if other < 0 or other & 1 != piece & 1:
+                    out.append(t)
+                if other >= 0:
+                    break
+        return sorted(out)
+
+    def attacked(self, square: int, by: int) -> bool:
+        """Whether the colour `by` attacks the square."""
+        at = self.at
+        if any(at[t] == 2 * PAWN + by for t in TAKES[1 - by][square]):
+            return True
+        if any(at[ray[0]] == 2 * k + by for k in (KNIGHT, KING) for ray in RAYS[k][square]):
+            return True
+        for kind in (BISHOP, ROOK):
+            for ray in RAYS[kind][square]:
+                first = next((at[t] for t in ray if at[t] >= 0), -1)
+                if first in (2 * kind + by, 2 * QUEEN + by):
+                    return True
+        return False
+
+    def in_check(self, colour: int | None = None) -> bool:
+        colour = self.black if colour is None else colour
+        return 2 * KING + colour in self.at and self.attacked(self.at.index(2 * KING + colour), 1 - colour)
+
+    def castlings(self) -> list[Move]:
+        """The king's castling moves whose rights are there, the one towards the a-file first, legal or not."""
+        king = self.at.index(2 * KING + self.black) if 2 * KING + self.black in self.at else None
+        own = sorted(r for r in self.rooks if r // 8 == 7 * self.black)
+        return [(king, 8 * (r // 8) + (2 if r < king else 6), 0) for r in own] if king is not None else []
+
+    def pawn_targets(self, square: int, ep: bool = True) -> list[int]:
+        forward = -8 if self.black else 8
+        out = [t for t in TAKES[self.black][square] if self.at[t] >= 0 and self.at[t] & 1 != self.black or ep and t == self.ep]
+        if 0 <= square + forward < 64 and self.at[square + forward] < 0:
+            out.append(square + forward)
+            if square // 8 == (6 if self.black else 1) and self.at[square + 2 * forward] < 0:
+                out.append(square + 2 * forward)
+        return sorted(out)
+
+    def safe(self, move: Move) -> bool:
+        """Whether the own king is not attacked after a move; for castling also not before and on its way."""
+        source, target, _ = move
+        if self.at[source] >> 1 == KING and abs(source % 8 - target % 8) == 2:
+            rook = next((r for r in self.rooks if r // 8 == source // 8 and (r < source) == (target < source)), None)
+            if rook is None or any(self.at[s] >= 0 for s in range(min(source, rook) + 1, max(source, rook))):
+                return False
+            if any(self.attacked(s, 1 - self.black) for s in range(min(source, target), max(source, target) + 1)):
+                return False
+        return not self.after(move).in_check(self.black)
+
+    def ep_is_legal(self) -> bool:
+        if self.ep is None:
+            return False
+        return any(self.at[s] == 2 * PAWN + self.black and self.safe((s, self.ep, 0)) for s in TAKES[1 - self.black][self.ep])
+
+    def options(self, square: int) -> list[Move]:
+        """Moves of the piece there as far as they don't depend on the king's safety, in ascending order of squares; castlings last."""
+        kind = self.at[square] >> 1
+        if kind == PAWN:
+            kinds = (KNIGHT, BISHOP, ROOK, QUEEN) if square // 8 == (1 if self.black else 6) else (0,)
+            return [(square, t, k) for t in self.pawn_targets(square, self.ep_is_legal()) for k in kinds]
+        plain = [(square, t, 0) for t in self.seen_from(square)]
+        return plain + self.castlings() if kind == KING else plain
+
+    def legal(self, move: Move) -> bool:
+        piece = self.at[move[0]]
+        return piece >= 0 and piece & 1 == self.black and move in self.options(move[0]) and self.safe(move)
+
+    def moves(self) -> list[Move]:
+        return [m for s in self.own() for m in self.options(s) if self.safe(m)]
+
+    def after(self, move: Move) -> Position:
+        source, target, promoted = move
+        at, piece = list(self.at), self.at[source]
+        taken, ep = at[target], None
+        at[source], at[target] = -1, 2 * promoted + self.black if promoted else piece
+        if piece >> 1 == PAWN:
+            if target == self.ep:
+                at[target + (8 if self.black else -8)] = -1
+            if abs(target - source) == 16:
+                ep = (source + target) // 2
+        rooks = self.rooks - {source, target}
+        if piece >> 1 == KING:
+            rooks = frozenset(r for r in rooks if r // 8 != 7 * self.black)
+            if abs(source % 8 - target % 8) == 2:
+                corner = next(r for r in self.rooks if r // 8 == source // 8 and (r < source) == (target < source))
+                at[corner], at[(source + target) // 2] = -1, 2 * ROOK + self.black
+        clock = 0 if piece >> 1 == PAWN or taken >= 0 else self.clock + 1
+        return Position(at, 1 - self.black, frozenset(rooks), ep, clock, self.number + self.black)
+
+    def fen(self) -> str:
+        rows = []
+        for r in range(7, -1, -1):
+            row = "".join("." if p < 0 else LETTERS[p >> 1].lower() if p & 1 else LETTERS[p >> 1] for p in self.at[8 * r : 8 * r + 8])
+            rows.append(re.sub(r"\.+", lambda m: str(len(m[0])), row))
+        rights = "".join(x for x, s in (("K", 7), ("Q", 0), ("k", 63), ("q", 56)) if s in self.rooks) or "-"
+        return f"{'/'.join(rows)} {'wb'[self.black]} {rights} {name(self.ep) if self.ep_is_legal() else '-'} {self.clock} {self.number}"
+
+    def key(self) -> str:
+        """The first four fields of the FEN: what makes two positions the same."""
+        return " ".join(self.fen().split(" ")[:4])
+
+    def move_of(self, san: str) -> Move:
+        """The one legal move that a SAN text names; an error if there is none or more than one."""
+        text = san.rstrip("+#!?")
+        if text.replace("0", "O") in ("O-O", "O-O-O"):
+            found = [m for m in self.castlings() if (m[1] % 8 == 6) == (len(text) == 3) and self.safe(m)]
+        else:
+            m = _SAN.fullmatch(text)
+            if not m:
+                raise ValueError(f"no move: {san}")
+            kind, target = LETTERS.index(m[1] or "P"), "abcdefgh".index(m[4]) + 8 * (int(m[5]) - 1)
+            sources = [s for s in self.own() if self.at[s] >> 1 == kind and (not m[2] or "abcdefgh"[s % 8] == m[2]) and (not m[3] or s // 8 + 1 == int(m[3]))]
+            found = [x for s in sources for x in self.options(s) if x[1] == target and x[2] == (LETTERS.index(m[6]) if m[6] else 0) and not (kind == KING and abs(s % 8 - target % 8) == 2) and self.safe(x)]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} moves: {san} in {self.fen()}")
+        return found[0]
+
+    def san(self, move: Move) -> str:
+        source, target, promoted = move
+        kind = self.at[source] >> 1
+        if kind == KING and abs(source % 8 - target % 8) == 2:
+            text = "O-O" if target > source else "O-O-O"
+        else:
+            takes = self.at[target] >= 0 or kind == PAWN and target % 8 != source % 8
+            if kind == PAWN:
+                text = f"{name(source)[0]}x" if takes else ""
+            else:
+                rivals = [s for s in self.own() if s != source and self.at[s] == self.at[source] and target in self.seen_from(s) and self.safe((s, target, 0))]
+                by_file, by_rank = all(s % 8 != source % 8 for s in rivals), all(s // 8 != source // 8 for s in rivals)
+                own = "" if not rivals else name(source)[0] if by_file else name(source)[1] if by_rank else name(source)
+                text = LETTERS[kind] + own + ("x" if takes else "")
+            text += name(target) + (f"={LETTERS[promoted]}" if promoted else "")
+        then = self.after(move)
+        return text + (("+" if then.moves() else "#") if then.in_check() else "")
+
+
+def from_fen(fen: str) -> Position:
+    fields = fen.split() + ["w", "-", "-", "0", "1"][len(fen.split()) - 1 :]
+    at, rows = [-1] * 64, fields[0].split("/")
+    if len(rows) != 8:
+        raise ValueError(f"not eight rows: {fen}")
+    for r, row in zip(range(7, -1, -1), rows, strict=True):
+        f = 0
+        for c in row:
+            if c.isdigit():
+                f += int(c)
+            else:
+                at[8 * r + f] = 2 * LETTERS.index(c.upper()) + c.islower()
+                f += 1
+        if f != 8:
+            raise ValueError(f"a row of {f} files: {fen}")
+    rooks = frozenset({"K": 7, "Q": 0, "k": 63, "q": 56}[c] for c in fields[2] if c != "-")
+    ep = None if fields[3] == "-" else "abcdefgh".index(fields[3][0]) + 8 * (int(fields[3][1]) - 1)
+    return Position(at, int(fields[1] == "b"), rooks, ep, int(fields[4]), int(fields[5]))
+
+
+def count_moves(position: Position, depth: int) -> int:
+    """Number of move sequences of this length."""
+    if depth == 0:
+        return 1
+    moves = position.moves()
+    return len(moves) if depth == 1 else sum(count_moves(position.after(m), depth - 1) for m in moves)

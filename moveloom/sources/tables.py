@@ -29,11 +29,11 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """game (a user), ply, kind, score (centred on 250), ts."""
+    """game (a user), ply, kind, score (centred on 35, near the median of the values), ts."""
     from ..operators.curves import numbered
 
     rows = numbered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
-    return rows.select(F.col("user_id").alias("game"), "ply", F.col("event_type").alias("kind"), (F.col("value") - 250.0).alias("score"), "ts", "event_id")
+    return rows.select(F.col("user_id").alias("game"), "ply", F.col("event_type").alias("kind"), (F.col("value") - 35.0).alias("score"), "ts", "event_id")
 
 
 def pairings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,25 @@ from pyspark.sql import types as T
 LEDGER = "date string, network string, base string, change string, chunks string, games int, elo double, margin95 double, verdict string, source string"
 
 
+def last_of(keys: Column, values: Column) -> Column:
+    """A map of parallel lists; a key that comes again has its last value."""
+    back, names = F.reverse(values), F.array_distinct(keys)
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(back, F.array_position(F.reverse(keys), k).cast("int"))))
+
+
 def read_pgn(spark: SparkSession, path: str) -> DataFrame:
     """One row per game: headers (map), movetext, white, black, result, score of White (null unless decided or drawn).
 
-    Games are split by the reader itself at each `[Event `, so a file of any size is read in pieces.
+    Games are split by the reader itself at each `[Event "`, whatever the line ends are, so a file of any size is read
+    in pieces. Without the movetext selected, only headers are parsed.
     """
-    raw = spark.read.option("lineSep", "\n\n[Event ").text(path).withColumn("value", F.regexp_replace("value", "\r", ""))
-    whole = F.when(F.col("value").startswith("[Event "), F.col("value")).otherwise(F.concat(F.lit("[Event "), F.col("value")))
-    game = raw.where(F.trim("value") != "").select(whole.alias("game"))
+    raw = spark.read.option("lineSep", '[Event "').text(path).withColumn("value", F.regexp_replace("value", "\r", ""))
+    game = raw.where(F.col("value").contains('"]')).select(F.concat(F.lit('[Event "'), F.col("value")).alias("game"))
     keys, values = (F.regexp_extract_all("game", F.lit(r'(?m)^\[(\w+) "([^"]*)"\]'), F.lit(k)) for k in (1, 2))
-    header = game.select("game", F.map_from_arrays(F.array_distinct(keys), F.slice(values, F.lit(1), F.size(F.array_distinct(keys)))).alias("headers"))
+    header = game.select("game", last_of(keys, values).alias("headers"))
     text = F.trim(F.regexp_replace("game", r'(?m)^\[\w+ "[^"]*"\]\s*', ""))
     result = F.try_element_at("headers", F.lit("Result"))
-    return header.select("headers", text.alias("movetext"), F.coalesce(F.try_element_at("headers", F.lit("White")), F.lit("?")).alias("white"), F.coalesce(F.try_element_at("headers", F.lit("Black")), F.lit("?")).alias("black"),
+    return header.select("headers", F.regexp_replace(text, r"\s+$", "").alias("movetext"), F.coalesce(F.try_element_at("headers", F.lit("White")), F.lit("?")).alias("white"), F.coalesce(F.try_element_at("headers", F.lit("Black")), F.lit("?")).alias("black"),
                          result.alias("result"), score_of(result).alias("score"))
 
 
@@ -55,8 +61,7 @@ def read_epd(spark: SparkSession, path: str, refuse_empty: bool = False) -> Data
     """Lines that are neither blank nor comments: key (first four fields) and opcodes `name value;` as a map."""
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
     names, values = (F.regexp_extract_all("value", F.lit(r'(?:^|[ ;])(bm|am|ce|c0|id|mate|depth)[ =]"?([^;"]*)"?'), F.lit(k)) for k in (1, 2))
-    ops = F.map_from_arrays(F.array_distinct(names), F.slice(values, F.lit(1), F.size(F.array_distinct(names))))
-    out = lines.select(F.array_join(F.slice(F.split(F.split("value", ";")[0], r"\s+"), 1, 4), " ").alias("key"), ops.alias("ops"), F.col("value").alias("line"))
+    out = lines.select(F.array_join(F.slice(F.split(F.split("value", ";")[0], r"\s+"), 1, 4), " ").alias("key"), last_of(names, values).alias("ops"), F.col("value").alias("line"))
     if refuse_empty and out.limit(1).count() == 0:
         raise ValueError(f"{path}: no position")
     return out
@@ -67,8 +72,13 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=";", schema="fen string, depth int, n long")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Lines of a log that may still be written: what does not parse (a line cut short) is left for later."""
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, whole: bool = False) -> DataFrame:
+    """Lines of a log that may still be written: what does not parse (a line cut short) is left for later.
+
+    whole: the log is complete, so a line that does not parse is an error.
+    """
+    if whole:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     shape = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = spark.read.schema(T.StructType([*shape.fields, T.StructField("_torn", T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_torn").json(path)
     return raw.where("_torn is null").drop("_torn")
@@ -105,10 +115,18 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.select(*cells).write.mode("append").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(path)
 
 
-def pgn_of(plies: DataFrame, by: str, order: str, move: str, clock: str) -> DataFrame:
-    """Movetext with a clock comment per move; plies of a game are gathered in their order."""
-    item = F.struct(order, move, clock)
+def pgn_of(plies: DataFrame, by: str, order: str, move: str, clock: str, evaluation: str | None = None) -> DataFrame:
+    """Movetext with a clock comment per move, and one of its evaluation where that is given; plies of a game are gathered in their order."""
+    item = F.struct(order, move, clock, *([evaluation] if evaluation else []))
     games = plies.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("_p"))
     number = lambda x: F.when((x[order] % 2) == 1, F.concat(((x[order] + 1) / 2).cast("int").cast("string"), F.lit(". "))).otherwise(F.lit(""))
-    text = F.array_join(F.transform("_p", lambda x: F.concat(number(x), x[move], F.lit(" {[%clk "), x[clock], F.lit("]}"))), " ")
+    shown = (lambda x: F.concat(F.lit("[%eval "), x[evaluation], F.lit("] "))) if evaluation else (lambda x: F.lit(""))
+    text = F.array_join(F.transform("_p", lambda x: F.concat(number(x), x[move], F.lit(" {"), shown(x), F.lit("[%clk "), x[clock], F.lit("]}"))), " ")
     return games.select(by, text.alias("movetext"))
+
+
+def write_pgn(games: DataFrame, path: str, headers: dict[str, Column], movetext: str, crlf: bool = False) -> None:
+    """Games with their headers in this order, a blank line, the movetext and another; null headers are `?`."""
+    end = "\r\n" if crlf else "\n"
+    lines = [F.concat(F.lit(f'[{k} "'), F.coalesce(F.translate(v.cast("string"), '"', "'"), F.lit("?")), F.lit('"]')) for k, v in headers.items()]
+    games.select(F.concat_ws(end, *lines, F.lit(""), F.col(movetext), F.lit("")).alias("value")).write.option("lineSep", end).text(path)

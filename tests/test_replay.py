@@ -1,0 +1,138 @@
+"""The rules, the bit streams and the replay of games."""
+
+from __future__ import annotations
+
+from random import Random
+
+import pytest
+from pyspark.sql import functions as F
+
+from moveloom.operators import replay as R
+from moveloom.sources import binpack
+from moveloom.sources.rules import START, count_moves, from_fen, uci
+
+
+#: Positions with the known numbers of move sequences by length.
+COUNTS = [
+    (START, (20, 400, 8902)), ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", (48, 2039)),
+    ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", (14, 191, 2812)), ("r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", (6, 264)),
+    ("rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", (44, 1486)),
+]
+
+
+@pytest.mark.parametrize("fen, counts", COUNTS)
+def test_move_counts(fen, counts):
+    assert tuple(count_moves(from_fen(fen), d) for d in range(1, len(counts) + 1)) == counts
+
+
+def random_games(n, seed=1, plies=90):
+    rng, out = Random(seed), []
+    for g in range(n):
+        position, rows, result = from_fen(COUNTS[g % len(COUNTS)][0]), [], rng.choice((-1, 0, 1))
+        for ply in range(plies):
+            moves = position.moves()
+            if not moves:
+                break
+            move = rng.choice(moves)
+            assert position.move_of(position.san(move)) == move and from_fen(position.fen()).fen() == position.fen()
+            rows.append((position, move, rng.randint(-32768, 32767) if rng.random() < 0.1 else rng.randint(-300, 300), result, ply))
+            position, result = position.after(move), -result
+        out.append(rows)
+    return out
+
+
+def shown(games):
+    return [[(p.key(), m, s, r, k) for p, m, s, r, k in g] for g in games]
+
+
+def test_games_come_back_from_bits():
+    games = random_games(20)
+    assert shown(binpack.games_of(b"".join(map(binpack.game_bytes, games)))) == shown(games)
+
+
+def test_codes():
+    for x in range(-40000, 40000, 7):
+        assert binpack.unzigzag(binpack.zigzag(x)) == x
+    assert [binpack.unzigzag(n) for n in range(5)] == [0, -1, 1, -2, 2] and binpack.wrapped(40000) == 40000 - 65536 and [binpack.width(n) for n in (0, 1, 2, 3, 4, 5, 27)] == [0, 0, 1, 2, 2, 3, 5]
+    rng, out = Random(2), binpack.BitWriter()
+    parts = [(rng.randrange(1 << w), w) for w in (rng.randint(0, 8) for _ in range(300))]
+    for value, w in parts:
+        out.put(value, w)
+        out.number(value * 257)
+    back = binpack.BitReader(out.bytes(), 0)
+    assert all(back.take(w) == value and back.number() == value * 257 for value, w in parts)
+
+
+def test_stems_as_the_format_lays_them_out():
+    """A stem written down byte by byte: a1 king, e5 pawn that just went two, h8 king; Black's pawn may be taken in passing."""
+    stem = bytearray(32)
+    stem[0:8] = (1 << 0 | 1 << 35 | 1 << 36 | 1 << 63).to_bytes(8, "big")  # a1 d5 e5 h8
+    stem[8], stem[9] = 10 | 0 << 4, 12 | 11 << 4  # white king, white pawn; passed pawn, black king
+    stem[24:26] = (3 << 14 | 35 << 8 | 44 << 2).to_bytes(2, "big")  # d5 takes e6 in passing
+    stem[26:28], stem[28:30], stem[30:32] = (7).to_bytes(2, "big"), (2 << 14 | 41).to_bytes(2, "big"), (3).to_bytes(2, "big")
+    position, move, score, ply, result = binpack.read_stem(bytes(stem))
+    assert position.fen() == "7k/8/8/3Pp3/8/8/8/K7 w - e6 3 21" and uci(move) == "d5e6" and (score, ply, result) == (-4, 41, 1) and position.legal(move)
+    assert binpack.write_stem(position, move, score, ply, result) == bytes(stem)
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_files_of_chunks(spark, tmp_path, compressed):
+    games = random_games(12, 3, 40)
+    content = binpack.file_bytes(b"".join(map(binpack.game_bytes, games[k : k + 4])) for k in (0, 4, 8))
+    if compressed:
+        import zstandard
+
+        content = zstandard.compress(content)
+    name = "a.binpack" + (".zst" if compressed else "")
+    (tmp_path / name).write_bytes(content)
+    rows = binpack.read_binpack(spark, str(tmp_path)).orderBy("chunk", "game", "ply").collect()
+    flat = [(k // 4, k % 4, *row) for k, g in enumerate(games) for row in g]
+    assert [(r.chunk, r.game, r.ply, r.move, r.score, r.result_stm, r.stm, r.men) for r in rows] == [(c, g, k, uci(m), s, x, p.black, sum(q >= 0 for q in p.at)) for c, g, p, m, s, x, k in flat]
+    assert all(p.at[s] == q for r, (_, _, p, *_) in zip(rows, flat, strict=True) for s, q in zip(r.squares, r.pieces, strict=True))
+
+
+def test_broken_files_are_errors():
+    chunk = binpack.game_bytes(random_games(1)[0])
+    for bad in (chunk[:-3], chunk[:20], chunk + b"x"):
+        with pytest.raises((ValueError, IndexError)):
+            list(binpack.games_of(bad))
+    whole = binpack.file_bytes([chunk])
+    for bad in (whole[:-1], b"BINX" + whole[4:], whole + b"BI"):
+        with pytest.raises(ValueError):
+            list(binpack.chunks_of(bad, False))
+
+
+def test_centipawns(spark):
+    got = spark.createDataFrame([(208,), (-104,), (32000,), (-32000,)], "score int").select(binpack.centipawns(F.col("score")).alias("c")).collect()
+    assert [r.c for r in got] == [100.0, -50.0, 10000.0, -10000.0]
+
+
+def test_replay(spark):
+    games = spark.createDataFrame([(1, "e4 e5 Nf3 Nc6 Bc4 Nf6 O-O".split()), (2, "e4 e5 Ke3".split()), (3, []), (4, None), (5, ["xyz"])], "game int, moves array<string>")
+    rows = R.replay(games, "game", "moves").orderBy("game", "ply").collect()
+    assert [r.uci for r in rows if r.game == 1] == "e2e4 e7e5 g1f3 b8c6 f1c4 g8f6 e1g1".split() and rows[6].key_after == "r1bqkb1r/pppp1ppp/2n2n2/4p3/2B1P3/5N2/PPPP1PPP/RNBQ1RK1 b kq -"
+    assert [(r.ply, r.uci is None, r.error is None) for r in rows if r.game == 2] == [(1, False, True), (2, False, True), (3, True, False)]
+    assert {r.game for r in R.valid_games(R.replay(games, "game", "moves"), "game").collect()} == {1}
+
+
+def test_labels_and_features_of_positions():
+    assert R.phase_by_material(from_fen(START)) == "opening" and R.phase_by_material(from_fen("4k3/8/8/8/8/8/8/QQ2K3 w - - 0 1")) == "middlegame" and R.phase_by_material(from_fen("4k3/8/8/8/8/8/8/Q3K3 w - - 0 1")) == "endgame"
+    assert R.phase_by_move(from_fen(START)) == "opening" and R.phase_by_move(from_fen(START.replace("0 1", "0 13"))) == "middlegame" and R.phase_by_move(from_fen("4k3/8/8/8/8/8/8/Q3K3 w - - 0 1")) == "endgame"
+    label = lambda fen, san: R.kind_of_move(p := from_fen(fen), p.move_of(san))
+    assert label("4k3/8/8/3p4/4P3/8/8/4K3 w - - 0 1", "exd5") == "capture" and label("4k3/8/8/3Pp3/8/8/8/4K3 w - e6 0 1", "dxe6") == "capture"
+    assert label("4k3/8/8/8/8/8/8/Q3K3 w - - 0 1", "Qa4+") == "check" and label("4k3/8/8/3r4/8/8/8/Q3K3 w - - 0 1", "Qd4") == "hangs itself"
+    assert label("4k3/8/8/3r3N/8/8/8/Q3K3 w - - 0 1", "Qa2") == "leaves a piece" and label(START, "e4") == "pawn move" and label(START, "Nf3") == "quiet"
+    assert R.king_attack(from_fen("6k1/5ppp/8/8/8/8/8/4KR2 w - - 0 1")) == (9, 3, 3)  # the rook bears on f5, f6 and f7
+    assert R.king_attack(from_fen(START)) == (0, 3, 0)
+
+
+def test_named_positions_do_not_depend_on_the_order_of_moves(spark):
+    lines = spark.createDataFrame([("X", "d4 d5 c4".split()), ("Y", "c4 e6".split())], "name string, moves array<string>")
+    games = spark.createDataFrame([(1, "c4 d5 d4 Nf6".split()), (2, "e4 e5".split())], "game int, moves array<string>")
+    got = R.deepest_name(R.replay(games, "game", "moves"), "game", R.named_positions(lines, "name", "moves")).collect()
+    assert [tuple(r) for r in got] == [(1, 3, "X")]
+
+
+def test_repertoire_lines_that_are_wrong(spark):
+    with pytest.raises(Exception, match="a line is"):
+        R.parse_repertoire(spark.createDataFrame([(1, "green X: e4")], "at int, line string"), "line", F.col("at")).collect()

@@ -155,3 +155,45 @@ def test_nibble_boards(spark):
         assert dict(zip(r.squares, r.pieces, strict=True)) == want and r.men == len(want) and (r.stm, r.score) == ((1, -score) if i % 2 else (0, score))
     bad = spark.createDataFrame([(bytearray(b"\x04" + b"\xc0" * 20),), (bytearray(b"\x00\x01"),), (bytearray(b"\x00" + b"\x11" * 10 + b"\0" * 6),)], "fen binary")
     assert [r[0] for r in bad.select(boards.decompress(F.col("fen"))).collect()] == [None, None, None]
+
+
+def test_pgn_with_carriage_returns_and_repeated_headers(spark, tmp_path):
+    text = PGN.replace('[Result "1-0"]', '[White "A2"]\n[Result "1-0"]').replace("\n", "\r\n")
+    (tmp_path / "g.pgn").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    rows = {r.white: r for r in texts.read_pgn(spark, str(tmp_path / "g.pgn")).collect()}
+    assert set(rows) == {"A2", "B", "C"} and rows["A2"].result == "1-0" and rows["A2"].headers["Event"] == "x" and "\r" not in rows["B"].movetext
+
+
+def test_epd_with_a_repeated_operation(spark, tmp_path):
+    (tmp_path / "a.epd").write_text('8/8/8/8/8/8/8/Kk6 w - - bm a1; ce 5; bm b2; id "x";\n')
+    assert texts.read_epd(spark, str(tmp_path / "a.epd")).first().ops == {"bm": "b2", "ce": "5", "id": "x"}
+
+
+def test_whole_logs_refuse_bad_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": \n')
+    assert [r.a for r in texts.read_json_lines(spark, str(tmp_path / "a.jsonl"), "a long").collect()] == [1]
+    with pytest.raises(Exception):
+        texts.read_json_lines(spark, str(tmp_path / "a.jsonl"), "a long", whole=True).collect()
+
+
+def test_files_of_the_manifest(spark):
+    files = spark.createDataFrame([("a", 5), ("b", 7), ("c", 9)], "path string, size long")
+    manifest = spark.createDataFrame([("a", 5), ("b", 8), ("d", 1)], "path string, size long")
+    assert [r.path for r in texts.checked_files(manifest, files).collect()] == ["a"]
+
+
+def test_record_sink(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(some_records(500))
+    rows = records.read_records(spark, str(tmp_path / "a.bin"), per_partition=90)
+    folder = str(tmp_path / "out")
+    assert records.write_records(rows, folder) and not records.write_records(rows, folder, skip_if_exists=True)
+    shards = records.shards_of(folder)
+    assert len(shards) == 6 and not [f for f in __import__("os").listdir(folder) if "tmp" in f]
+    assert b"".join(open(s, "rb").read() for s in shards) == some_records(500)
+    assert records.write_records(rows.limit(10), folder) and sum(n for _, n in records.union_report(*records.shards_of(folder))) == 10
+    assert records.union_report(str(tmp_path / "a.bin"), limit=7) == [(str(tmp_path / "a.bin"), 7)]
+    (tmp_path / "b.bin").write_bytes(b"x" * 71)
+    with pytest.raises(ValueError, match="whole number"):
+        records.union_report(str(tmp_path / "b.bin"))
+    with pytest.raises(Exception, match="as many as men"):
+        records.write_records(rows.withColumn("men", F.lit(2).cast("byte")), str(tmp_path / "bad"))
