@@ -81,7 +81,10 @@ def first_crossing(run: DataFrame, by: str, least: int, alpha: float = 0.05, bet
 
 
 def pooled(rows: DataFrame, estimate: str, error: str) -> DataFrame:
-    """Inverse-variance mean; the error is scaled up where the estimates scatter more than their errors allow."""
+    """Inverse-variance mean; the error is scaled up where the estimates scatter more than their errors allow.
+
+    Errors are standard errors. Of half-widths of 95 % intervals, pass them divided by 1.96 and multiply the result's.
+    """
     w = 1 / (F.col(error) * F.col(error))
     sums = rows.agg(F.sum(w).alias("w"), F.sum(w * F.col(estimate)).alias("wx"), F.sum(w * F.col(estimate) * F.col(estimate)).alias("wxx"), F.count(F.lit(1)).alias("n"))
     mean = F.col("wx") / F.col("w")
@@ -141,5 +144,32 @@ def anchored_ratings(opponent: np.ndarray, score: np.ndarray, times: np.ndarray,
     return r
 
 
+def joint_fit(played: np.ndarray, points: np.ndarray, given: np.ndarray, rounds: int = 200, tolerance: float = 0.01) -> np.ndarray:
+    """Ratings at which all players without a given one make the points expected of them, for each replicate.
+
+    played: games by replicate, player and opponent, from either side; points: by replicate and player. Players take
+    turns, each by Newton steps of at most 200 within 1000 to 4500 from 2500 on, until none moves by the tolerance.
+    """
+    k = math.log(10) / 400
+    ratings = np.where(np.isnan(given), 2500.0, given)[None, :].repeat(len(played), axis=0)
+    free = np.flatnonzero(np.isnan(given))
+    for _ in range(rounds):
+        before = ratings.copy()
+        for i in free:
+            n = played[:, i, :]
+            for _ in range(20):
+                p = 1 / (1 + 10 ** ((ratings - ratings[:, [i]]) / 400))
+                slope = k * (n * p * (1 - p)).sum(axis=1)
+                step = np.where(slope > 0, np.clip((points[:, i] - (n * p).sum(axis=1)) / np.maximum(slope, 1e-300), -200.0, 200.0), 0.0)
+                moved = np.clip(ratings[:, i] + step, 1000.0, 4500.0)
+                done = np.abs(moved - ratings[:, i]).max() < tolerance / 10
+                ratings[:, i] = moved
+                if done:
+                    break
+        if np.abs(ratings - before).max() < tolerance:
+            break
+    return ratings
+
+
 def residual(score: Column, difference: Column) -> Column:
     return score - expected_score(difference)

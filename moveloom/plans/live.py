@@ -43,3 +43,19 @@ def q101_stream_static_join(spark, sf_dir):
     stream = ledger.tail(spark, f"{base}/in", schema, "event_id").join(static, "user_id").select("event_id", "c_mktsegment")
     ledger.drain(stream, f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN value >= 50 THEN 1.0::DOUBLE WHEN value >= 20 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS x FROM events),
+u AS (SELECT user_id, row_number() OVER w AS k, sum(x) OVER w AS s, sum(x * x) OVER w AS q FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+l AS (SELECT user_id, k, CASE WHEN q / k - (s / k) * (s / k) <= 1e-12 THEN 0 ELSE k * 0.2::DOUBLE * (2 * s / k - 0.4::DOUBLE - 0.6::DOUBLE) / (2 * (q / k - (s / k) * (s / k))) END AS llr FROM u)
+SELECT user_id AS key, min(k) AS stopped_at FROM l WHERE k >= 10 AND abs(llr) >= ln(19.0::DOUBLE) GROUP BY user_id""")
+def q128_stream_stops(spark, sf_dir):
+    """Sequential tests that end as the log grows; the stream is stopped after half of it and takes up where it was."""
+    points = F.when(F.col("value") >= 50, 1.0).when(F.col("value") >= 20, 0.5).otherwise(0.0)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", points.alias("x"))
+    base, middle = work_folder(spark), table(spark, sf_dir, "events").agg(F.median("event_id").alias("m")).first().m
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        ledger.land_in_order(events.where(part), f"{base}/in", "event_id", 2)
+        lines = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+        ledger.drain(ledger.stops(lines, "user_id", "x", "event_id", 0.4, 0.6, 10), f"{base}/out", f"{base}/state")
+    return spark.read.schema(ledger.STOPS).parquet(f"{base}/out").select("key", "stopped_at")

@@ -86,11 +86,15 @@ def q69_crosstable(spark, sf_dir):
     return out.select("a", *(F.col(str(k)).alias(f"b{k}") for k in players))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRINGS}, s AS (SELECT a, b, score FROM p UNION ALL SELECT b, a, 1 - score FROM p),
+g AS (SELECT a, b, count(*)::DOUBLE AS n FROM s GROUP BY a, b), t AS (SELECT a, sum(score) AS total FROM s GROUP BY a),
+v(k, a, v) AS (SELECT 0, a, 1.0::DOUBLE FROM t UNION ALL SELECT k, a, fresh / exp(avg(ln(fresh)) OVER ())
+  FROM (SELECT x.k + 1 AS k, x.a, any_value(t.total) / sum(g.n / (x.v + y.v)) AS fresh FROM v x JOIN g ON g.a = x.a JOIN v y ON y.a = g.b JOIN t ON t.a = x.a WHERE x.k < 100 GROUP BY x.k, x.a))
+SELECT a::VARCHAR AS player, round(400 * log10(v), 3) AS elo FROM v WHERE k = 100""")
 def q70_bradley_terry(spark, sf_dir):
-    """Ratings of all players from all games; the likelihood is solved on the players' table of results."""
+    """Ratings of all players from all games; the likelihood is solved on the players' table of results, in the SQL by a hundred rounds."""
     cells = pairings(spark, sf_dir).groupBy(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
-    return spark.createDataFrame(R.bradley_terry(cells), "player string, elo double").withColumn("elo", F.round("elo", 3))
+    return spark.createDataFrame(R.bradley_terry(cells, tolerance=1e-13), "player string, elo double").withColumn("elo", F.round("elo", 3))
 
 
 #: Replicates of a bootstrap, as in the reference.
@@ -130,6 +134,51 @@ def bootstrap_ratings(games, replicates: int = REPLICATES, seed: int = 1):
     return fitted.select("a", *(F.round(c, 2).alias(c) for c in ("elo", "low", "high")))
 
 
+@query()
+def q127_joint_ratings(spark, sf_dir):
+    """Five players are anchored; the others are rated together, their games with each other included, with 95 % of all replicates."""
+    return joint_ratings(pairings(spark, sf_dir), {k: 2000.0 + 100.0 * k for k in range(5)})
+
+
+def joint_ratings(games, anchors: dict[int, float], replicates: int = REPLICATES, seed: int = 1):
+    """games (a, b, score of a) -> a, elo, low, high, n, points of each player without an anchor.
+
+    All games are drawn with replacement as counts per pair of players and score, so a replicate is one multinomial
+    draw on the players' table of results; that table is all that leaves the executors, and replicates are dealt to them.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = games.sparkSession
+    cells = sorted((r.a, r.b, r.score, r.n) for r in games.groupBy("a", "b", "score").agg(F.count(F.lit(1)).alias("n")).collect())  # players squared
+    players = sorted({x for c in cells for x in c[:2]})
+    at = {p: i for i, p in enumerate(players)}
+    a, b = (np.array([at[c[k]] for c in cells], int) for k in (0, 1))
+    score, n = np.array([c[2] for c in cells], float), np.array([c[3] for c in cells], np.int64)
+    given = np.array([anchors.get(p, np.nan) for p in players])
+
+    def fit(counts: np.ndarray) -> np.ndarray:
+        played, points = np.zeros((len(counts), len(players), len(players))), np.zeros((len(counts), len(players)))
+        for x, y, s in ((a, b, score), (b, a, 1 - score)):
+            np.add.at(played, (slice(None), x, y), counts)
+            np.add.at(points, (slice(None), x), counts * s)
+        return R.joint_fit(played, points, given)
+
+    def run(batches):
+        for batch in batches:
+            drawn = np.stack([np.random.default_rng([seed, int(i)]).multinomial(n.sum(), n / n.sum()) for i in batch.id])
+            elo = fit(drawn)
+            yield pd.DataFrame({"at": np.tile(np.arange(len(players)), len(drawn)), "elo": elo.ravel()})
+
+    estimate = fit(n[None, :])[0]
+    made = [(p, float(estimate[i]), int(n[(a == i) | (b == i)].sum()), float((score * n)[a == i].sum() + ((1 - score) * n)[b == i].sum())) for p, i in at.items() if p not in anchors]
+    drawn = spark.range(0, replicates, 1, max(1, replicates // 100)).mapInPandas(run, "at int, elo double")
+    ordered = drawn.groupBy("at").agg(F.array_sort(F.collect_list("elo")).alias("e"))  # a number for each replicate
+    low, high = (F.element_at("e", F.greatest(F.floor(F.size("e") * q), F.lit(1)).cast("int")) for q in (0.025, 0.975))
+    named = spark.createDataFrame([(at[p], p, e, k, x) for p, e, k, x in made], "at int, a int, elo double, n long, points double")
+    return named.join(ordered.select("at", low.alias("low"), high.alias("high")), "at").select("a", *(F.round(c, 2).alias(c) for c in ("elo", "low", "high")), "n", "points")
+
+
 @query("""WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation) SELECT x.k AS a, y.k AS b, o.opening FROM n x JOIN n y ON x.r = y.r AND x.k < y.k, (SELECT DISTINCT o_orderpriority AS opening FROM orders) o""")
 def q72_schedule(spark, sf_dir):
     """Round-robin pairings within a region, each with every opening."""

@@ -16,6 +16,47 @@ def land(rows: DataFrame, folder: str, files: int) -> None:
     rows.repartition(files).write.mode("append").json(folder)
 
 
+def land_in_order(rows: DataFrame, folder: str, order: str, files: int) -> None:
+    """Write rows as files that hold the order's ranges one after the other; a stream takes up older files first."""
+    from pyspark.sql import Window
+
+    place = F.ntile(files).over(Window.orderBy(order))  # of a small landing; a log lands in order by itself
+    placed = rows.withColumn("_file", place)
+    for k in range(1, files + 1):
+        placed.where(F.col("_file") == k).drop("_file").coalesce(1).sortWithinPartitions(order).write.mode("append").json(folder)
+
+
+STOPS = "key long, stopped_at long, llr double"
+
+
+def stops(lines: DataFrame, key: str, points: str, order: str, s0: float, s1: float, least: int, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
+    """Where each key's sequential test stops, once: its state is three running sums, and what comes after the stop is passed over."""
+    import math
+
+    bound = math.log((1 - beta) / alpha)
+
+    def update(name, batches, state):
+        import pandas as pd
+
+        n, total, squares, stopped = state.get if state.exists else (0, 0.0, 0.0, False)
+        rows = [pdf[[order, points]] for pdf in batches]
+        found = []
+        if not stopped:
+            for x in pd.concat(rows).sort_values(order)[points]:
+                n, total, squares = n + 1, total + float(x), squares + float(x) * float(x)
+                mean = total / n
+                variance = squares / n - mean * mean
+                llr = 0.0 if variance <= 1e-12 else n * (s1 - s0) * (2 * mean - s0 - s1) / (2 * variance)
+                if n >= least and abs(llr) >= bound:
+                    stopped = True
+                    found.append((int(name[0]), n, llr))
+                    break
+        state.update((n, total, squares, stopped))
+        yield pd.DataFrame(found, columns=["key", "stopped_at", "llr"])
+
+    return lines.groupBy(key).applyInPandasWithState(update, STOPS, "n long, total double, squares double, stopped boolean", "append", "NoTimeout")
+
+
 def tail(spark: SparkSession, folder: str, schema: T.StructType, key: str, per_batch: int = 4) -> DataFrame:
     """The lines of a growing folder, each key once; per_batch bounds what is in flight."""
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)

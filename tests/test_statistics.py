@@ -154,3 +154,25 @@ def test_colours_flip(spark):
 def test_first_maximum_is_the_worst(spark):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 9.0), (1, 3, 9.0), (1, 4, None)], "g int, ply long, fall double")
     assert curves.worst(df, "g", "ply", "fall").first().worst_ply == 2
+
+
+def test_joint_ratings_by_closed_form():
+    import numpy as np
+
+    from moveloom.operators.ratings import joint_fit
+
+    # B makes 3 of 4 points against the anchored A, C makes 1 of 4 against B: each 400 log10(3) apart
+    played, points = np.zeros((1, 3, 3)), np.array([[1.0, 3.0 + 3.0, 1.0]])
+    played[0, 0, 1] = played[0, 1, 0] = played[0, 1, 2] = played[0, 2, 1] = 4
+    got = joint_fit(played, points, np.array([2000.0, np.nan, np.nan]))[0]
+    apart = 400 * np.log10(3)
+    assert abs(got[1] - 2000 - apart) < 0.1 and abs(got[2] - 2000) < 0.2
+
+
+def test_joint_ratings_of_games(spark):
+    from moveloom.plans.rating_queries import joint_ratings
+
+    games = [(0, 1, s) for s in (1.0, 0.0, 0.0, 0.0)] * 5 + [(2, 1, s) for s in (1.0, 0.0, 0.0, 0.0)] * 5 + [(3, 0, 1.0)]
+    got = {r.a: r for r in joint_ratings(spark.createDataFrame(games, "a int, b int, score double"), {0: 2000.0}, 200).collect()}
+    assert set(got) == {1, 2, 3} and abs(got[1].elo - 2190.85) < 0.2 and abs(got[2].elo - 2000) < 0.5 and got[3].elo == 4500.0
+    assert all(r.low <= r.elo <= r.high for r in got.values()) and got[1].n == 40 and got[1].points == 30.0 and got[1].high - got[1].low > 50
