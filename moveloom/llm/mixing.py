@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, unit_hash, word_count
+from .shared import Scratch, fresh, prefix_sums, unit_hash, with_group, word_count
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEAT = 3.0
@@ -24,30 +24,27 @@ SEED = 20
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """(source, size) -> (source, source_size, target).
+    """(source, size) -> (source, source_size, target), written down.
 
     Weights go to the sources by code point, repeating, null last. All sizes together are shared by
     weight; no target exceeds max_repeat times its source's size, and what is cut off there is shared
     again by weight. That fixed point is found in one pass: with sources ordered by cap per weight,
-    the capped ones are a prefix, and what the rest share is what the prefix leaves over.
-    The windows here run over one row per source, not over documents.
+    the capped ones are a prefix, and what the rest share is what the prefix leaves over. Both orders
+    are sorted in ranges; of the sources only two numbers reach the driver.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (order % len(weights) + 1).cast("int"))
-    caps = by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_repeat))
-    everything = Window.partitionBy()
-    upto = Window.orderBy("per_weight", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = (
-        caps.withColumn("per_weight", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("capped_before", F.sum("cap").over(upto) - F.col("cap"))
-        .withColumn("weight_from", F.sum("weight").over(everything) - F.sum("weight").over(upto) + F.col("weight"))
-        .withColumn("level", (F.col("total") - F.col("capped_before")) / F.col("weight_from"))
-        .withColumn("water", F.min(F.when(F.col("per_weight") > F.col("level"), F.struct("per_weight", "level"))).over(everything)["level"])
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
-    return level.select("source", "source_size", target.alias("target"))
+    scratch = Scratch(sizes.sparkSession)
+    by_source = scratch.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    name = [F.col("source").isNull().asc(), F.col("source").asc()]
+    numbered = prefix_sums(scratch, by_source, name, {"number": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    caps = numbered.withColumn("weight", weight).drop("number").withColumn("cap", F.col("source_size") * float(max_repeat))
+    caps = caps.withColumn("per_weight", F.col("cap") / F.col("weight"))
+    summed = prefix_sums(scratch, caps, [F.col("per_weight").asc(), *name], {"capped_before": F.col("cap"), "weight_before": F.col("weight")})
+    all_ = caps.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(all_.total) - F.col("capped_before")) / (F.lit(all_.weight) - F.col("weight_before"))
+    water = summed.withColumn("level", level).where("per_weight > level").agg(F.min(F.struct("per_weight", "level")).alias("least")).first().least
+    target = F.least(F.col("cap"), F.col("weight") * water.level) if water else F.col("cap")
+    return scratch.keep(caps.select("source", "source_size", target.alias("target")))
 
 
 def copies_of(rate: Column, *ids: Column, seed: int = SEED, max_repeat: float = MAX_REPEAT) -> Column:
@@ -66,7 +63,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeat: fl
     sized = docs.withColumn(size, word_count(F.col(text)))
     targets = source_targets(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), weights, max_repeat)
     targets = targets.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target))
-    joined = sized.join(targets, F.col(source).eqNullSafe(F.col(key)), "left").drop(key)
+    joined = with_group(sized, targets, source, key)
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
     return joined.withColumn(copies, copies_of(rate, F.col(doc_id), seed=seed, max_repeat=max_repeat)), names
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import Scratch, fresh, with_group
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -91,10 +91,12 @@ def host_verdicts(rows: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     """(host, failed) -> (host, n_docs, n_failed, shrunk_rate, rejected), one row per non-null host.
 
     The prior's mean is the hosts' mean rate; its strength follows from how much more the rates vary
-    than sampling alone would have them vary. Only this one row of moments reaches the driver.
+    than sampling alone would have them vary. Only this one row of moments reaches the driver. The result is
+    written down.
     """
-    hosts = rows.where(F.col("host").isNotNull()).groupBy("host").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    scratch = Scratch(rows.sparkSession)
+    hosts = scratch.keep(rows.where(F.col("host").isNotNull()).groupBy("host").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     rate = F.col("n_failed") / F.col("n_docs")
     row = hosts.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("h"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
     mean = (row.f + 0.5) / (row.n + 1.0) if row and row.n else 0.5
@@ -102,24 +104,23 @@ def host_verdicts(rows: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame
     extra = (row.v or 0.0) - spread * (row.inv or 0.0) if row and row.h > 1 else 0.0
     strength = min(max(spread / extra - 1, 1.0), 1000.0) if extra > 0 else DEFAULT_STRENGTH
     shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") > max_rate)
+    return scratch.keep(hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") > max_rate))
 
 
-def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE,
-          keep: list[str] | None = None, measured: tuple[DataFrame, dict[str, str]] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """docs with measures, base_failed, host_rate and kept; the names of these columns beside it.
+def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE, keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """docs (or its columns `keep`, the host among them) with measures, base_failed, host_rate and kept; the names of these columns beside it.
 
-    `measured` takes what with_measures() gave, where the caller has written it down.
+    Each text is measured once: the measured rows are written down, and read again for the sums and for the result.
     """
-    rows, names = measured or with_measures(docs, text, keep)
-    slim, slim_names = measured or with_measures(docs.select(*{host, text}), text, [host])
-    verdicts = host_verdicts(slim.select(F.col(host).alias("host"), base_failed(slim_names).alias("failed")), max_rate)
+    measured, names = with_measures(docs, text, keep)
+    rows = Scratch(docs.sparkSession).keep(measured)
+    verdicts = host_verdicts(rows.select(F.col(host).alias("host"), base_failed(names).alias("failed")), max_rate)
     names = names | {n: fresh(docs, n) for n in ("base_failed", "host_rate", "kept")}
     key, gone = fresh(docs, "_host_key"), fresh(docs, "_host_rejected")
     verdicts = verdicts.select(F.col("host").alias(key), F.col("shrunk_rate").alias(names["host_rate"]), F.col("rejected").alias(gone))
-    judged = rows.join(verdicts, F.col(host) == F.col(key), "left").withColumn(names["base_failed"], base_failed(names))
+    judged = with_group(rows, verdicts, host, key).withColumn(names["base_failed"], base_failed(names))
     judged = judged.withColumn(names["kept"], ~F.col(names["base_failed"]) & ~F.coalesce(F.col(gone), F.lit(False)))
-    return judged.drop(key, gone), names
+    return judged.drop(gone), names
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import imatch, langid, licenses, mixing, ngram_join, packing, pii, quality, quotes, substrings
-from .shared import Scratch, load
+from .shared import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,8 +53,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows, names = quality.with_measures(docs, keep=["doc_id", "source"])
-    judged, names = quality.judge(docs, measured=(Scratch(spark).keep(rows), names))
+    judged, names = quality.judge(docs, keep=["doc_id", "source"])
     shown = judged.select("doc_id", *(F.col(names[n]).alias(n) for n in (*quality.MEASURES, "base_failed", "host_rate", "kept")))
     return shown.withColumn("host_rate", F.round("host_rate", 6))
 
