@@ -103,7 +103,8 @@ class Finder:
                     digits_end = _DIGITS.match(text, at).end()
                     if text[digits_end : digits_end + 1] == "." and (m := _IP.match(text, at)):
                         ip_end = m.end()
-                        if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+                        parts = [p.lstrip("0") for p in m[0].split(".")]
+                        if all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts):
                             add("ip", at, ip_end)
             elif what == "at":
                 start = at
