@@ -7,11 +7,17 @@ and memory that do not depend on the number of documents. The plan is a list of
 lengths that shares a sequence, and how many sequences take it). Pieces of equal length are then dealt
 to the pattern's places by their rank, which is found with counts per block, never in one task.
 
-Building a pattern starts from the longest length still available and looks for one, two or three
-available lengths whose sum is exactly the gap (indexed sums of one and two lengths; a triple is a
-length plus an indexed pair); a pattern that closes is taken as often as its counts allow. Where no
-combination closes the gap, the longest length that fits goes in and the search goes on from there.
-Every pattern uses up at least one length, so there are at most `capacity` patterns.
+Building a pattern starts from the longest length still available. An index holds, for each sum, the first
+length of a single, a pair and a triple of available lengths with that sum, so the gap is looked up and, if
+one of them fills it exactly, closed. As lengths only ever run out, an entry of the index only moves to
+smaller first lengths, and one that has found nothing stays empty. Where nothing closes the gap, the longest
+length that fits goes in and the smaller gap is looked up. A pattern is taken as often as the counts allow.
+
+Bound of the plan: a pattern that takes a length c times, and is limited by it, leaves fewer than c pieces of
+it, and at most half of what there was; c is at most capacity / length. So a length limits at most
+2 + log2(capacity / length) patterns, all lengths together 3 x capacity. A pattern has fewer than
+sqrt(2 x capacity) different lengths, and each is one row of the plan, however many of its pieces share a
+sequence: sequence and offset follow from a piece's rank by division.
 
 Defined cases: a null text is an empty one and makes a piece of one id (the end id); repeated rows are
 packed as often as they occur; equal lengths are ranked by a hash of id and piece; an empty table gives
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,74 +149,98 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
-    patterns: list[tuple[list[int], int]] = []
-
-    def enough(lengths: list[int], base: np.ndarray) -> bool:
-        return all(base[x] >= lengths.count(x) for x in set(lengths))
-
-    def close(gap: int, base: np.ndarray) -> list[int] | None:
-        """One, two or three available lengths that fill the gap; long ones first."""
-        if base[gap] > 0:
-            return [gap]
-        here = np.flatnonzero(base[1:gap] > 0) + 1
-        if not here.size:
-            return None
-        pair_open = base[gap - here] > 0
-        for a in here[pair_open][::-1]:
-            if 2 * a >= gap and enough([int(a), int(gap - a)], base):
-                return [int(a), int(gap - a)]
-        present = base[: gap + 1] > 0
-        present[0] = False
-        for a in here[::-1]:
-            if 3 * a < gap:
-                break
-            rest = int(gap - a)
-            b = np.arange(min(int(a), rest - 1), (rest + 1) // 2 - 1, -1)
-            b = b[b >= 1]
-            for x in b[present[b] & present[rest - b]]:
-                if enough([int(a), int(x), int(rest - x)], base):
-                    return [int(a), int(x), int(rest - x)]
-        return None
-
-    while True:
-        available = np.flatnonzero(left)
-        if not available.size:
-            return patterns
-        lengths, base = [int(available[-1])], left.copy()
-        base[lengths[0]] -= 1
-        gap = capacity - lengths[0]
+    sums, patterns = Sums(left), []
+    while (available := np.flatnonzero(left)).size:
+        used = Counter({int(available[-1]): 1})
+        gap = capacity - int(available[-1])
         while gap:
-            found = close(gap, base)
+            found = sums.closing(gap, used)
             if found:
-                lengths += found
+                used.update(found)
                 break
-            fits = np.flatnonzero(base[: gap + 1])
-            if not fits.size:
+            fits = np.flatnonzero(left[: gap + 1])
+            longest = next((int(x) for x in fits[::-1] if left[x] > used[int(x)]), None)
+            if longest is None:
                 break
-            lengths.append(int(fits[-1]))
-            base[lengths[-1]] -= 1
-            gap -= lengths[-1]
-        times = int(min(left[x] // lengths.count(x) for x in set(lengths)))
-        for x in lengths:
-            left[x] -= times
-        patterns.append((lengths, times))
+            used[longest] += 1
+            gap -= longest
+        times = int(min(left[x] // c for x, c in used.items()))
+        for x, c in used.items():
+            left[x] -= times * c
+        patterns.append((list(used.elements()), times))
+    return patterns
 
 
-def _places(spark: SparkSession, patterns: list[tuple[list[int], int]]) -> DataFrame:
-    """The plan as rows: pieces of `length` ranked lo to hi-1 go to offset `at` of sequences first_sequence onwards.
+class Sums:
+    """Index of the sums of one, two and three available lengths; `left` is the caller's count of pieces by length.
+
+    pair[s] and triple[s] are the largest lengths with which a pair or triple of sum s may still begin, longest
+    first; those above were looked at and have run out for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pair = np.arange(len(left)) - 1
+        self.triple = np.arange(len(left)) - 2
+
+    def _has(self, lengths: tuple[int, ...], used: Counter) -> bool:
+        return all(self.left[x] - used[x] >= lengths.count(x) for x in lengths)
+
+    def closing(self, gap: int, used: Counter) -> tuple[int, ...] | None:
+        """One, two or three lengths of this sum, long ones first, of which there are enough beside the used ones."""
+        if self._has((gap,), used):
+            return (gap,)
+        return self._pair(gap, used) or self._triple(gap, used)
+
+    def _pair(self, gap: int, used: Counter) -> tuple[int, ...] | None:
+        none, a = Counter(), int(self.pair[gap])
+        while 2 * a >= gap and not self._has((a, gap - a), none):
+            a -= 1
+        self.pair[gap] = a
+        while 2 * a >= gap:  # what others of the pattern use up may be free again in the next one
+            if self._has((a, gap - a), used):
+                return a, gap - a
+            a -= 1
+        return None
 
-    At most one row per place of a pattern: no more than capacity patterns, each exhausting a length.
+    def _rest(self, a: int, rest: int, used: Counter) -> tuple[int, ...] | None:
+        """a and a pair of sum rest that is no longer than a."""
+        b = np.arange(min(a, rest - 1, int(self.pair[rest])), (rest + 1) // 2 - 1, -1)
+        for x in b[(self.left[b] > 0) & (self.left[rest - b] > 0)].tolist():
+            if self._has((a, x, rest - x), used):
+                return a, x, rest - x
+        return None
+
+    def _triple(self, gap: int, used: Counter) -> tuple[int, ...] | None:
+        none = Counter()
+        first = np.flatnonzero(self.left[: max(int(self.triple[gap]), 0) + 1])[::-1]
+        for k, a in enumerate(first.tolist()):
+            if 3 * a < gap:
+                break
+            if self._rest(a, gap - a, none):
+                self.triple[gap] = a
+                for other in first[k:].tolist():
+                    if 3 * other >= gap and self.left[other] > used[other] and (found := self._rest(other, gap - other, used)):
+                        return found
+                return None
+        self.triple[gap] = 0
+        return None
+
+
+def _places(spark: SparkSession, patterns: list[tuple[list[int], int]]) -> DataFrame:
+    """The plan as rows, one for each length of a pattern: pieces of `length` ranked lo to hi-1 lie `each` to a sequence,
+    from offset `at` on, in sequences first_sequence onwards. The module's docstring bounds their number.
     """
-    rows, next_rank, sequence = [], {}, 0
+    rows, next_rank, sequence = [], Counter(), 0
     for lengths, times in patterns:
         offset = 0
-        for x in lengths:
-            lo = next_rank.get(x, 0)
-            rows.append((x, lo, lo + times, sequence, offset))
-            next_rank[x] = lo + times
-            offset += x
+        for x, each in Counter(lengths).items():
+            lo = next_rank[x]
+            rows.append((x, lo, lo + times * each, each, sequence, offset))
+            next_rank[x] += times * each
+            offset += x * each
         sequence += times
-    return spark.createDataFrame(rows, "length_ long, lo long, hi long, first_sequence long, at long")
+    return spark.createDataFrame(rows, "length_ long, lo long, hi long, each long, first_sequence long, at long")
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> DataFrame:
@@ -227,6 +258,6 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, capacity: in
     before = per_block.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
     within = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece")) - 1
     ranked = pieces.withColumn("within", within).join(before, ["length", "block"]).withColumn("rank", F.col("within") + F.col("before"))
-    # the plan has a bounded number of rows whatever the corpus, hence the broadcast
+    # the plan has a bounded number of rows whatever the corpus (see above), hence the broadcast
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("length_")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("at").alias("offset"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("first_sequence + (rank - lo) div each").alias("sequence_id"), F.expr("at + (rank - lo) % each * length").alias("offset"))
