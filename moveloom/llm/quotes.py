@@ -10,8 +10,9 @@ Conversations come out in reply order: a message, then what follows it directly,
 answer it, those of deeper messages first. A message that answers the one right before it stays in that
 message's chain; any other starts a branch. Only branches are resolved along the tree, by doubling, and a
 message's place is `reply_path`: for each branch on the way (1, -turn answered, turn it starts), and last
-(0, turn, 0); rows sort by conversation and path. No conversation is gathered in one task: the message
-before is found in blocks of turns, links by hash of the passage, and the order is a sort key.
+(0, turn, 0); rows sort by conversation and path. No conversation and no passage of one is gathered in one
+task: what comes last before a message is looked for in blocks of turns, between blocks in blocks of blocks,
+and the order is a sort key. (Branches that answer branches make the paths long, as each says its whole way.)
 
 Defined cases: a null text is empty; rows without a conversation or turn stay alone, without parent; rows
 of equal conversation and turn count as one message for links and share a place; repeated rows repeat; an
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, fresh
 
-#: Turns per block in which the message before is looked for.
+#: Turns per block, and blocks per block of blocks, in which what comes before a message is looked for.
 BLOCK_TURNS = 256
 _MARKS = r"^(?:[ \t]*>)+"
 _ANNOUNCES = r"(?i)\b(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
@@ -70,34 +71,36 @@ def parents(messages: DataFrame) -> DataFrame:
     around = messages.join(quoting.select("conv").distinct(), "conv", "left_semi")
     units = _passages(around)
     # originals and quotes of one passage meet ordered by turn; no pairs are made
-    before = Window.partitionBy("conv", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = units.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(before)).where("level > 0 and source is not null")
+    placed = units.withColumn("value", F.when(F.col("level") == 0, F.col("turn")))
+    sources = _before(placed.groupBy("conv", "hash", "turn").agg(F.max("value").alias("value")), ["conv", "hash"]).select("conv", "hash", "turn", F.col("before").alias("source"))
+    found = units.where("level > 0").join(sources.where("source is not null"), ["conv", "hash", "turn"])
     best = F.max(F.struct((-F.col("level")).alias("level"), F.col("length"), F.col("source")))
     return found.groupBy("conv", "turn").agg(best["source"].alias("linked"), F.count_distinct("hash").alias("links"))
 
 
-def _previous(turns: DataFrame) -> DataFrame:
-    """(conv, turn) -> with the conversation's turn before it, found within blocks and between blocks."""
-    blocked = turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    inside = blocked.withColumn("previous", F.lag("turn").over(Window.partitionBy("conv", "block").orderBy("turn")))
-    last = blocked.groupBy("conv", "block").agg(F.max("turn").alias("last"))
-    edge = last.select("conv", "block", F.lag("last").over(Window.partitionBy("conv").orderBy("block")).alias("edge"))
-    return inside.join(edge, ["conv", "block"]).select("conv", "turn", F.coalesce("previous", "edge").alias("previous"))
+def _before(rows: DataFrame, keys: list[str], levels: int = 2) -> DataFrame:
+    """rows (keys, turn, value), one per turn -> with `before`, the largest value of the keys' rows of smaller turns."""
+    window = Window.partitionBy(*keys, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    if not levels:
+        return rows.withColumn("block", F.lit(0)).withColumn("before", F.max("value").over(window)).drop("block")
+    blocked = rows.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    tops = blocked.groupBy(*keys, F.col("block").alias("turn")).agg(F.max("value").alias("value"))
+    carried = _before(tops, keys, levels - 1).select(*keys, F.col("turn").alias("block"), F.col("before").alias("carried"))
+    inside = blocked.withColumn("inside", F.max("value").over(window))
+    return inside.join(carried, [*keys, "block"]).withColumn("before", F.coalesce(F.greatest("inside", "carried"), "inside", "carried")).select(*rows.columns, "before")
 
 
 def reply_order(spark: SparkSession, table: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """table with parent_turn, quote_links, clean_text and reply_path, and the names these got."""
     scratch = Scratch(spark)
     messages = table.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("conv is not null and turn is not null")
-    turns = _previous(messages.select("conv", "turn").distinct()).join(parents(messages), ["conv", "turn"], "left")
+    turns = _before(messages.select("conv", "turn").distinct().withColumn("value", F.col("turn")), ["conv"]).select("conv", "turn", F.col("before").alias("previous"))
+    turns = turns.join(parents(messages), ["conv", "turn"], "left")
     turns = scratch.keep(turns.select("conv", "turn", "previous", F.coalesce("linked", "previous").alias("parent"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
     # a branch starts where the answer is not to the message right before; rows between belong to its chain
     start = F.col("parent").isNull() | (F.col("parent") != F.col("previous"))
-    blocked = turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS)).withColumn("start", F.when(start, F.col("turn")))
-    inside = blocked.withColumn("branch", F.max("start").over(Window.partitionBy("conv", "block").orderBy("turn")))
-    tops = blocked.groupBy("conv", "block").agg(F.max("start").alias("top"))
-    carried = tops.select("conv", "block", F.max("top").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    placed = scratch.keep(inside.join(carried, ["conv", "block"]).select("conv", "turn", "parent", "links", F.coalesce("branch", "carried").alias("branch")))
+    started = _before(turns.select("conv", "turn", "parent", "links", F.when(start, F.col("turn")).alias("value")), ["conv"])
+    placed = scratch.keep(started.select("conv", "turn", "parent", "links", F.coalesce("value", "before").alias("branch")))
 
     step = F.array(F.struct(F.lit(1).alias("kind"), F.coalesce(-F.col("parent"), F.lit(0)).alias("a"), F.col("turn").alias("b")))
     at_parent = placed.select("conv", F.col("turn").alias("parent"), F.col("branch").alias("up"))
