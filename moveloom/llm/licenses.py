@@ -2,7 +2,9 @@ r"""Licence scans (operator 8), in DataFrame functions only.
 
 The units of a document are its lines, its paragraphs, the whole text, and for each template the windows of
 as many words as it has that place one of its rare words where the template has it. Of windows that overlap by
-more than half, only the likest licence's count. A unit and a template are
+more than half, only the likest licence's count, and a window within a longer one of another licence does not
+(the two clauses of one licence stand in the three of another). Long licences, whose files are looked for by a
+passage of them, need no other form. A unit and a template are
 normalised to lower-case words of letters and digits; their likeness is the Dice coefficient of their sets
 of word bigrams. Dice reaches t only if the smaller set is at least t / (2 - t) of the larger, so for each
 unit only the templates within those bounds are compared; most units have none. A unit that reaches t also
@@ -68,7 +70,31 @@ HEADERS = {
     "LGPL-2.1": (_header("library", "Lesser General Public License", "2.1"),),
     "LGPL-3.0": (_header("program", "Lesser General Public License", "3"), _header("library", "Lesser General Public License", "3")),
 }
-ALL_TEMPLATES = {name: TEMPLATES.get(name, ()) + HEADERS.get(name, ()) for name in sorted({*TEMPLATES, *HEADERS})}
+#: What licence files say beyond TEMPLATES and HEADERS, of long ones a passage; the SQL doesn't have them.
+PASSAGES = {
+    "Apache-2.0": (
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    "GPL-2.0": (
+        "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program.",
+    ),
+    "GPL-3.0": (
+        "All rights granted under this License are granted for the term of copyright on the Program, and are irrevocable provided the stated conditions are met. This License explicitly affirms your unlimited permission to run the unmodified Program. The output from running a covered work is covered by this License only if the output, given its content, constitutes a covered work. This License acknowledges your rights of fair use or other equivalent, as provided by copyright law.",
+    ),
+    "MPL-2.0": (
+        "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: (a) under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work;",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+}
+ALL_TEMPLATES = {name: TEMPLATES.get(name, ()) + HEADERS.get(name, ()) + PASSAGES.get(name, ()) for name in sorted({*TEMPLATES, *HEADERS, *PASSAGES})}
 
 
 #: Words too common to tell a licence by.
@@ -132,12 +158,15 @@ def _window_hits(words: Column, templates: dict[str, tuple[str, ...]], threshold
 
 
 def _likest(hits: Column) -> Column:
-    """Hits that no likelier hit of another licence overlaps by more than half."""
+    """Hits that no likelier hit of another licence overlaps by more than half, nor a much longer one holds."""
 
     def beaten(x: Column, y: Column) -> Column:
         both = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
         more = (y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["license"] > x["license"]))
-        return (y["license"] != x["license"]) & more & (2 * both > F.least(x["end"] - x["start"], y["end"] - y["start"]))
+        own, other = x["end"] - x["start"], y["end"] - y["start"]
+        half, holds = 2 * both > F.least(own, other), (10 * both >= 9 * own) & (4 * other >= 5 * own)
+        longer = (10 * both >= 9 * other) & (4 * own >= 5 * other)
+        return (y["license"] != x["license"]) & (holds | (more & half & ~longer))
 
     return F.filter(hits, lambda x: ~F.exists(hits, lambda y: beaten(x, y)))
 
