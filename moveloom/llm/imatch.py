@@ -2,10 +2,10 @@ r"""Document fingerprints by I-Match (operator 4), in DataFrame functions only.
 
 Terms are lower-cased runs of letters and digits. Of these, the lexicon keeps those within a band of
 inverse document frequency: in at most MAX_SHARE of all distinct texts, so that a group of copies, however
-large, weighs once; and in at least two documents, in MIN_SHARE, and often enough that no more than
-MAX_LEXICON terms can be in the lexicon. (Document frequencies add up to the number of (document, term)
-pairs, so at most pairs / f terms have a frequency of f or more: this is the proven bound under which the
-lexicon is broadcast.) Near copies are distinct texts and weigh each.
+large, weighs once; and in at least two documents and in MIN_SHARE of them. Near copies are distinct texts
+and weigh each. Document frequencies add up to the number of (document, term) pairs, so the lexicon has at
+most 1 / MIN_SHARE times as many terms as a document has distinct ones on average. It is broadcast if it has
+no more than BROADCAST_TERMS, and else joined by term, a term's rows dealt to many tasks; both give the same.
 
 A fingerprint has LEVELS x PARTS signatures. Each is the hash of the document's sorted distinct terms in one
 random subset of the lexicon, chosen by bits of the term's hash; the subsets of a level take one in 16, 64,
@@ -26,16 +26,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, free_shuffles
+from .shared import Scratch, free_shuffles, with_group
 
 MAX_SHARE = 0.25
 MIN_SHARE = 0.0002
-MAX_LEXICON = 200_000
+#: Terms (of eight bytes) that are broadcast as a table, or sent as a list with each text.
+BROADCAST_TERMS = 1_000_000
+LISTED_TERMS = 2_000
 LEVELS = (16, 64, 256, 1024)
 PARTS = 8
-#: Documents per range of ids, and the most ranges (their bounds go to all tasks).
+#: Documents per range of ids. Ranges become longer where there would be more than MAX_RANGES, as their bounds go to
+#: all tasks; a range is sorted on disk if need be.
 RANGE_ROWS = 500
-MAX_RANGES = 4096
+MAX_RANGES = 1 << 18
 _STEP = 64
 
 
@@ -46,24 +49,27 @@ def term_ids(text: Column) -> Column:
 
 
 def lexicon(spark: SparkSession, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(term) within the band, over all documents; no more than MAX_LEXICON rows.
+    """(term) within the band, over all documents, written down.
 
-    A term in few rows is in few texts. Only those in many are counted by distinct texts, from the few of them that each text has.
+    A term in few rows is in few texts. Only those in many rows are counted by distinct texts, from what each text has of them.
     """
     scratch = Scratch(spark)
     found = docs.select(F.explode_outer(term_ids(F.col("text"))).alias("term"))  # explode() would compute the array twice, to filter
-    counted = scratch.keep(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term is not null"))
-    everything = counted.agg(F.sum("df").alias("pairs")).first().pairs or 0
-    least = max(2.0, MIN_SHARE * n_docs, everything / MAX_LEXICON)
-    counted = counted.where(F.col("df") >= least)
+    counted = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("term is not null")
+    counted = scratch.keep(counted.where(F.col("df") >= max(2.0, MIN_SHARE * n_docs)))
     n_texts = docs.select(F.md5("text")).distinct().count()
     most = max(2.0, MAX_SHARE * n_texts)
-    rare, often = counted.where(F.col("df") <= most).select("term"), counted.where(F.col("df") > most)
+    rare, often = counted.where(F.col("df") <= most).select("term"), counted.where(F.col("df") > most).select("term")
     if n_texts == n_docs:
-        return rare
-    listed = F.broadcast(often.agg(F.collect_list("term").alias("often")))  # a part of MAX_LEXICON
-    held = docs.crossJoin(listed).select(F.md5("text").alias("hash"), F.array_intersect(term_ids(F.col("text")), "often").alias("held"))
-    single = held.groupBy("hash").agg(F.first("held").alias("held")).select(F.explode_outer("held").alias("term"))
+        return scratch.keep(rare)
+    hashed = docs.select(F.md5("text").alias("hash"), term_ids(F.col("text")).alias("terms"))
+    first = often.limit(LISTED_TERMS + 1).collect()
+    if len(first) <= LISTED_TERMS:
+        held = hashed.select("hash", F.array_intersect("terms", F.array(*(F.lit(r.term) for r in first)).cast("array<long>")).alias("held"))
+        single = held.groupBy("hash").agg(F.first("held").alias("held")).select(F.explode_outer("held").alias("term"))
+    else:
+        found = hashed.select("hash", F.explode_outer("terms").alias("found"))
+        single = with_group(found, often, "found", "term", "inner", BROADCAST_TERMS).select("hash", F.col("found").alias("term")).distinct()
     in_texts = single.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where((F.col("texts") <= most) & F.col("term").isNotNull())
     out = scratch.keep(rare.union(in_texts.select("term")))
     free_shuffles(spark)
@@ -100,24 +106,39 @@ def likeness(a: Column, b: Column, print_a: Column, print_b: Column) -> Column:
 
 
 def _ranged(docs: DataFrame, n_docs: int) -> Column:
-    """The column that numbers the range of a row's id, upwards; null ids are in range -1."""
-    ranges = max(1, min(MAX_RANGES, n_docs // RANGE_ROWS))
-    shares = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 20 * ranges).alias("b")).first().b or [])) if shares else []
-    ids = F.col("doc_id")
-    if not bounds:
-        return F.when(ids.isNull(), -1).otherwise(0)
-    coarse = F.size(F.filter(F.array(*map(F.lit, bounds[::_STEP])), lambda b: b < ids))
-    start = F.greatest(coarse - 1, F.lit(0)) * _STEP
-    fine = F.size(F.filter(F.slice(F.array(*map(F.lit, bounds)), start + 1, _STEP), lambda b: b < ids))
-    return F.when(ids.isNull(), -1).otherwise(start + fine)
+    """The column that numbers the range of a row's id, upwards; null ids are in range -1.
+
+    Ids are sorted in parts, and each part's every so manieth id becomes a bound. A bound is looked up in every
+    _STEP**k-th of them, then between two of these in every _STEP**(k-1)-th, and so on.
+    """
+    rows = max(RANGE_ROWS, -(-n_docs // MAX_RANGES))
+    ids, bounds = F.col("doc_id"), []
+    if n_docs > rows:
+        sorted_ids = docs.select("doc_id").where(ids.isNotNull()).repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part"))
+        numbered = sorted_ids.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")))
+        bounds = sorted({r.doc_id for r in numbered.where(F.col("number") % rows == 0).select("doc_id").collect()})
+    place = F.lit(0)
+    step = 1
+    while step * _STEP < len(bounds):
+        step *= _STEP
+    top = True
+    while step and bounds:
+        kept = bounds[::step]
+        if isinstance(bounds[0], int):  # one literal
+            known = F.split(F.lit(",".join(map(str, kept))), ",").cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")
+        else:
+            known = F.array(*map(F.lit, kept))
+        start = F.lit(0) if top else F.greatest(place - 1, F.lit(0)) * _STEP
+        near = known if top else F.slice(known, start + 1, F.lit(_STEP))
+        place, step, top = start + F.size(F.filter(near, lambda b: b < ids)), step // _STEP, False
+    return F.when(ids.isNull(), -1).otherwise(place)
 
 
 def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_docs = docs.count()
-    terms = lexicon(spark, docs, n_docs).union(spark.createDataFrame([(0,)], "term long"))  # 0 stands in every document
+    terms = lexicon(spark, docs, n_docs).union(spark.range(1).select(F.lit(0).cast("long").alias("term")))  # 0 stands in every document
 
     at = _ranged(docs, n_docs)
     tops = docs.select("doc_id", at.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top")).orderBy("range").collect()
@@ -135,7 +156,7 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
                        F.concat(F.array(F.lit(0).cast("long")), term_ids(F.col("text")), F.transform(term_ids(F.col("edited")), lambda t: t.bitwiseOR(F.lit(1)))).alias("terms"))
     keys = ["range", "place", "again", "doc_id", "n_chars", "text_md5", "edited_md5", "edited_sha256"]
     single = made.select(*keys, F.explode_outer("terms").alias("found"))
-    known = single.join(F.broadcast(terms), F.col("found").bitwiseAND(F.lit(-2)) == F.col("term"))
+    known = with_group(single.withColumn("wanted", F.col("found").bitwiseAND(F.lit(-2))), terms, "wanted", "term", "inner", BROADCAST_TERMS).withColumnRenamed("wanted", "term")
     of = lambda bit: F.array_sort(F.collect_list(F.when((F.col("found").bitwiseAND(F.lit(1)) == bit) & (F.col("term") != 0), F.col("term"))))
     rows = known.groupBy("range", "place").agg(*(F.first(k).alias(k) for k in keys[2:]), of(0).alias("own"), of(1).alias("other"))
     rows = rows.select(*keys, signatures(F.col("own")).alias("own"), signatures(F.col("other")).alias("other"))
