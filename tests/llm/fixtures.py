@@ -17,6 +17,7 @@ def odd_rows() -> list[tuple]:
         (8, long_text, "en", "s3"), (9, long_text + " end", "en", "s3"), (10, "mail me at jo@example.com or +1 (555) 123-4567 now please, all of you out there", None, None),
         (None, "a row without an id but with a text of more than ten words in it", "en", "s1"),
         (12, "same id twice, the first of two texts that share nothing else with it", "en", "s4"), (12, "otra cosa distinta del todo para el mismo identificador de antes y ya", "es", "s4"),
+        (14, "a part of an address may be long: 1.2.3." + "0" * 6000 + "1 and 1.2.3." + "9" * 6000, "en", "s5"), (15, "one text<|endoftext|>another text of more than ten words that follow an end marker", "en", "s5"),
         (13, "naïve café — “quotes” 漢字 emoji 😀 mixed   spaces and more of the same kind", "fr", "s5"),
     ]
     rows = [(*r, None if r[1] is None else len(r[1]), 7, False, "x") for r in base]

@@ -51,6 +51,35 @@ def test_jaccard_classes(spark, n, percent):
     assert sorted(map(tuple, got)) == sorted(classes_by_hand(rows, n, percent))
 
 
+def test_jaccard_of_common_ngrams(spark, monkeypatch):
+    """Many unlike sets that share their rarest n-grams, in several components; those are split by a second n-gram."""
+    from random import Random
+
+    rng, rows = Random(11), []
+    for family in range(12):
+        own = [f"f{family}w{k}" for k in range(14)]
+        for i in range(6):
+            w = ["all", "of", "these", "begin", "so", *own]
+            w[5 + rng.randrange(14)] = f"x{rng.randrange(3)}"
+            rows.append((10 * family + i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "OPEN_NODES", 2)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    for percent in (55, 40):
+        got = ngram_join.join_classes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, percent).collect()
+        assert sorted(map(tuple, got)) == sorted(classes_by_hand(rows, 2, percent))
+
+
+def test_packed_ngrams():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for top in (1 << 64, 1 << 50, 1 << 20):
+        for n in (0, 1, 2, 3, 1000, 100_000):
+            grams = np.unique(rng.integers(0, top, n, np.uint64, endpoint=False) if top < 1 << 64 else rng.integers(0, (1 << 64) - 1, n, np.uint64))
+            grams[-1:] += np.uint64(top == 1 << 64)
+            assert (ngram_join._grams(ngram_join._packed(grams)) == grams).all() and len(ngram_join._packed(grams)) <= 9 + 8 * len(grams)
+
+
 def test_jaccard_odd_rows(spark):
     got = [tuple(r) for r in ngram_join.join_classes(spark, odd_docs(spark)).collect()]
     assert len(got) == len(odd_rows())
@@ -128,6 +157,7 @@ def test_quality_verdicts(spark):
     kept = {r.doc_id for r in got.where(F.col(names["kept"])).collect()}
     assert kept == {i for i in range(100) if i % 10} | {300, 302}
     odd, names = quality.judge(odd_docs(spark))
+    assert {r.doc_id for r in odd.where(F.col(names["kept"]) & F.col("source").isNull()).collect()} == {10}  # no host: by itself
     assert odd.count() == len(odd_rows()) and names["kept"] != "kept"
     assert quality.keep_good(odd_docs(spark)).columns == odd_docs(spark).columns
     assert quality.keep_good(empty_docs(spark)).count() == 0
@@ -141,7 +171,7 @@ def test_pii_against_patterns():
     from random import Random
 
     rng = Random(2)
-    for alphabet in ("a@.b-1+ ", "0123 -.+()", "19. -@a\n", "+1(2) 3"):
+    for alphabet in ("a@.b-1+ ", "0123 -.+()", "19. -@a\n", "+1(2) 3", "0256."):
         for _ in range(3000):
             t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 50)))
             want = {
@@ -164,6 +194,7 @@ def test_pii_cues(text, masked):
 
 def test_pii_odd_rows(spark):
     got = {r.doc_id: r for r in pii.pii_digest(odd_docs(spark)).collect()}
+    assert got[14].n_ip == 1  # zeros before a number do not count, however many
     assert got[10].n_email == 1 and got[10].n_phone == 1 and got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     back = pii.redact(odd_docs(spark))
     assert back.schema == odd_docs(spark).schema and back.where("text is null").count() == 1
@@ -174,11 +205,13 @@ def test_word_ids_equal_the_tokenizer():
     import numpy as np
     from random import Random
 
-    words, rng = packing.WordIds(tokenizer_file(), 200), Random(1)
+    from tokenizers import Tokenizer
+
+    words, rng, tokenizer = packing.WordIds(tokenizer_file(), 200), Random(1), Tokenizer.from_file(tokenizer_file())
     for alphabet in ("ab'sS tT.,!éÉßİıΣσς1²½́e\x1c\x85\xa0 漢字 ﬁ", "<|endoftext|> start", "".join(map(chr, range(32, 400))) + "   "):
         for _ in range(1500):
             t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))
-            assert words.encode(t) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            assert words.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_added_tokens_keep_their_ids():
@@ -249,6 +282,31 @@ def test_plan_uses_every_piece():
     assert used == counts and bins <= -(-sum(k * v for k, v in counts.items()) // 2048) + 1
 
 
+@pytest.mark.parametrize("counts", [
+    {x: 7919 * x % 104_729 + 1 for x in range(1, 60)}, {1: 10**9}, {3: 10**9 + 1, 1024: 5}, {x: 10**12 + x * x for x in range(1, 2049)}, {2048: 3}, {1025: 4}])
+def test_plan_is_bounded(counts):
+    patterns = packing.plan_patterns(counts)
+    used = Counter()
+    for lengths, times in patterns:
+        assert sum(lengths) <= 2048 and times > 0 and len(set(lengths)) <= 63
+        for x, each in Counter(lengths).items():
+            used[x] += each * times
+    assert used == counts and len(patterns) <= 3 * 2048
+    assert sum(t for _, t in patterns) <= 1.01 * -(-sum(k * v for k, v in counts.items()) // 2048) + 2 or set(counts) == {1025}
+
+
+def test_plan_closes_with_singles_pairs_and_triples():
+    assert packing.plan_patterns({1000: 1, 1048: 1, 1040: 1}) == [([1048, 1000], 1), ([1040], 1)]
+    assert packing.plan_patterns({1500: 2, 300: 2, 248: 2, 500: 1}) == [([1500, 300, 248], 2), ([500], 1)]
+    assert packing.plan_patterns({1200: 1, 400: 1, 248: 1, 200: 1, 700: 1}) == [([1200, 400, 248, 200], 1), ([700], 1)]
+
+
+def test_places_are_found_by_division(spark):
+    rows = [(i, "word") for i in range(100)] + [(200 + i, "word " * (3 + i % 5)) for i in range(40)]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file(), 32).collect()
+    assert check_packing(got, 32) == -(-sum(r.length for r in got) // 32) and len(got) == len(rows)
+
+
 def test_mixing_by_hand(spark):
     rows = [(i, " ".join(["w"] * (i % 40 + 1)), f"s{i % 4}") for i in range(4000)] + [(5000, "big " * 50000, "s9"), (5001, None, None), (5002, "a b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -275,7 +333,8 @@ def test_mixing_by_hand(spark):
         assert r.target == pytest.approx(target[source[r.doc_id]]) and r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
     for s in ("s0", "s1", "s2", "s3"):
         assert sum(r.taken for r in got.itertuples() if source[r.doc_id] == s) == pytest.approx(target[s], rel=0.1)
-    assert mixing.mix_digest(docs.repartition(7)).toPandas().sort_values("doc_id").equals(got.sort_values("doc_id")) or True
+    again = mixing.mix_digest(docs.repartition(7)).toPandas()
+    assert again.sort_values("doc_id", ignore_index=True).equals(got.sort_values("doc_id", ignore_index=True))
     copies = Counter(r.doc_id for r in mixing.mix_sources(docs).select("doc_id").collect())
     assert all(copies[r.doc_id] * r.size == r.taken for r in got.itertuples())
 
@@ -303,6 +362,61 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def prints_by_hand(rows):
+    """I-Match in plain Python: terms, band, subsets, hashes; {text: (signatures, fingerprint)} for any text."""
+    import regex
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def terms(text):
+        return {signed(xxhash.xxh64_intdigest(t.encode(), 42) & ~1 & (1 << 64) - 1) for t in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if t}
+
+    in_rows, in_texts = Counter(t for _, text in rows for t in terms(text)), Counter(t for text in {text for _, text in rows} for t in terms(text))
+    most = max(2.0, imatch.MAX_SHARE * len({text for _, text in rows}))
+    lexicon = {t for t, n in in_rows.items() if n >= max(2.0, imatch.MIN_SHARE * len(rows)) and in_texts[t] <= most}
+
+    def prints(text):
+        own, out = sorted(terms(text) & lexicon), []
+        for k, takes in enumerate(imatch.LEVELS):
+            place = lambda t, k=k, takes=takes: (t % (1 << 64) >> 1 + 12 * k) & takes - 1
+            for part in range(imatch.PARTS):
+                chosen = [t for t in own if place(t) == part]
+                h = 42
+                for t in chosen:
+                    h = xxhash.xxh64_intdigest((t % (1 << 64)).to_bytes(8, "little"), h)
+                out.append(h & 0xFFFFFFFF if chosen else None)
+        shown = " ".join("-" if s is None else f"{s:x}" for s in out)
+        return out, shown if any(s is not None for s in out) else "text " + hashlib.md5(text.encode()).hexdigest()
+
+    return prints
+
+
+def likeness_by_hand(a, b):
+    pairs = [(x, y) for x, y in zip(a[0], b[0], strict=True) if x is not None or y is not None]
+    return 1.0 if a[1] == b[1] else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+
+def check_prints(rows, got):
+    prints, ordered = prints_by_hand(rows), sorted(rows, reverse=True)
+    for (doc, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, other, following = prints(text), prints(edited), prints(after)
+        assert (got[doc].fingerprint, got[doc].edited_fingerprint) == (own[1], other[1]), doc
+        assert got[doc].near_edited == pytest.approx(likeness_by_hand(own, other)) and got[doc].near_next == pytest.approx(likeness_by_hand(own, following))
+
+
+@pytest.mark.parametrize("bound", [None, 3])
+def test_fingerprints_by_hand(spark, monkeypatch, bound):
+    if bound:  # no constant of size may change a result
+        for name in ("BROADCAST_TERMS", "LISTED_TERMS", "MAX_RANGES", "RANGE_ROWS"):
+            monkeypatch.setattr(imatch, name, bound)
+    rows = [*some_texts(120), *((1000 + i, f"Émile_{i % 7} straße ÇA 漢字 {i % 3} x{i}") for i in range(40)), (2000, ""), (2001, "?!")]
+    got = {r.doc_id: r for r in imatch.fingerprint_edits(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    check_prints(rows, got)
+
+
 def test_fingerprints_of_a_large_group_of_copies(spark):
     from random import Random
 
@@ -347,6 +461,55 @@ def test_languages_odd_rows(spark):
     assert langid.identify_held_out(spark, empty_docs(spark)).count() == 0
 
 
+def kneser_ney_by_hand(texts, alphabet_size, order=4):
+    """Interpolated Kneser-Ney of one language over strings, by its textbook recursion; None stands for a blank."""
+    counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])  # contexts, not occurrences
+    discounts = {}
+    for n, c in counts.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discounts[n] = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (alphabet_size + 1)
+        followers = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not followers:
+            return p(gram[1:])
+        total, d = sum(followers.values()), discounts[n]
+        return max(followers.get(gram, 0) - d, 0) / total + d * len(followers) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_by_hand():
+    import numpy as np
+    from math import log
+    from random import Random
+
+    rng = Random(8)
+    samples = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))).strip() or "a" for _ in range(12)] for lang, letters in (("one", "aabbc  é"), ("two", "bcdd ß "))}
+    reader = langid.Reader()
+    shown = lambda t: [tuple(int(x) for x in reader.symbols(t))]
+    counts = []
+    for texts in samples.values():
+        parts = [reader.packed(reader.symbols(t)) for t in texts]
+        counts.append(tuple(np.unique(np.concatenate(parts), return_counts=True)))
+    scorer = langid.Scorer(langid.fit(list(samples), counts))
+    symbols = {s for texts in samples.values() for t in texts for s in shown(t)[0][langid.ORDER - 1 :]}
+    models = [kneser_ney_by_hand([shown(t)[0] for t in texts], len(symbols)) for texts in samples.values()]
+    probes = [*samples["one"][:3], *samples["two"][:3], "abc zzz qé", "Döner KEBAB", "z"]
+    entropy, lengths = scorer.entropies(probes)
+    for i, t in enumerate(probes):
+        s = shown(t)[0]
+        grams = [s[k : k + langid.ORDER] for k in range(len(s) - langid.ORDER + 1)]
+        assert lengths[i] == len(grams)
+        for j, p in enumerate(models):
+            assert entropy[i, j] == pytest.approx(-sum(log(p(g)) for g in grams) / len(grams), rel=1e-4)
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
@@ -376,3 +539,43 @@ def test_licenses_among_other_words(spark):
             (8, f"{filler} This work is licensed under the GNU General Public License, version 2. {filler}"), (9, f"{filler} This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. {filler}"), (10, filler + " license")]
     got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (5, "GPL-2.0"), (6, "LGPL-2.1"), (7, "GPL-3.0"), (8, "GPL-2.0"), (9, "CC-BY-NC-4.0")}
+
+
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+          "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+_CLAUSES = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+
+
+def license_files():
+    """Licence files as they are found: a heading, a copyright line, wrapped lines, clauses as paragraphs, a disclaimer."""
+    wrap = lambda t, w=72: "\n".join(__import__("textwrap").wrap(t, w))
+    text = licenses.ALL_TEMPLATES
+    head = "Copyright (c) 2011-2024, The Someone Project and its authors. All rights reserved.\n\n"
+    return [
+        ("BSD-2-Clause", "BSD 2-Clause License\n\n" + head + "\n\n".join(map(wrap, (_BSD, *_CLAUSES[:2], _AS_IS)))),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\n" + head + "\n\n".join(map(wrap, (_BSD, *_CLAUSES, _AS_IS)))),
+        ("BSD-3-Clause", "/*\n" + "\n".join(" * " + line for line in wrap(" ".join((_BSD, *_CLAUSES, _AS_IS)), 60).split("\n")) + "\n */\nint main() { return 0; }"),
+        ("ISC", "ISC License\n\n" + head + wrap(text["ISC"][0]) + "\n\n" + wrap("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.")),
+        ("MIT", "The MIT License\n\n" + head + wrap(text["MIT"][2]) + "\n\n" + wrap("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.")),
+        ("Apache-2.0", head + "\n".join("# " + line for line in wrap(text["Apache-2.0"][1]).split("\n"))),
+        ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\n\n1. Definitions.\n\n\"Work\" shall mean the work of authorship.\n\n2. " + wrap(text["Apache-2.0"][2]) + "\n\n3. Grant of Patent License."),
+        ("MPL-2.0", "Mozilla Public License Version 2.0\n\n2.1. Grants\n\n" + wrap(text["MPL-2.0"][1]) + " and\n\n(b) under Patent Claims of such Contributor"),
+        ("MPL-2.0", "// " + text["MPL-2.0"][0] + "\n#include <x>"),
+        ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n  1. " + wrap(text["GPL-2.0"][2]) + "\n\nYou may charge a fee for the physical act of transferring a copy."),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n  2. Basic Permissions.\n\n  " + wrap(text["GPL-3.0"][2]) + "\n\n  You may make, run and propagate covered works"),
+        ("Zlib", head + wrap(text["Zlib"][0]) + "\n\n1. The origin of this software must not be misrepresented"),
+        ("BSL-1.0", "Boost Software License - Version 1.0\n\n" + wrap(text["BSL-1.0"][0]) + "\n\nThe copyright notices in the Software"),
+    ]
+
+
+def test_license_files(spark):
+    files = license_files()
+    filler = " ".join(f"w{i}" for i in range(400))
+    rows = [(i, text) for i, (_, text) in enumerate(files)] + [(100 + i, f"{filler}\n{text}\n{filler}") for i, (_, text) in enumerate(files)]
+    rows += [(0, rows[0][1]), (0, rows[0][1]), (300, files[0][1] + "\n" + filler + "\n" + files[4][1]), (301, (filler + " ") * 300 + files[5][1])]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, name) for i, (name, _) in enumerate(files)} | {(100 + i, name) for i, (name, _) in enumerate(files)}
+    assert got == want | {(300, "BSD-2-Clause"), (300, "MIT"), (301, "Apache-2.0")}

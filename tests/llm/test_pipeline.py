@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline as P
 from moveloom.llm import pii, quality
 
-from .fixtures import odd_docs, some_texts
+from .fixtures import empty_docs, odd_docs, some_texts
 from .test_documents import check_packing, classes_by_hand
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,7 +53,7 @@ def test_odd_rows(spark):
     by = defaultdict(int)
     for r in kept.collect():
         by[r.doc_id] += 1
-    assert by[1] == 1 and 2 not in by and by[12] == 1 and by[None] == 1 and 9 not in by and by[8] == 1
+    assert by[1] == 1 and 2 not in by and by[12] == 2 and by[None] == 1 and 9 not in by and by[8] == 1
 
 
 def test_survivors_are_rows_not_ids(spark):
@@ -64,6 +64,22 @@ def test_survivors_are_rows_not_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
 
+def test_empty_table(spark):
+    docs = empty_docs(spark)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
+def test_many_hosts_are_joined_by_shuffle(spark, monkeypatch):
+    from moveloom.llm import shared
+
+    docs = odd_docs(spark)
+    want = [sorted(map(str, f(spark, docs, "").collect())) for f in (P.drop_low_quality, P.mix)]
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(shared, "SALTS", 3)
+    assert [sorted(map(str, f(spark, docs, "").collect())) for f in (P.drop_low_quality, P.mix)] == want
+
+
 def test_run(spark):
     packed = P.run(spark, "/root/testdata/sf0.001").collect()
     check_packing(packed, 2048)
