@@ -89,3 +89,18 @@ def output_bucket(pieces: Column, buckets: int = 8) -> Column:
 def ending_label(sign: Column, plies: Column) -> Column:
     """900 less 10 a ply, at least 400, with the winner's sign."""
     return (F.signum(sign) * clamp(900 - 10 * plies, 400, 900)).cast("long")
+
+
+def lowest_bit(bits: Column) -> Column:
+    """Number of the lowest set bit of a word that has one."""
+    return F.bit_count(F.bitwise_not(bits).bitwiseAND(bits - 1))
+
+
+def highest_bit(bits: Column) -> Column:
+    """Number of the highest set bit of a positive word."""
+    return F.length(F.bin(bits)) - 1
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """Keys of both maps; where both have one, the second's value."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)

@@ -64,6 +64,15 @@ def pentanomial(pairs: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("elo", elo_of(bounded)).withColumn("margin", _margin(F.col("score"), error, 1e-9))
 
 
+def pooled_matches(pairs: DataFrame, match: str, sides: str) -> DataFrame:
+    """Pentanomial of all pairs (a_points) of several matches; matches of other sides than the first's are an error."""
+    first = pairs.agg(F.min(sides).alias("low"), F.max(sides).alias("high")).first()
+    if first.low != first.high:
+        raise ValueError(f"these matches are not between the same sides: {first.low}, {first.high}")
+    matches = pairs.agg(F.count_distinct(match).alias("matches")).first().matches
+    return pentanomial(pairs.withColumn("_all", F.lit(1)), "_all").drop("_all").withColumn("matches", F.lit(matches).cast("long"))
+
+
 def running_llr(trials: DataFrame, by: str, order: list[str], points: str, s0: float, s1: float) -> DataFrame:
     """Normal-model ratio after each trial, from running sums: one sort per group, no self-join."""
     upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bands, ending_label, floor_div, half_even, output_bucket, position_key, truncated, tsv_cell
+from ..functions.scalars import bands, ending_label, floor_div, half_even, highest_bit, lowest_bit, merged_maps, output_bucket, position_key, truncated, tsv_cell
 from ..sources.tables import games, table
 from .registry import GAMES, query
 
@@ -119,19 +119,63 @@ def q86_text_keys(spark, sf_dir):
 
 @query("""WITH r AS (SELECT source, n_chars, doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT rn <= greatest(10, n // 5) AS worst, count(*) AS n, round(avg(n_chars), 4) AS mean FROM r GROUP BY 1""")
 def q87_worst_fifth(spark, sf_dir):
-    """The worst fifth against the rest: only the fifth's boundary is looked up, nothing is ranked as a whole."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    """The worst fifth against the rest, from the counts per value: rows of one value are alike here, so no row is ranked."""
+    docs = table(spark, sf_dir, "documents").select("n_chars")
     cut = max(10, docs.count() // 5)
     per_size = docs.groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"))
-    run = per_size.withColumn("upto", F.sum("n").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = run.where(F.col("upto") >= cut).agg(F.min_by("n_chars", "upto").alias("edge"), F.min_by(F.col("upto") - F.col("n"), "upto").alias("before")).first()
-    ties = docs.where(F.col("n_chars") == edge.edge).orderBy("doc_id").limit(cut - edge.before).withColumn("_in", F.lit(True))
-    joined = docs.join(ties.select("doc_id", "_in"), "doc_id", "left")
-    worst = (F.col("n_chars") < edge.edge) | F.coalesce("_in", F.lit(False))
-    return joined.groupBy(worst.alias("worst")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))
+    before = F.sum("n").over(Window.orderBy(F.col("n_chars").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    worst = per_size.select("n_chars", "n", F.greatest(F.lit(0), F.least(F.col("n"), cut - before)).alias("in"))
+    sides = worst.select("n_chars", F.explode(F.array(F.struct(F.lit(True).alias("worst"), F.col("in").alias("n")), F.struct(F.lit(False).alias("worst"), (F.col("n") - F.col("in")).alias("n")))).alias("x"))
+    return sides.where("x.n > 0").groupBy("x.worst").agg(F.sum("x.n").alias("n"), F.round(F.sum(F.col("n_chars") * F.col("x.n")) / F.sum("x.n"), 4).alias("mean"))
 
 
 @query("SELECT label, round(avg(round_even(value, 1)), 4) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS value FROM embeddings) GROUP BY label")
 def q88_half_even_mean(spark, sf_dir):
     s = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("v"))
     return s.groupBy("label").agg(F.round(F.avg(half_even(F.col("v").cast("double"), 1)), 4).alias("mean"))
+
+
+@query("""WITH b AS (SELECT event_id, (('0x' || substr(md5(event_id::VARCHAR), 1, 15))::BIGINT) | 1 AS bits FROM events)
+SELECT event_id, bits, bit_count(bits)::INT AS n, (bit_count(((bits & -4) & -(bits & -4)) - 1))::INT AS second, (length(ltrim(bits::BIT::VARCHAR, '0')) - 1)::INT AS highest, xor(bits, 7::BIGINT) & 63 AS mirrored FROM b WHERE bits & -4 <> 0""")
+def q130_bit_places(spark, sf_dir):
+    """Lowest and highest set bits of masked words, and flips of a square's number."""
+    bits = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 15), 16, 10).cast("long").bitwiseOR(F.lit(1).cast("long"))
+    b = table(spark, sf_dir, "events").select("event_id", bits.alias("bits")).withColumn("rest", F.col("bits").bitwiseAND(F.lit(-4).cast("long"))).where("rest <> 0")
+    return b.select("event_id", "bits", F.bit_count("bits").alias("n"), lowest_bit(F.col("rest")).alias("second"), highest_bit(F.col("bits")).alias("highest"), F.col("bits").bitwiseXOR(F.lit(7).cast("long")).bitwiseAND(F.lit(63).cast("long")).alias("mirrored"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y.%m.%d') AS day, (epoch_us(ts) // 1000)::BIGINT AS ms, epoch_ms(strptime(strftime(ts, '%Y.%m.%d %H:%M'), '%Y.%m.%d %H:%M'))::BIGINT AS minute FROM events""")
+def q131_dates(spark, sf_dir):
+    """Times written, read again and as milliseconds."""
+    ts = F.col("ts").cast("timestamp")
+    minute = F.to_timestamp(F.date_format(ts, "yyyy.MM.dd HH:mm"), "yyyy.MM.dd HH:mm")
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(ts, "yyyy.MM.dd").alias("day"), F.unix_millis(ts).alias("ms"), F.unix_millis(minute).alias("minute"))
+
+
+@query("""SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best, array_to_string(list_transform(list_grade_up(embedding)[1:3], lambda i: (i - 1)::INT), ',') AS lowest, len(list_filter(embedding, lambda x: x > 0))::INT AS positive,
+len(list_filter(embedding, lambda x: x > 100)) > 0 AS any_large, len(list_filter(embedding, lambda x: x < 100)) = len(embedding) AS all_small, list_contains([1, 3, 5], label) AS odd FROM embeddings""")
+def q132_array_numeric(spark, sf_dir):
+    """Place of the largest value, stable order, any, all, and membership in a list."""
+    e, at = F.col("embedding"), F.transform("embedding", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.array_position(e, F.array_max(e)) - 1).cast("int").alias("best"), F.array_join(F.transform(F.slice(F.array_sort(at), 1, 3), lambda p: p["i"].cast("string")), ",").alias("lowest"),
+        F.size(F.filter(e, lambda x: x > 0)).alias("positive"), F.exists(e, lambda x: x > 100).alias("any_large"), F.forall(e, lambda x: x < 100).alias("all_small"), F.col("label").isin(1, 3, 5).alias("odd"))
+
+
+@query("""WITH m AS (SELECT user_id, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'view' THEN value END) AS view, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, coalesce(click, -1.0) AS click, coalesce(view, click, -2.0) AS view, n AS total FROM m""")
+def q133_map_merge(spark, sf_dir):
+    """Maps merged with later ones winning: defaults, then what is known."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    known = rows.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("known"), F.sum("n").alias("total"))
+    defaults = F.create_map(F.lit("click"), F.lit(-1.0), F.lit("view"), F.coalesce(F.try_element_at("known", F.lit("click")), F.lit(-2.0)))
+    merged = merged_maps(defaults, F.col("known"))
+    return known.select("user_id", F.element_at(merged, "click").alias("click"), F.element_at(merged, "view").alias("view"), "total")
+
+
+@query("SELECT p_partkey, trim(regexp_split_to_array(p_name || ', by ' || p_brand || ' (old)', '[,(]| by ')[1]) AS head, len(list_filter(list_transform(regexp_split_to_array(p_name || ', by ' || p_brand || ' (old)', '[,(]| by '), lambda x: trim(x)), lambda x: x <> ''))::INT AS parts FROM part")
+def q134_cut_at_several(spark, sf_dir):
+    """A text cut at the first of several separators, and its parts."""
+    text = F.concat("p_name", F.lit(", by "), "p_brand", F.lit(" (old)"))
+    parts = F.transform(F.split(text, r"[,(]| by "), F.trim)
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(parts, F.lit(0)).alias("head"), F.size(F.filter(parts, lambda x: x != "")).alias("parts"))

@@ -204,3 +204,12 @@ def q74_running_tally(spark, sf_dir):
     w = Window.partitionBy("a").orderBy("l_orderkey", "l_linenumber", "l_partkey", "b").rowsBetween(Window.unboundedPreceding, 0)
     run = lambda v: F.sum(F.when(F.col("score") == v, 1).otherwise(0)).over(w).cast("long")
     return games.select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", run(1.0).alias("wins"), run(0.5).alias("draws"))
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT count(*) AS pairs, count(DISTINCT opening) AS matches, (count(*) FILTER (a_points = 0))::BIGINT AS bin0, (count(*) FILTER (a_points = 2))::BIGINT AS bin4, avg(a_points / 2) AS score FROM z)
+SELECT matches, pairs, bin0, bin4, round(score, 6) AS score, round({_E.format(x='score')}, 4) AS elo FROM s""")
+def q129_pooled_matches(spark, sf_dir):
+    """The pairs of all matches of the same two sides as one result."""
+    pairs = paired(spark, sf_dir).withColumn("sides", F.lit("a-b"))
+    out = R.pooled_matches(pairs, "opening", "sides")
+    return out.select("matches", "pairs", "bin0", "bin4", F.round("score", 6).alias("score"), F.round("elo", 4).alias("elo"))

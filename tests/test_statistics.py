@@ -176,3 +176,24 @@ def test_joint_ratings_of_games(spark):
     got = {r.a: r for r in joint_ratings(spark.createDataFrame(games, "a int, b int, score double"), {0: 2000.0}, 200).collect()}
     assert set(got) == {1, 2, 3} and abs(got[1].elo - 2190.85) < 0.2 and abs(got[2].elo - 2000) < 0.5 and got[3].elo == 4500.0
     assert all(r.low <= r.elo <= r.high for r in got.values()) and got[1].n == 40 and got[1].points == 30.0 and got[1].high - got[1].low > 50
+
+
+def test_queue_of_jobs(spark):
+    from moveloom.operators.jobs import ready, scheduled
+
+    rows = [(1, "running", "cpu", 8.0, 4.0, None, "./a.net"), (2, "pending", "gpu", None, 2.0, ["a.net"], "b.net"), (3, "pending", "gpu", None, 1.0, None, None), (4, "pending", "cpu", None, None, ["b.net"], None),
+            (5, "pending", "cpu", None, 1.0, [], None), (6, "running", "gpu", 1.0, 2.0, None, "c.net")]
+    queue = spark.createDataFrame(rows, "id int, state string, lane string, started double, hours double, requires array<string>, makes string")
+    got = {r.id: (r.start, r.finish) for r in scheduled(queue, 10.0).collect()}
+    assert got[1] == (8.0, 12.0) and got[2] == (12.0, 14.0) and got[3] == (14.0, 15.0) and got[4] == (14.0, None) and got[5] == (12.0, 13.0) and got[6] == (1.0, 10.0 + 1 / 6)
+    files = spark.createDataFrame([("a.net",)], "path string")
+    assert {r.id for r in ready(queue, files).collect()} == {2, 3, 5}
+
+
+def test_matches_of_other_sides_are_not_pooled(spark):
+    import pytest
+
+    from moveloom.operators.ratings import pooled_matches
+
+    with pytest.raises(ValueError, match="same sides"):
+        pooled_matches(spark.createDataFrame([(1, "a-b", 1.0), (2, "a-c", 1.0)], "m int, s string, a_points double"), "m", "s")
