@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
+from ..sources.folders import written
 from ..sources.tables import games, result_white, table
 from .registry import GAMES, TREE, query
 
@@ -67,13 +68,13 @@ def q06_longest_prefix_match(spark, sf_dir):
 
 @query(f"WITH {TREE}, q AS (SELECT *, array_to_string(string_split(prefix, ' ')[1:k - 1], ' ') AS parent FROM t) SELECT c.k, c.prefix, c.parent, c.n, p.n AS parent_n FROM q c JOIN t p ON p.k = c.k - 1 AND p.prefix = c.parent")
 def q07_prefix_parent_child(spark, sf_dir):
-    return S.shares(tree(spark, sf_dir)).select("k", "prefix", "parent", "n", "parent_n")
+    return S.shares(written(tree(spark, sf_dir))).select("k", "prefix", "parent", "n", "parent_n")
 
 
 @query(f"""WITH {TREE}, q AS (SELECT *, array_to_string(string_split(prefix, ' ')[1:k - 1], ' ') AS parent FROM t)
 SELECT c.k, c.prefix, c.n, round(c.n::DOUBLE / p.n, 6) AS share FROM q c JOIN t p ON p.k = c.k - 1 AND p.prefix = c.parent WHERE c.n >= 5 AND c.n::DOUBLE / p.n >= 0.05""")
 def q08_share_followed(spark, sf_dir):
-    return S.shares(tree(spark, sf_dir)).where((F.col("n") >= 5) & (F.col("share") >= 0.05)).select("k", "prefix", "n", F.round("share", 6).alias("share"))
+    return S.shares(written(tree(spark, sf_dir))).where((F.col("n") >= 5) & (F.col("share") >= 0.05)).select("k", "prefix", "n", F.round("share", 6).alias("share"))
 
 
 @query(f"""WITH {TREE}, q AS (SELECT k, prefix, array_to_string(string_split(prefix, ' ')[1:k - 1], ' ') AS parent, (white + 0.5 * draw) / n AS own FROM t),
@@ -83,7 +84,7 @@ v2 AS (SELECT q.k, q.prefix, q.parent, coalesce(m.v, q.own) AS value FROM q LEFT
 v1 AS (SELECT q.k, q.prefix, q.parent, coalesce(m.v, q.own) AS value FROM q LEFT JOIN (SELECT parent, min(value) AS v FROM v2 GROUP BY parent) m ON m.parent = q.prefix WHERE q.k = 1)
 SELECT k, prefix, round(value, 6) AS value FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4)""")
 def q09_minimax_value(spark, sf_dir):
-    return S.backed_up(tree(spark, sf_dir), 4).select("k", "prefix", F.round("value", 6).alias("value"))
+    return S.backed_up(written(tree(spark, sf_dir)), 4).select("k", "prefix", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {GAMES} SELECT game, len(moves)::INT AS plies FROM g WHERE len(moves) >= 4 AND moves[1:2] = ['NO', 'NO'] AND opening IN ('1-URGENT', '2-HIGH')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -18,6 +18,13 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame, written down and read again: what several branches of a plan read is computed once, and lineage ends."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def opened(path: str) -> str:
     """A path as open() takes it; an error where only Spark reaches it."""
     if path.startswith("file:"):
