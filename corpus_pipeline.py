@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as
 the next one's docs. All but the last keep the columns of documents; the last returns packed pieces.
+
+Defined cases, for all stages: extra columns pass through the first four, whatever their names; an empty table gives
+an empty one; long texts are worked on whole; rows are known by id and text together, never by id alone, and null ids
+are ids like any other. Null texts: quality rules reject them (they have no words), as they do empty and short ones;
+should a later stage meet one, it resembles nothing and stays, has nothing to mask, has size 0 in the mix and packs as
+one end id. Null hosts and sources: judged by the document alone; a source of their own, last in order. Repeated rows:
+equal in id and text, one of them stays; equal in text only, the one with the smallest id; mixing repeats rows, and
+packing packs each. Ties: of rows with equal ids that resemble each other the one with the smaller hash stays.
 """
 
 from __future__ import annotations
