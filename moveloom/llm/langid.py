@@ -13,7 +13,7 @@ the id among all labelled rows (the bound is expected, not exact), their whole t
 every row and whole texts.
 
 Defined cases: a null text or one without letters is `und` with score 0; rows without a label are not
-learned from; with one language only, that one is predicted; with none, all are `und`; equal texts get
+learned from; letters beyond U+FFFF share 4096 symbols, by their code's residue; with one language only, that one is predicted; with none, all are `und`; equal texts get
 equal predictions; an empty table gives an empty table.
 """
 
