@@ -105,3 +105,14 @@ def q62_mcnemar(spark, sf_dir):
 def q63_threshold_shares(spark, sf_dir):
     at = lambda v: F.round(F.avg(F.when(F.abs("score") >= v, 1.0).otherwise(0.0)), 6)
     return curves(spark, sf_dir).groupBy("game").agg(F.round(F.avg("score"), 6).alias("mean"), at(50).alias("share50"), at(200).alias("share200"), F.round(F.avg(expected_score(F.col("score"))), 6).alias("expected"))
+
+
+@query("""WITH g AS (SELECT unnest(range(40, 401)) / 100.0::DOUBLE AS f), x AS (SELECT value AS x, value * 1.7::DOUBLE + (event_id % 7) AS y FROM events),
+l AS (SELECT f, round(avg(pow(f * x - y, 2)), 6) AS loss FROM x, g GROUP BY f) SELECT f AS parameter, loss FROM l ORDER BY loss, f LIMIT 1""")
+def q136_grid_factor(spark, sf_dir):
+    """The factor from 0.40 to 4.00 that brings one scale nearest to another, all tried in one pass."""
+    from ..sources.tables import table
+
+    rows = table(spark, sf_dir, "events").select(F.col("value").alias("x"), (F.col("value") * 1.7 + F.col("event_id") % 7).alias("y"))
+    best = K.grid_fit(rows, [k / 100 for k in range(40, 401)], lambda f: F.pow(F.col("x") * f - F.col("y"), 2.0))
+    return best.select("parameter", F.round("loss", 6).alias("loss"))

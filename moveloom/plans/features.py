@@ -179,3 +179,10 @@ def q134_cut_at_several(spark, sf_dir):
     text = F.concat("p_name", F.lit(", by "), "p_brand", F.lit(" (old)"))
     parts = F.transform(F.split(text, r"[,(]| by "), F.trim)
     return table(spark, sf_dir, "part").select("p_partkey", F.get(parts, F.lit(0)).alias("head"), F.size(F.filter(parts, lambda x: x != "")).alias("parts"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, trunc((m * phase + e * (24 - phase)) / 24)::BIGINT AS value FROM (SELECT *, l_quantity::BIGINT * 10 - 250 AS m, l_linenumber * 20 - 80 AS e, least(24, l_partkey % 30) AS phase FROM lineitem)")
+def q138_tapered(spark, sf_dir):
+    """Two values blended by phase, divided towards zero."""
+    m, e, phase = F.col("l_quantity").cast("long") * 10 - 250, F.col("l_linenumber") * 20 - 80, F.least(F.lit(24), F.col("l_partkey") % 30)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", truncated(m * phase + e * (24 - phase), 24.0).alias("value"))

@@ -169,3 +169,32 @@ def q39_upsert(spark, sf_dir):
     """A merge that keeps what exists."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     return s.join(c, s.s_suppkey == c.c_custkey, "full").select(F.coalesce("s_suppkey", "c_custkey").alias("key"), F.coalesce("s_name", "c_name").alias("name"))
+
+
+@query("""SELECT CASE WHEN abs(score) < 50 THEN '0' WHEN abs(score) < 100 THEN '50' WHEN abs(score) < 150 THEN '100' WHEN abs(score) < 200 THEN '150' ELSE '200' END AS band,
+(count(*) FILTER (score > 0))::BIGINT AS plus, (count(*) FILTER (score < 0))::BIGINT AS minus, (count(*) FILTER (score = 0))::BIGINT AS level, 2 * least(count(*) FILTER (score > 0), count(*) FILTER (score < 0))::BIGINT AS taken
+FROM (SELECT round(value - 35, 0) AS score FROM events) GROUP BY 1""")
+def q135_band_report(spark, sf_dir):
+    """Rows per band and sign, and how many a balanced sample takes of them."""
+    rows = table(spark, sf_dir, "events").select(F.round(F.col("value") - 35, 0).alias("score"))
+    band = bands(F.abs("score"), (0, 50, 100, 150, 200), ("0", "50", "100", "150"), "200")
+    n = lambda c: F.sum(c.cast("long"))
+    out = rows.groupBy(band.alias("band")).agg(n(F.col("score") > 0).alias("plus"), n(F.col("score") < 0).alias("minus"), n(F.col("score") == 0).alias("level"))
+    return out.withColumn("taken", 2 * F.least("plus", "minus"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, avg(o_totalprice) AS x FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey AS k, avg(o_totalprice) AS y FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1)
+SELECT count(*) AS shared, (count(*) FILTER (abs(x - y) < 50000))::BIGINT AS agree, round(avg(x - y), 3) AS mean, round(stddev_samp(x - y), 3) AS spread FROM a JOIN b ON a.k = b.k""")
+def q137_paired_runs(spark, sf_dir):
+    """Two runs compared on the keys they share."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority", "o_totalprice")
+    one, two = (orders.where(F.col("o_orderpriority") == p).groupBy("k").agg(F.avg("o_totalprice").alias(n)) for p, n in (("1-URGENT", "x"), ("2-HIGH", "y")))
+    d = F.col("x") - F.col("y")
+    return one.join(two, "k").agg(F.count(F.lit(1)).alias("shared"), F.sum((F.abs(d) < 50000).cast("long")).alias("agree"), F.round(F.avg(d), 3).alias("mean"), F.round(F.stddev_samp(d), 3).alias("spread"))
+
+
+@query("SELECT lang, quality, toxic, count(*) AS n, round(avg(n_chars), 4) AS chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY ALL")
+def q139_labels_of_rows(spark, sf_dir):
+    """Labels joined to what they are about."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return rows.groupBy("lang", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("chars"))
