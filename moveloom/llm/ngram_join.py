@@ -3,22 +3,28 @@ r"""Jaccard join on word n-grams by vertical partitioning (operator 1).
 A document's set holds its distinct n-grams of lower-cased words. All n-grams have one global order: by the
 number of sets that have them, rare ones first, then by hash.
 
-1. Equal sets become one node. The order is cut into ranges of hashes first: each n-gram goes to its range in
+1. Equal sets become one node. n-grams are first dealt by ranges of hashes: each goes to its range in
    packed arrays, and those that other sets have too are sent back. An n-gram of one set only can't overlap,
-   so a set is dropped unless enough of it is shared; among the sets left this is counted once more, exactly.
+   so a set is dropped unless enough of it is shared; among the sets left this is counted once more, exactly,
+   and gives the global order.
 2. A node posts the n-grams of its prefix (so many of its first that two sets that link must share one).
    Within an n-gram, a node is paired with the most central node of another component, in its size class
    and in the class below: as many pairs as postings, however large a group is. This runs ROUNDS times.
-3. Candidate pairs are counted exactly: the order is cut into FRAGMENTS ranges, each node's n-grams are
-   cut with it, the overlap of a pair is counted in each range by itself, and the counts are summed per
+3. Candidate pairs are counted exactly: the global order is cut into FRAGMENTS, each node's n-grams are
+   cut with it, the overlap of a pair is counted in each fragment by itself, and the counts are summed per
    pair. The pair links if the sum reaches the threshold.
 4. Links are contracted to components after each round. Then postings whose nodes all lie in one component
    have nothing left to say; in all others each pair across two components that may still link is counted
    as in 3, and components are contracted once more. So no link between different components is missed, and
-   copies are never expanded into all their pairs.
+   copies are never expanded into all their pairs. An n-gram that more than OPEN_NODES such nodes post is
+   split first: of two sets that link and share it as the first of their n-grams, both also have a second
+   one in common within one place more of their prefixes, so these nodes meet under both together.
 
 An n-gram that several sets of one chunk have goes to its range once; the sets stay with the chunk. So what
-a very common n-gram sends does not grow with its documents but with the chunks.
+a very common n-gram sends does not grow with its documents but with the chunks. A chunk sends a range one
+row, if anything; where there are so many ranges that a row would hold one n-gram only, rows are as many as
+n-grams and no more. Leaders and counts of an n-gram are aggregates, which tasks begin before the shuffle,
+and joins, whose large keys can be split. n-grams and nodes are known by 64 bits of their hash.
 
 Defined cases: a null or blank text has an empty set and stays alone; a text with fewer words than n has
 one n-gram, its whole sequence; equal texts have equal sets and share a component; ids that occur on
@@ -32,7 +38,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -49,8 +55,10 @@ WORD_MEMORY = 200_000
 CHUNK_GRAMS = 600_000
 CHUNK_SETS = 60_000
 RANGE_DOCS = 2_500
-#: An n-gram is known by so many bits of its hash.
-GRAM_BITS = 48
+#: Parts of the components among which the two nodes that lead an n-gram are found.
+LEADER_PARTS = 16
+#: Nodes of several components that may post one n-gram before it is split by a second one.
+OPEN_NODES = 100
 NO_ID = -(1 << 63)
 _P = np.uint64(0x9DDFEA08EB382D69)
 
@@ -90,7 +98,7 @@ class Shingler:
         for k in range(width):
             out = (out + h[k : m - width + 1 + k]) * _P
             out ^= out >> np.uint64(31)
-        return np.unique(_mixed(out) >> np.uint64(64 - GRAM_BITS))
+        return np.unique(_mixed(out))
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -101,7 +109,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _ranges_of(grams: np.ndarray, ranges: int) -> np.ndarray:
-    return ((grams >> np.uint64(GRAM_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((grams >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 _POSTED = "range int, chunk string, kind int, grams binary, place binary, ids binary"
@@ -169,23 +177,28 @@ def _posted(docs: DataFrame, n: int, ranges: int) -> DataFrame:
 
 
 def _packed(grams: np.ndarray) -> bytes:
-    """Ascending numbers as the first one and 32-bit steps; a step of all ones adds its value and goes on."""
+    """Ascending numbers: a byte for the width of steps, the first one, and steps of 48 bits (their lower 32, then their
+    upper 16), where a step of all ones adds its value and goes on; or of 64 bits where too many are longer."""
     if not len(grams):
         return b""
-    most = np.uint64(0xFFFFFFFF)
+    most = np.uint64((1 << 48) - 1)
     steps = np.diff(grams)
     more = (steps // most).astype(np.int64)
-    out = np.full(len(steps) + int(more.sum()), most, np.uint32)
+    if 8 * more.sum() > len(steps):
+        return b"\x08" + grams[:1].tobytes() + steps.tobytes()
+    out = np.full(len(steps) + int(more.sum()), most, np.uint64)
     out[np.cumsum(more + 1) - 1] = steps % most
-    return grams[:1].tobytes() + out.tobytes()
+    return b"\x06" + grams[:1].tobytes() + out.astype(np.uint32).tobytes() + (out >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
 def _grams(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, np.uint64)
-    steps = np.frombuffer(packed, np.uint32, -1, 8)
-    done = np.cumsum(steps, dtype=np.uint64)[steps != 0xFFFFFFFF] if len(steps) else np.zeros(0, np.uint64)
-    first = np.frombuffer(packed, np.uint64, 1)
+    first, n = np.frombuffer(packed, np.uint64, 1, 1), (len(packed) - 9) // packed[0]
+    if packed[0] == 8:
+        return np.cumsum(np.concatenate([first, np.frombuffer(packed, np.uint64, n, 9)]), dtype=np.uint64)
+    steps = np.frombuffer(packed, np.uint32, n, 9).astype(np.uint64) | np.frombuffer(packed, np.uint16, n, 9 + 4 * n).astype(np.uint64) << np.uint64(32)
+    done = np.cumsum(steps, dtype=np.uint64)[steps != np.uint64((1 << 48) - 1)]
     return np.concatenate([first, first + done])
 
 
@@ -238,11 +251,11 @@ def _sets_of(percent: int):
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b, size_a, size_b) -> those that link, by overlaps counted per fragment and summed."""
-    shift = GRAM_BITS - int(math.log2(FRAGMENTS))
     wanted = sets.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
-    single = wanted.select("node", F.explode("fragments").alias("part"))
-    parts = single.select("node", F.shiftright(F.col("part")[0], shift).alias("fragment"), F.col("part").alias("grams"))
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).withColumn("fragment", F.col("fragment").cast("long"))
+    single = wanted.select("node", "order", "cuts", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    begin, end = F.get("cuts", F.col("fragment")), F.get("cuts", F.col("fragment") + 1)
+    parts = single.where(end > begin).select("node", "fragment", F.slice("order", begin + 1, end - begin).alias("grams"))
+    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     left = cut.join(parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), ["a", "fragment"])
     both = left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
     partial = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
@@ -261,19 +274,22 @@ def _possible(percent: int):
     return fits & ((100 + percent) * rest >= percent * (F.col("size_a") + F.col("size_b"))) & (F.col("a") != F.col("b"))
 
 
-def _led(posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _led(scratch: Scratch, posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of each node with the most central node of another component, in its class and the one below, per n-gram."""
-    in_class, below = Window.partitionBy("gram", "class"), Window.partitionBy("gram").orderBy("class").rangeBetween(-1, -1)
     named = posted.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lead = F.struct("score", "node", "size", "pos", "component")
-    named = named.withColumn("first", F.max(lead).over(in_class))
-    named = named.withColumn("second", F.max(F.when(F.col("component") != F.col("first.component"), lead)).over(in_class))
-    named = named.withColumn("first_below", F.max("first").over(below)).withColumn("second_below", F.max("second").over(below))
-    other = lambda one, two: F.when(F.col("component") != F.col(f"{one}.component"), F.col(one)).otherwise(F.col(two))
-    b = F.explode(F.array_compact(F.array(other("first", "second"), other("first_below", "second_below"))))
-    both = named.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), b.alias("b"))
-    both = both.select("a", "size_a", "pos_a", F.col("b.node").alias("b"), F.col("b.size").alias("size_b"), F.col("b.pos").alias("pos_b"))
-    return both.where(_possible(percent)).select(*_sorted_pair()).distinct()
+    # the best node of each part of the components, then the best two of these few: both steps begin before the shuffle
+    best = named.groupBy("gram", "class", F.pmod(F.xxhash64("component"), F.lit(LEADER_PARTS))).agg(F.max(F.struct("score", "node", "size", "pos", "component")).alias("lead"))
+    leaders = best.groupBy("gram", "class").agg(F.sort_array(F.collect_list("lead"), asc=False).alias("leads"))
+    leaders = scratch.keep(leaders.select("gram", "class", F.get("leads", F.lit(0)).alias("first"), F.get("leads", F.lit(1)).alias("second")))
+    pairs = None
+    for above in (0, 1):
+        by_class = leaders.withColumn("class", F.col("class") + above)
+        met = named.join(by_class, ["gram", "class"])
+        b = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
+        met = met.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), b.alias("b")).where("b is not null")
+        met = met.select("a", "size_a", "pos_a", F.col("b.node").alias("b"), F.col("b.size").alias("size_b"), F.col("b.pos").alias("pos_b")).where(_possible(percent))
+        pairs = met if pairs is None else pairs.union(met)
+    return pairs.select(*_sorted_pair()).distinct()
 
 
 def _sorted_pair() -> list:
@@ -282,37 +298,74 @@ def _sorted_pair() -> list:
     return [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("size_a", "size_b"), ("size_b", "size_a"))]
 
 
-def _across(posted: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _across(scratch: Scratch, sets: DataFrame, posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes of different components that share a posted n-gram and may link."""
-    at_gram = Window.partitionBy("gram")
     named = posted.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = scratch.keep(
-        named.withColumn("least", F.min("component").over(at_gram)).withColumn("most", F.max("component").over(at_gram))
-        .where(F.col("least") != F.col("most")).drop("least", "most"))
-    x, y = (open_.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
-    met = (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b"))
-    x, y = x.withColumn("a", F.col("node_a")), y.withColumn("b", F.col("node_b"))
-    return x.join(y, (x.gram == y.gram) & met & _possible(percent)).select("a", "b", "size_a", "size_b").distinct()
-
-
-def _counted(scratch: Scratch, sets: DataFrame, percent: int) -> DataFrame:
-    """Sets (node, size, fragments, order): n-grams of two sets or more, by range and in the global order; sets with enough of them."""
-    single = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")).select("node", "size", F.explode("grams").alias("gram"))
-    counted = single.withColumn("n_sets", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n_sets > 1")
-    again = counted.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n_sets", "gram"))).alias("order"))
-    again = again.where(100 * F.size("order") >= percent * F.col("size")).withColumn("order", F.transform("order", lambda x: x["gram"]))
-    shift = GRAM_BITS - int(math.log2(FRAGMENTS))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda k: F.filter("order", lambda g: F.shiftright(g, shift) == k))
-    return scratch.keep(again.select("node", "size", "order", F.filter(cut, lambda p: F.size(p) > 0).alias("fragments")))
+
+    def open_(rows: DataFrame, keys: list[str]) -> DataFrame:
+        several = rows.groupBy(*keys).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("nodes")).where("least <> most")
+        return rows.join(scratch.keep(several.select(*keys, "nodes")), keys)  # a join of two tables, whose large keys can be split
+
+    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
+        x, y = (rows.select(*(F.col(k).alias(f"{k}_{s}") for k in keys), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
+        x, y = x.withColumn("a", F.col("node_a")), y.withColumn("b", F.col("node_b"))
+        same = F.col(f"{keys[0]}_a") == F.col(f"{keys[0]}_b")
+        for k in keys[1:]:
+            same = same & (F.col(f"{k}_a") == F.col(f"{k}_b"))
+        return x.join(y, same & (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _possible(percent)).select("a", "b", "size_a", "size_b")
+
+    found = scratch.keep(open_(named, ["gram"]))
+    pairs = met(found.where(F.col("nodes") <= OPEN_NODES), ["gram"])
+    many = found.where(F.col("nodes") > OPEN_NODES)
+    if percent <= 50:  # such sets may have but one n-gram in common
+        pairs = pairs.union(met(many, ["gram"]))
+    elif many.limit(1).count():
+        # a pair whose shared n-grams in the prefixes are all in `many` has a second one within one place more
+        alone = F.col("size") - F.size("order")
+        longer = F.slice("order", F.col("pos") - alone + 2, F.greatest(_prefix(percent) + 1 - (F.col("pos") - alone + 1), F.lit(0)))
+        seconds = many.join(sets.select("node", "order"), "node").select("gram", "node", "size", "pos", "component", F.explode(longer.cast("array<long>")).alias("gram2"))
+        pairs = pairs.union(met(scratch.keep(open_(seconds, ["gram", "gram2"])), ["gram", "gram2"]))
+    return pairs.distinct()
+
+
+def _prefix(percent: int) -> Column:
+    """How many of a set's n-grams of several sets are in its prefix; n-grams of one set stand first in the order and are passed over."""
+    return (F.col("size") - F.ceil(F.lit(percent) * F.col("size") / F.lit(100.0)) + 1 - (F.col("size") - F.size("order"))).cast("int")
+
+
+def _counted(scratch: Scratch, found: DataFrame, percent: int) -> DataFrame:
+    """Sets (node, size, order, cuts): n-grams of two sets or more in the global order, and where its fragments begin; sets with enough of them.
+
+    found, which has the sets of all chunks beside other rows, is deleted.
+    """
+    sets = found.where("grams is not null")
+    once = scratch.keep(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")))
+    scratch.drop(found)
+    free_shuffles(scratch.spark)
+    single = once.select("node", F.explode("grams").alias("gram"))
+    counts = scratch.keep(single.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("n_sets")).where("n_sets > 1"))
+    free_shuffles(scratch.spark)
+    # the place in the order as a number; n-grams too near to be told apart are in one fragment
+    place = F.col("n_sets") + (F.col("gram") / float(1 << 64) + 0.5)
+    bounds = counts.agg(F.percentile_approx(place, [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000).alias("b")).first().b or []
+    again = single.join(counts, "gram").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n_sets", "gram"))).alias("order"))
+    again = again.join(once.select("node", "size"), "node").where(100 * F.size("order") >= percent * F.col("size"))
+    below = lambda bound: F.size(F.filter("order", lambda x: x["n_sets"] + (x["gram"] / float(1 << 64) + 0.5) < bound))
+    before = [below(b) for b in bounds]
+    cuts = F.array(F.lit(0), *before, *[F.size("order")] * (FRAGMENTS - len(before)))
+    out = scratch.keep(again.select("node", "size", F.transform("order", lambda x: x["gram"]).alias("order"), cuts.alias("cuts")))
+    scratch.drop(counts)
+    scratch.drop(once)
+    free_shuffles(scratch.spark)
+    return out
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(gram, pos, node, size, class, score) of each set's prefix; n-grams of one set stand first in the order and are passed over."""
+    """(gram, pos, node, size, class, score) of each set's prefix."""
     alone = F.col("size") - F.size("order")
-    prefix = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / F.lit(100.0)) + 1 - alone
     kind = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) + 1e-9).cast("int")
     score = F.size("order") / F.col("size")  # a set most of which is shared lies in the middle of its group
-    taken = sets.where(prefix > 0).select("node", "size", kind.alias("class"), score.alias("score"), alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), prefix.cast("int"))).alias("at", "gram"))
+    taken = sets.where(_prefix(percent) > 0).select("node", "size", kind.alias("class"), score.alias("score"), alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), _prefix(percent))).alias("at", "gram"))
     return taken.select("gram", (F.col("alone") + F.col("at")).cast("int").alias("pos"), "node", "size", "class", "score")
 
 
@@ -325,15 +378,14 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int
     found = scratch.keep(back.groupBy("chunk").applyInPandas(_sets_of(percent), "doc_id long, node long, size long, grams array<long>"))
     del back
     free_shuffles(spark)
-    rows = found.where("grams is null").select("doc_id", "node", F.col("size").alias("n_shingles"))
-    sets = _counted(scratch, found.where("grams is not null"), percent)
+    rows = scratch.keep(found.where("grams is null").select("doc_id", "node", F.col("size").alias("n_shingles")))
+    sets = _counted(scratch, found, percent)
     posted = scratch.keep(_prefixes(sets, percent))
-    free_shuffles(spark)
 
     labels = spark.createDataFrame([], "node long, component long")
     links = tried = None
     for turn in range(ROUNDS + 1):
-        pairs = _led(posted, labels, percent) if turn < ROUNDS else _across(posted, labels, percent, scratch)
+        pairs = _led(scratch, posted, labels, percent) if turn < ROUNDS else _across(scratch, sets, posted, labels, percent)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue
