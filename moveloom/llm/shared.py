@@ -119,7 +119,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, group_key: str, how
 
 
 def prefix_sums(scratch: Scratch, rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """rows with, for each name in sums, the sum of that column over all rows before in the order, which has no ties.
+    """rows with, for each name in sums, the sum of that column over all rows before in the order; ties come in any order.
 
     Rows are sorted in ranges; only the sums of whole ranges, a row for each task, are added up in one place.
     """
