@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, free_shuffles, with_group
+from .shared import Scratch, free_shuffles, prefix_sums, with_group
 
 MAX_SHARE = 0.25
 MIN_SHARE = 0.0002
@@ -108,15 +108,14 @@ def likeness(a: Column, b: Column, print_a: Column, print_b: Column) -> Column:
 def _ranged(docs: DataFrame, n_docs: int) -> Column:
     """The column that numbers the range of a row's id, upwards; null ids are in range -1.
 
-    Ids are sorted in parts, and each part's every so manieth id becomes a bound. A bound is looked up in every
+    Ids are sorted and numbered, and every so manieth becomes a bound. A bound is looked up in every
     _STEP**k-th of them, then between two of these in every _STEP**(k-1)-th, and so on.
     """
     rows = max(RANGE_ROWS, -(-n_docs // MAX_RANGES))
     ids, bounds = F.col("doc_id"), []
     if n_docs > rows:
-        sorted_ids = docs.select("doc_id").where(ids.isNotNull()).repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part"))
-        numbered = sorted_ids.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")))
-        bounds = sorted({r.doc_id for r in numbered.where(F.col("number") % rows == 0).select("doc_id").collect()})
+        numbered = prefix_sums(Scratch(docs.sparkSession), docs.select("doc_id").where(ids.isNotNull()), [ids.asc()], {"number": F.lit(1).cast("long")})
+        bounds = sorted({r.doc_id for r in numbered.where((F.col("number") + 1) % rows == 0).select("doc_id").collect()})
     place = F.lit(0)
     step = 1
     while step * _STEP < len(bounds):
