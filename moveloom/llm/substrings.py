@@ -12,7 +12,11 @@ that all suffixes that agree in `width` bytes meet, and only those are sorted th
 4. For these anchors, the strings go to the anchor's bucket. There equal strings become one; of anchors that
    have several strings then, a suffix array is built by the difference cover (sort sampled triples, recurse on their names, merge the
    remaining suffixes). Neighbours in it that agree in `width` bytes form groups, each with its smallest id.
-5. The windows of a text whose group has a smaller id go back to the text as runs of starts.
+5. A string goes back with the smallest ids of its windows, as runs, and the texts that hold it compare their own id.
+
+An anchor or a string that many texts of one chunk have is sent once for the chunk, with the smallest and the largest of
+their ids; which texts hold it stays with the chunk. So what a passage sends does not grow with its texts but with the
+chunks, however many texts hold it.
 
 Texts are shuffled once, into a bucketed table that later steps read in place.
 
@@ -39,6 +43,8 @@ SEED = 24
 #: Bytes of text per bucket of anchors, and anchors per packed row before it is dealt.
 BUCKET_BYTES = 8_000_000
 CHUNK_ANCHORS = 400_000
+#: Bytes of distinct strings of a chunk.
+CHUNK_BYTES = 32_000_000
 #: Buckets of strings per bucket of anchors.
 FINER = 4
 #: Symbols in one suffix array; anchors are never split between two, so one anchor may need more.
@@ -97,7 +103,8 @@ def _distinct_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _posted(texts: DataFrame, buckets: int, width: int) -> DataFrame:
     """Packed anchors: per chunk of texts and bucket the low hash halves and the anchors' numbers in the chunk.
 
-    A row of kind 0 per chunk has its keys and how many distinct anchors each text has, sorted by hash.
+    Kind 1: anchors of one text of the chunk. Kind 2: one mention each of those of several texts. Kind 0, once per chunk:
+    its keys, how many distinct anchors each text has, sorted by hash, and the numbers of those of several texts.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -112,19 +119,28 @@ def _posted(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         def flush():
             nonlocal keys, held, size, number
             hashes = np.concatenate(held)
-            bucket = _bucket(hashes, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            chunk = f"{task}-{number}"
-            low = (hashes[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            own = np.flatnonzero(np.diff(cuts))
-            rows = [(int(c), low[cuts[c] : cuts[c + 1]].tobytes(), order[cuts[c] : cuts[c + 1]].astype(np.uint32).tobytes()) for c in own]
-            rows.append((hash_text(chunk) % buckets, "\n".join(keys).encode(), np.array([len(x) for x in held], np.uint32).tobytes()))
-            kinds = [1] * len(own) + [0]
+            order = np.argsort(hashes, kind="stable")
+            ordered = hashes[order]
+            equal = ordered[1:] == ordered[:-1]
+            again = np.concatenate([[False], equal])
+            several = again | np.concatenate([equal, [False]])
+            bucket = _bucket(ordered, buckets)  # buckets are ranges of this order
+            chunk, rows, kinds = f"{task}-{number}", [], []
+            for kind, some in ((1, ~several), (2, several & ~again)):
+                own, low, at = order[some], (ordered[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bucket[some]
+                cuts = np.searchsorted(at, np.arange(buckets + 1))
+                for c in np.flatnonzero(np.diff(cuts)):
+                    part = slice(cuts[c], cuts[c + 1])
+                    rows.append((int(c), low[part].tobytes(), own[part].astype(np.uint32).tobytes() if kind == 1 else b"", b""))
+                    kinds.append(kind)
+            counts = np.array([len(x) for x in held], np.uint32).tobytes()
+            rows.append((hash_text(chunk) % buckets, "\n".join(keys).encode(), counts, order[several].astype(np.uint32).tobytes()))
+            kinds.append(0)
             number += 1
             keys, held, size = [], [], 0
-            a, b, c = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array([chunk] * len(a)), pa.array(kinds, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "chunk", "kind", "low", "place"])
+            a, b, c, d = zip(*rows, strict=True)
+            columns = [pa.array(a, pa.int32()), pa.array([chunk] * len(a)), pa.array(kinds, pa.int32()), *(pa.array(x, pa.binary()) for x in (b, c, d))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "kind", "low", "place", "known"])
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -138,7 +154,7 @@ def _posted(texts: DataFrame, buckets: int, width: int) -> DataFrame:
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "bucket int, chunk string, kind int, low binary, place binary")
+    return texts.mapInArrow(run, "bucket int, chunk string, kind int, low binary, place binary, known binary")
 
 
 def hash_text(text: str) -> int:
@@ -146,11 +162,12 @@ def hash_text(text: str) -> int:
 
 
 def _shared(pdf):
-    """Of one bucket: the anchors that two texts have, by chunk; rows of kind 0 pass."""
+    """Of one bucket: the anchors of kind 1 that another text has too, by chunk; rows of kind 0 pass."""
     import pandas as pd
 
-    rows = pdf[pdf.kind == 1]
-    passed = pdf[pdf.kind == 0][["chunk", "kind", "low", "place"]]
+    rows = pdf[pdf.kind > 0]
+    names = ["chunk", "kind", "low", "place", "known"]
+    passed = pdf[pdf.kind == 0][names]
     if not len(rows):
         return passed.astype({"chunk": object})
     low = [np.frombuffer(x, np.uint32) for x in rows.low]
@@ -162,12 +179,12 @@ def _shared(pdf):
     twice[order[1:]] = equal
     twice[order[:-1]] |= equal
     out, at = [], 0
-    for chunk, x, place in zip(rows.chunk, low, rows.place, strict=True):
+    for chunk, kind, x, place in zip(rows.chunk, rows.kind, low, rows.place, strict=True):
         flags = twice[at : at + len(x)]
         at += len(x)
-        if flags.any():
-            out.append((chunk, 1, b"", np.frombuffer(place, np.uint32)[flags].tobytes()))
-    return pd.concat([passed, pd.DataFrame(out, columns=["chunk", "kind", "low", "place"])]).astype({"chunk": object})
+        if kind == 1 and flags.any():
+            out.append((chunk, 1, b"", np.frombuffer(place, np.uint32)[flags].tobytes(), b""))
+    return pd.concat([passed, pd.DataFrame(out, columns=names)]).astype({"chunk": object})
 
 
 def _by_text(pdf):
@@ -176,9 +193,7 @@ def _by_text(pdf):
 
     table = pdf[pdf.kind == 0].iloc[0]
     keys, counts = table.low.decode().split("\n"), np.frombuffer(table.place, np.uint32)
-    parts = [np.frombuffer(x, np.uint32) for x in pdf[pdf.kind == 1].place]
-    if not parts:
-        return pd.DataFrame([], columns=["key", "shared"])
+    parts = [np.frombuffer(x, np.uint32) for x in (table.known, *pdf[pdf.kind == 1].place)]
     flagged = np.sort(np.concatenate(parts)).astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     cuts = np.searchsorted(flagged, starts)
@@ -186,10 +201,15 @@ def _by_text(pdf):
     return pd.DataFrame([(keys[i], (flagged[cuts[i] : cuts[i + 1]] - starts[i]).astype(np.uint32).tobytes()) for i in own], columns=["key", "shared"])
 
 
+_STRINGS = "bucket int, chunk string, kind int, info binary, ids binary, data binary"
+
+
 def _strings(texts: DataFrame, buckets: int, width: int) -> DataFrame:
-    """texts (key, text, shared, least) -> packed strings of shared anchors, per chunk of texts and bucket.
+    """texts (key, text, shared, least) -> packed distinct strings of shared anchors, per chunk of texts and bucket.
 
-    key, number of the text in the chunk, start and window count of each string, its bytes; kind 0 as before.
+    Kind 1: number of the string in the chunk, its window count and the low half of its anchor's hash; the smallest and the
+    largest id of its texts; its bytes. Kind 0, once per chunk: where strings stand (number of the text, start, number of
+    the string), the ids of the texts, their keys.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -198,79 +218,85 @@ def _strings(texts: DataFrame, buckets: int, width: int) -> DataFrame:
 
         task, number = TaskContext.get().partitionId(), 0
         keys: list[str] = []
-        held: list[tuple] = []
+        owners: list[int] = []
+        names: dict[bytes, int] = {}
+        hashes: list[int] = []
+        places: list[tuple[int, int, int]] = []
         size = 0
 
         def flush():
-            nonlocal keys, held, size, number
-            hashes = np.concatenate([x[0] for x in held])
-            text_at = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-            start, count = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            bucket = _bucket(hashes, buckets)
+            nonlocal keys, owners, names, hashes, places, size, number
+            chunk, rows = f"{task}-{number}", []
+            where, ids = np.array(places, np.int64).reshape(-1, 3), np.array(owners, np.int64)
+            low, high = np.full(len(names), NO_ID, np.int64), np.full(len(names), -(1 << 63), np.int64)
+            np.minimum.at(low, where[:, 2], ids[where[:, 0]])
+            np.maximum.at(high, where[:, 2], ids[where[:, 0]])
+            distinct, h = list(names), np.array(hashes, np.uint64)
+            counts = np.array([len(x) for x in distinct], np.int64) - width + 1
+            bucket = _bucket(h, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            chunk, rows = f"{task}-{number}", []
             for c in np.flatnonzero(np.diff(cuts)):
                 own = order[cuts[c] : cuts[c + 1]]
-                data = b"".join([held[t][3][s : s + k + width - 1] for t, s, k in zip(text_at[own].tolist(), start[own].tolist(), count[own].tolist(), strict=True)])
-                info = np.stack([text_at[own], start[own], count[own], (hashes[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)]).astype(np.uint32)
-                least = np.array([held[t][4] for t in text_at[own].tolist()], np.int64)
-                rows.append((int(c), 1, info.tobytes(), least.tobytes(), data))
-            rows.append((hash_text(chunk) % buckets, 0, b"", b"", "\n".join(keys).encode()))
+                info = np.stack([own, counts[own], (h[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)]).astype(np.uint32)
+                rows.append((int(c), 1, info.tobytes(), np.stack([low[own], high[own]]).tobytes(), b"".join([distinct[i] for i in own.tolist()])))
+            rows.append((hash_text(chunk) % buckets, 0, where.T.astype(np.uint32).tobytes(), ids.tobytes(), "\n".join(keys).encode()))
             number += 1
-            keys, held, size = [], [], 0
+            keys, owners, names, hashes, places, size = [], [], {}, [], [], 0
             a, k, i, m, d = zip(*rows, strict=True)
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            columns = [a, [chunk] * len(a), k, i, m, d]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["bucket", "chunk", "kind", "info", "least", "data"])
+            columns = [pa.array(a, pa.int32()), pa.array([chunk] * len(a)), pa.array(k, pa.int32()), *(pa.array(x, pa.binary()) for x in (i, m, d))]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "kind", "info", "ids", "data"])
 
         for batch in batches:
             for key, text, shared, least in zip(*(batch.column(k) for k in range(4)), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 h, start, count = anchors(raw, width)
                 wanted = np.isin(h, np.unique(h)[np.frombuffer(shared.as_py(), np.uint32)])
+                for x, s, k in zip(h[wanted].tolist(), start[wanted].tolist(), count[wanted].tolist(), strict=True):
+                    string = raw[s : s + k + width - 1]
+                    at = names.setdefault(string, len(names))
+                    if at == len(hashes):
+                        hashes.append(x)
+                        size += len(string)
+                    places.append((len(keys), s, at))
                 keys.append(key.as_py())
-                held.append((h[wanted], start[wanted], count[wanted], raw, least.as_py()))
-                size += int(wanted.sum())
-                if size >= CHUNK_ANCHORS // 4:
+                owners.append(least.as_py())
+                if len(places) >= CHUNK_ANCHORS // 4 or size >= CHUNK_BYTES:
                     yield flush()
-        if held:
+        if places:
             yield flush()
 
-    return texts.select("key", "text", "shared", "least").mapInArrow(run, "bucket int, chunk string, kind int, info binary, least binary, data binary")
+    return texts.select("key", "text", "shared", "least").mapInArrow(run, _STRINGS)
 
 
 def _covered(width: int):
-    """Of one bucket: the runs of windows whose group has a smaller id, by chunk; rows of kind 0 pass."""
+    """Of one bucket: the smallest ids of the windows of each string, as runs, by chunk, where a text of the chunk has a larger id; rows of kind 0 pass."""
 
     def run(pdf):
         import pandas as pd
 
-        rows = pdf[pdf.kind == 1]
-        out = [(c, 0, d) for c, d in zip(pdf.chunk[pdf.kind == 0], pdf.data[pdf.kind == 0], strict=True)]
+        rows, passed = pdf[pdf.kind == 1], pdf[pdf.kind == 0]
+        out = [(c, 0, i, m, d) for c, i, m, d in zip(passed.chunk, passed["info"], passed.ids, passed.data, strict=True)]
         if len(rows):
-            info = [np.frombuffer(x, np.uint32).reshape(4, -1) for x in rows["info"]]
-            least = np.concatenate([np.frombuffer(x, np.int64) for x in rows.least])
-            counts = np.concatenate([x[2] for x in info]).astype(np.int64)
-            lengths = counts + width - 1
+            info = [np.frombuffer(x, np.uint32).reshape(3, -1) for x in rows["info"]]
+            ids = [np.frombuffer(x, np.int64).reshape(2, -1) for x in rows.ids]
             names: dict[bytes, int] = {}
-            kind = np.empty(len(counts), np.int64)
+            kind = np.empty(sum(x.shape[1] for x in info), np.int64)
             at = 0
             for x, data in zip(info, rows.data, strict=True):
-                end = np.cumsum(x[2].astype(np.int64) + width - 1)
-                for e, size in zip(end.tolist(), (x[2].astype(np.int64) + width - 1).tolist(), strict=True):
+                lengths = x[1].astype(np.int64) + width - 1
+                for e, size in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
                     kind[at] = names.setdefault(data[e - size : e], len(names))
                     at += 1
             distinct = list(names)
             class_least = np.full(len(distinct), NO_ID, np.int64)
-            np.minimum.at(class_least, kind, least)
+            np.minimum.at(class_least, kind, np.concatenate([m[0] for m in ids]))
             class_count = np.array([len(d) for d in distinct], np.int64) - width + 1
             class_start = np.concatenate([[0], np.cumsum(class_count)])
-            group_least = np.empty(class_start[-1], np.int64)
             anchor = np.empty(len(distinct), np.uint32)
-            anchor[kind] = np.concatenate([x[3] for x in info])
+            anchor[kind] = np.concatenate([x[2] for x in info])
             # the only string of an anchor has no window in common with any other
-            group_least[:] = np.repeat(class_least, class_count)
+            group_least = np.repeat(class_least, class_count)
             for some in _blocks(anchor, class_count + width):
                 text = np.frombuffer(b"".join([distinct[i] + b"\x00" for i in some]), np.uint8).astype(np.int64)
                 # symbols from 2; each string ends in 1, which no window holds
@@ -278,32 +304,33 @@ def _covered(width: int):
                 begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 text += 2
                 text[begins + sizes - 1] = 1
-                starts = np.repeat(begins - np.concatenate([[0], np.cumsum(class_count[some])[:-1]]), class_count[some]) + np.arange(class_count[some].sum())
-                group = window_groups(text, starts, width)
+                inside = np.arange(class_count[some].sum()) - np.repeat(np.concatenate([[0], np.cumsum(class_count[some])[:-1]]), class_count[some])
+                group = window_groups(text, np.repeat(begins, class_count[some]) + inside, width)
                 smallest = np.full(int(group.max()) + 1, NO_ID, np.int64)
                 np.minimum.at(smallest, group, np.repeat(class_least[some], class_count[some]))
-                where = np.repeat(class_start[some] - np.concatenate([[0], np.cumsum(class_count[some])[:-1]]), class_count[some]) + np.arange(class_count[some].sum())
-                group_least[where] = smallest[group]
+                group_least[np.repeat(class_start[some], class_count[some]) + inside] = smallest[group]
+            # runs of windows with one smallest id; each ends with its string
+            new = np.ones(len(group_least), bool)
+            new[1:] = group_least[1:] != group_least[:-1]
+            new[class_start[:-1]] = True
+            first = np.flatnonzero(new)
+            stop = np.append(first[1:], len(group_least))
+            owner = np.searchsorted(class_start, first, side="right") - 1
+            run_cuts = np.searchsorted(owner, np.arange(len(distinct) + 1))
             at = 0
-            for chunk, x in zip(rows.chunk, info, strict=True):
-                k, c = kind[at : at + x.shape[1]], x[2].astype(np.int64)
-                own = np.repeat(least[at : at + x.shape[1]], c)
+            for chunk, x, m in zip(rows.chunk, info, ids, strict=True):
+                k = kind[at : at + x.shape[1]]
                 at += x.shape[1]
-                shift = np.concatenate([[0], np.cumsum(c)[:-1]])
-                inside = np.arange(c.sum()) - np.repeat(shift, c)
-                gone = group_least[np.repeat(class_start[k], c) + inside] < own
-                if gone.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    new = np.zeros(len(gone) + 1, bool)
-                    new[shift] = True  # a run ends with its string
-                    first = np.flatnonzero(gone & (new[:-1] | ~np.concatenate([[False], gone[:-1]])))
-                    ends = np.searchsorted(edge[1::2], first, side="right")
-                    stop = np.minimum(edge[1::2][ends], np.append(shift, len(gone))[np.searchsorted(shift, first, side="right")])
-                    string = np.searchsorted(shift, first, side="right") - 1
-                    begin = x[1][string].astype(np.int64) + inside[first]
-                    runs = np.stack([x[0][string].astype(np.int64), begin, begin + stop - first])
-                    out.append((chunk, 1, runs.astype(np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "kind", "runs"])
+                n = run_cuts[k + 1] - run_cuts[k]
+                string = np.repeat(np.arange(len(k)), n)
+                r = np.repeat(run_cuts[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                wanted = group_least[first[r]] < m[1][string]
+                if wanted.any():
+                    string, r = string[wanted], r[wanted]
+                    begin = class_start[k[string]]
+                    runs = np.stack([x[0][string].astype(np.int64), first[r] - begin, stop[r] - begin, group_least[first[r]]])
+                    out.append((chunk, 1, runs[:3].astype(np.uint32).tobytes(), runs[3].tobytes(), b""))
+        return pd.DataFrame(out, columns=["chunk", "kind", "info", "ids", "data"])
 
     return run
 
@@ -328,13 +355,26 @@ def _blocks(anchor: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _runs_by_text(pdf):
+    """Of one chunk: per text the runs of its windows whose smallest id is smaller than its own, sorted."""
     import pandas as pd
 
-    keys = pdf[pdf.kind == 0].iloc[0].runs.decode().split("\n")
-    parts = [np.frombuffer(x, np.uint32).reshape(3, -1) for x in pdf[pdf.kind == 1].runs]
-    if not parts:
+    table = pdf[pdf.kind == 0].iloc[0]
+    keys, owners = table.data.decode().split("\n"), np.frombuffer(table.ids, np.int64)
+    text, start, string = np.frombuffer(table["info"], np.uint32).reshape(3, -1).astype(np.int64)
+    found = pdf[pdf.kind == 1]
+    if not len(found):
         return pd.DataFrame([], columns=["key", "runs"])
-    runs = np.concatenate(parts, axis=1).astype(np.int64)
+    parts = np.concatenate([np.frombuffer(x, np.uint32).reshape(3, -1) for x in found["info"]], axis=1).astype(np.int64)
+    least = np.concatenate([np.frombuffer(x, np.int64) for x in found.ids])
+    order = np.argsort(parts[0], kind="stable")
+    parts, least = parts[:, order], least[order]
+    low, high = np.searchsorted(parts[0], string, "left"), np.searchsorted(parts[0], string, "right")
+    n = high - low  # each place of a string takes the runs of that string
+    place = np.repeat(np.arange(len(string)), n)
+    r = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    gone = least[r] < owners[text[place]]
+    place, r = place[gone], r[gone]
+    runs = np.stack([text[place], start[place] + parts[1][r], start[place] + parts[2][r]])
     runs = runs[:, np.lexsort((runs[1], runs[0]))]
     cuts = np.searchsorted(runs[0], np.arange(len(keys) + 1))
     own = np.flatnonzero(np.diff(cuts))
@@ -382,10 +422,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, width: int = WIDTH) ->
     total = ids.agg(F.sum("bytes").alias("b")).first().b or 0
     buckets = int(max(16, total // BUCKET_BYTES))
     texts = _distinct_texts(spark, docs)
-    posted = _posted(texts, buckets, width).groupBy("bucket").applyInPandas(_shared, "chunk string, kind int, low binary, place binary")
+    posted = _posted(texts, buckets, width).groupBy("bucket").applyInPandas(_shared, "chunk string, kind int, low binary, place binary, known binary")
     shared = scratch.keep(posted.groupBy("chunk").applyInPandas(_by_text, "key string, shared binary"))
     strings = _strings(texts.join(shared, "key").join(ids.select("key", "least"), "key"), buckets * FINER, width)
-    covered = strings.groupBy("bucket").applyInPandas(_covered(width), "chunk string, kind int, runs binary")
+    covered = strings.groupBy("bucket").applyInPandas(_covered(width), _STRINGS.replace("bucket int, ", ""))
     runs = scratch.keep(covered.groupBy("chunk").applyInPandas(_runs_by_text, "key string, runs binary"))
     return texts.join(runs, "key", "left"), ids.drop("bytes")
 
