@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, langid, licenses, mixing, ngram_join, packing, pii, quality, quotes, substrings
+from . import imatch, langid, licenses, mixing, ngram_join, packing, pii, preference, prefix_trie, quality, quotes, runs, substrings
 from .shared import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(load(spark, sf_dir, "documents"))
 
 
+@query
+def op11_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.quality_digest(spark, load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_digest(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digest(spark, load(spark, sf_dir, "conversations"))
+
+
 ORACLES["op10_mixing"] = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
@@ -134,6 +149,28 @@ SELECT doc_id, license, max(dice) AS dice FROM best WHERE dice >= {licenses.THRE
 
 ORACLES["op8_license_scan"] = _license_sql()
 
+#: CRC-32 of a short string of digits, a byte at a time over the table that its polynomial gives.
+_CRC = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+crc AS (SELECT id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(id::VARCHAR, ''), lambda b: ascii(b)::BIGINT)),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM ids, crc_table)"""
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH ids AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IS NOT NULL), {_CRC},
+own AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+built AS (SELECT o.c, list_concat(list_slice(coalesce(b.own, []), 1, h % 4), list_slice(o.own, h % 4 + 1, len(o.own))) AS v
+  FROM own o JOIN crc ON crc.id = o.c LEFT JOIN own b ON b.c = o.c - o.c % 20),
+pre AS (SELECT c, d, len(v) = d AS ends, md5(to_json(list_slice(v, 1, d))::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(to_json(list_slice(v, 1, d - 1))::VARCHAR) END AS parent,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(v[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM (SELECT c, v, unnest(range(0, len(v) + 1)) AS d FROM built)),
+n AS (SELECT node, any_value(parent) AS parent, min(c) AS c, min(d) AS d, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+u AS (SELECT n.c, n.d, n.saved, k.n_children IS NULL AS leaf FROM n LEFT JOIN k ON n.node = k.node),
+s AS (SELECT pre.node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u JOIN pre ON pre.c = u.c AND pre.d <= u.d GROUP BY pre.node)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, p.c AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON n.node = s.node LEFT JOIN k ON n.node = k.node LEFT JOIN n AS p ON n.parent = p.node
+"""
+
 #: For tables without a quoted line, as the given ones are: each message then answers the one before it.
 ORACLES["op3_chat_formatting"] = """
 WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
