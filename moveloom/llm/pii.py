@@ -8,7 +8,11 @@ Kinds, in order: email, ip, card, phone (the base kinds, found leftmost and with
 kind; a candidate that fails its check is dropped and what it covers is not tried again), then those
 that need a cue: account (IBAN by its check digits, or a number after an account cue), ssn, login
 (user and password before the host of an address) and secret (passwords and access keys that are
-assigned). Spans are in code points, end exclusive.
+assigned; a value ends at a blank, quote, comma or semicolon, and cues within a value announce nothing more).
+Spans are in code points, end exclusive.
+
+The time is linear in the text: a value, number or address that was parsed is not parsed again from a place within it, and
+all other parsers look at a bounded number of characters.
 
 Defined cases: a null text has no spans; equal rows get equal spans; an empty table gives an empty
 table; long texts are scanned whole.
@@ -87,7 +91,7 @@ class Finder:
 
     def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
         found: dict[str, list[tuple[int, int]]] = {}
-        email_end = card_end = phone_end = digits_end = ip_end = secret_end = 0
+        email_end = card_end = phone_end = digits_end = ip_end = secret_end = kept_end = 0
         add = lambda kind, start, end: found.setdefault(kind, []).append((start, end))
         for last, (what, width) in self.automaton.iter(text):
             at = last - width + 1
@@ -119,8 +123,16 @@ class Finder:
                     if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                         add("phone", at, phone_end)
             elif what == "key":
-                if m := _ACCESS_KEY.match(text, at):
-                    add("secret", at, m.end())
+                if at >= kept_end and (m := _ACCESS_KEY.match(text, at)):
+                    kept_end = m.end()
+                    add("secret", at, kept_end)
+            elif what == "secret":
+                # what a value covers is not looked at again, valid or not: each character is in one value at most
+                if at >= secret_end and (m := _ASSIGNED.match(text, last + 1)):
+                    secret_end = m.end()
+                    if any(c.isdigit() for c in m[1]):
+                        kept_end = secret_end
+                        add("secret", m.start(1), secret_end)
             else:
                 self._cue(text, what, at, last + 1, found, add)
         return {k: sorted(set(v)) for k, v in found.items()}
@@ -147,9 +159,6 @@ class Finder:
         elif what == "login":
             if m := _LOGIN.match(text, after):
                 add("login", *m.span(1))
-        elif what == "secret":
-            if (m := _ASSIGNED.match(text, after)) and any(c.isdigit() for c in m[1]):
-                add("secret", *m.span(1))
 
 
 def listed(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> str:
