@@ -94,17 +94,18 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('20:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size)::DOUBLE AS cap,
         ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sized GROUP BY source),
 c AS (SELECT *, cap / weight AS per_weight, sum(source_size) OVER ()::DOUBLE AS total,
         (sum(cap) OVER w - cap)::DOUBLE AS before, (sum(weight) OVER () - sum(weight) OVER w + weight)::DOUBLE AS rest
       FROM s WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT source, source_size, least(cap, coalesce(weight * (SELECT arg_min((total - before) / rest, per_weight) FROM c WHERE per_weight > (total - before) / rest), cap)) AS target FROM c),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-        ('0x' || substr(md5('20:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before
       FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (least(floor(rate) + (CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END), 3))::BIGINT * size AS taken FROM r
+SELECT doc_id, size, source_size, target,
+  (floor(rate)::BIGINT + CASE WHEN before + 0.5::DOUBLE * size <= (rate - floor(rate)) * source_size THEN 1 ELSE 0 END) * size AS taken FROM r
 """
 
 ORACLES["op6_quality_rules"] = r"""
