@@ -41,9 +41,9 @@ RUNS_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.LongType(), False) for
 
 
 def numbered(words: list[bytes]) -> np.ndarray:
-    """A number for each word, equal for equal words."""
+    """A number for each word, that of its first place."""
     known: dict[bytes, int] = {}
-    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    return np.fromiter(map(known.setdefault, words, range(len(words))), np.int64, len(words))
 
 
 class Hashes:
@@ -176,16 +176,25 @@ def find_runs(docs: DataFrame, least: int = LEAST, times: int = TIMES, text: str
     return docs.mapInArrow(run, schema), runs, rest
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def planted(text: Column, doc_id: Column) -> Column:
     """The text, one in ten by its id with words from a place on replaced by a repetition; a null id has none."""
-    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
-    h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words).cast("long")
+    h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    word = lambda i: F.get(words, (F.when(i < a, i).otherwise(a + (i - a) % p)).cast("int"))
-    edited = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ")
-    return F.when((h % 10 == 0) & (n > 0), edited).otherwise(text)
+    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+
+    def edited(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        unit = F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(F.flatten(unit), F.lit(1), (n - a).cast("int"))), " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, _let(words, edited)).otherwise(text)
 
 
 def runs_digest(docs: DataFrame) -> DataFrame:
