@@ -2,45 +2,79 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+from .scans import scan
+
+#: Hours that a running job has left when it should be done already.
+OVERDUE = 1 / 6
+
+
+def normal_path(path: Column) -> Column:
+    """Without empty and `.` steps and with `..` taken back, as far as one level each."""
+    path = F.regexp_replace(F.regexp_replace(path, r"/(\./)+", "/"), "/{2,}", "/")
+    return F.regexp_replace(F.regexp_replace(path, r"[^/]+/\.\./", ""), r"^\./|/$", "")
 
-def schedule(jobs: Iterable, now: float) -> list[tuple]:
-    """jobs (id, state, lane, started, hours, requires, makes), in order -> (id, start, finish); times in hours.
 
-    Running jobs hold their lane until they should be done, those overdue for a sixth of an hour more. A pending one
-    starts when its lane is free and all that it requires is made; it holds its lane from then on. Without an estimate
-    there is no finish and the lane stays as it is. Paths are compared normalised.
+def scheduled(jobs: DataFrame, now: float) -> DataFrame:
+    """jobs (id, lane, state, started, hours, requires, makes and, unless ids are the order, place) -> id, start, finish, in_cycle; times in hours.
+
+    Running jobs hold their lane until they should be done, overdue ones for OVERDUE more. A pending job starts when the
+    jobs before it in its lane are done and all that it requires is made; it holds its lane from then on. Without an
+    estimate a job has no finish, holds nothing and nobody waits for it. What no job makes is there already. Several makers
+    of one path are all waited for. Jobs that wait for themselves, by what they require or by their lane, and all that
+    wait for them, have no times and are reported.
+
+    Each round settles, in every lane, the pending jobs before the first that waits for an unsettled one. Within that
+    stretch times follow from a running sum of hours and a running maximum, so rounds grow with the number of requirements
+    on a path and not with the length of lanes. Jobs stay in tables; what is counted on the driver is whether a round settled any.
     """
-    free: dict[str, float] = {}
-    made: dict[str, float] = {}
-    out = []
-    for job in sorted(jobs, key=lambda j: j.state != "running"):
-        ready = free.get(job.lane, now)
-        if job.state == "running":
-            start = now if job.started is None else job.started
-            finish = None if job.hours is None else start + job.hours
-            if finish is not None and finish < now:
-                finish = now + 1 / 6
-        else:
-            start = max([ready, *(made[p] for p in map(os.path.normpath, job.requires or []) if p in made)])
-            finish = None if job.hours is None else start + job.hours
-        if finish is not None:
-            free[job.lane] = max(ready, finish)
-            if job.makes:
-                made[os.path.normpath(job.makes)] = finish
-        out.append((job.id, start, finish))
-    return out
-
-
-def scheduled(queue: DataFrame, now: float, order: str = "id") -> DataFrame:
-    """The schedule as a frame; a queue is a list of jobs that people wrote, so it is worked off on the driver."""
-    rows = queue.orderBy(order).collect()
-    return queue.sparkSession.createDataFrame(schedule(rows, now), f"id {queue.schema['id'].dataType.simpleString()}, start double, finish double")
+    place = F.col("place") if "place" in jobs.columns else F.col("id")
+    queue = written(jobs.select("id", "lane", place.alias("place"), "state", "started", "hours", "requires", normal_path(F.col("makes")).alias("makes")))
+    begun = F.coalesce("started", F.lit(now))
+    due = begun + F.col("hours")
+    running = queue.where("state = 'running'").select("id", "lane", begun.alias("start"), F.when(due < now, now + OVERDUE).otherwise(due).alias("finish"))
+    none = F.lit(None).cast("double")
+    done = written(running.select("id", "start", "finish", none.alias("own_level")))
+    pending = queue.where("state = 'pending'").withColumn("hours_in_lane", F.coalesce("hours", F.lit(0.0)))
+    order = [F.col("place"), F.col("id")]
+    # how many hours of its lane lie before a job, its own not counted
+    lanes = scan(pending, ["lane"], order, {"upto": F.col("hours_in_lane")}).withColumn("before", F.col("upto") - F.col("hours_in_lane"))
+    free = running.groupBy(F.col("lane").alias("_lane")).agg(F.max("finish").alias("free"))
+    lanes = lanes.join(free, F.col("lane").eqNullSafe(F.col("_lane")), "left")
+    lanes = written(lanes.select("id", "lane", "place", "hours", "before", "requires", F.greatest(F.lit(now), F.coalesce("free", F.lit(now))).alias("level")))
+    needs = lanes.select("id", F.explode("requires").alias("path")).select("id", normal_path(F.col("path")).alias("makes")).distinct()
+    makers = queue.where("makes is not null and (state = 'running' or state = 'pending' and hours is not null)").select("makes", F.col("id").alias("maker"))
+    needs = written(needs.join(makers, "makes").select("id", "maker"))
+    lanes = lanes.drop("requires")
+
+    def with_waits(rows: DataFrame) -> DataFrame:
+        times = done.select(F.col("id").alias("maker"), "finish", F.lit(1).alias("known"))
+        waits = needs.join(times, "maker", "left").groupBy("id").agg(F.max(F.when(F.col("known").isNull(), 1).otherwise(0)).alias("waits"), F.max("finish").alias("made"))
+        return rows.join(waits, "id", "left").withColumn("waits", F.coalesce("waits", F.lit(0))).withColumn("made_level", F.col("made") - F.col("before")).drop("made")
+
+    rest = lanes.where("hours is not null")
+    while True:
+        seen = scan(with_waits(rest), ["lane"], order, maxima={"blocked": F.col("waits"), "lane_level": F.greatest("level", F.coalesce("made_level", "level"))})
+        seen = written(seen)
+        now_done = seen.where("blocked = 0")
+        if not now_done.limit(1).count():
+            break
+        start = F.col("lane_level") + F.col("before")
+        done = written(done.union(now_done.select("id", start.alias("start"), (start + F.col("hours")).alias("finish"), F.col("lane_level").alias("own_level"))))
+        raised = now_done.groupBy(F.col("lane").alias("_lane")).agg(F.max("lane_level").alias("raised"))
+        later = seen.where("blocked > 0").join(raised, F.col("lane").eqNullSafe(F.col("_lane")), "left")
+        rest = later.select("id", "lane", "place", "hours", "before", F.greatest("level", F.coalesce("raised", "level")).alias("level"))
+    # jobs without an estimate last: nobody waits for them
+    all_ = with_waits(lanes).join(done.select("id", "own_level", F.lit(1).alias("settled")), "id", "left")
+    stuck = (F.col("hours").isNotNull() & F.col("settled").isNull()).cast("int")
+    all_ = scan(all_, ["lane"], order, maxima={"lane_blocked": stuck, "lane_level": F.col("own_level")}).where("hours is null")
+    lost = F.coalesce((F.col("lane_blocked") > 0) | (F.col("waits") > 0), F.lit(False))
+    start = F.greatest("level", F.coalesce("lane_level", "level"), F.coalesce("made_level", "level")) + F.col("before")
+    open_ended = all_.select("id", F.when(~lost, start).alias("start"), none.alias("finish"), lost.alias("in_cycle"))
+    return done.select("id", "start", "finish", F.lit(False).alias("in_cycle")).union(seen.select("id", none, none, F.lit(True))).union(open_ended)
 
 
 def ready(queue: DataFrame, files: DataFrame) -> DataFrame:

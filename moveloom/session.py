@@ -27,3 +27,12 @@ def get_session(app: str = "moveloom", cpus: int | None = None, shuffle_partitio
     spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def carried(module: str) -> None:
+    """Let workers have a module's functions and classes by value, whether or not they can import the package."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -68,6 +68,24 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_new(stream: DataFrame, out: str, checkpoint: str, key: str) -> None:
+    """Append what has landed, each key once, whatever batch or run brings it.
+
+    What was seen is the output itself, whose key column each batch is held against, so the stream keeps no state that grows
+    in memory; a repeated batch overwrites itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number:
+            seen = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch=*")
+            before = F.regexp_extract(F.input_file_name(), r"/batch=(\d+)/", 1).cast("long")
+            fresh = fresh.join(seen.where(before < number).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def fold_into(stream: DataFrame, folder: str, checkpoint: str, by: list[str], aggregates: dict[str, str]) -> None:
     """Partial sums of each batch are appended under the batch's number; a repeated batch overwrites itself."""
 
