@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
-from ..operators.replay import deepest_name, in_first_order, named_positions, parse_repertoire, ranked_games, replay, valid_games
-from ..sources import binpack, boards, records, texts
+from ..operators.sequences import in_first_order, ranked_games
+from ..sources import boards, records, texts
 from ..sources.folders import opened, work_folder
-from ..sources.rules import START, from_fen
 from ..sources.tables import table
 from .registry import query
 
@@ -155,99 +152,6 @@ def q118_boards(spark, sf_dir):
     return rows.select("c_custkey", "fen", boards.material_signature(F.col("squares")).alias("signature"), men.alias("men"))
 
 
-def played(spark, sf_dir):
-    """Each user's events as games in a chunk of their own: a ply per event with its rounded value as score; moves follow from the event's id."""
-
-    def run(key: tuple, pdf):
-        import pandas as pd
-
-        position, rows, data = from_fen(START), [], b""
-        for ply, (event, score) in enumerate(zip(pdf.event_id, pdf.score, strict=True)):
-            own = position.own()
-            turned = own[event % len(own) :] + own[: event % len(own)]
-            move = next((m for s in turned for m in position.options(s)[event % 3 :] + position.options(s)[: event % 3] if position.safe(m)), None)
-            if move is None:  # the game is over: another begins
-                data += binpack.game_bytes(rows)
-                position, rows = from_fen(START), []
-                own = position.own()
-                move = next(m for s in own for m in position.options(s))
-            rows.append((position, move, int(score), 0, ply))
-            position = position.after(move)
-        return pd.DataFrame({"file": [""], "chunk": [int(key[0])], "data": [data + binpack.game_bytes(rows)]})
-
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.rint(F.col("value") * 10 - 2500).cast("int").alias("score"))
-
-    def ordered(key: tuple, pdf):
-        return run(key, pdf.sort_values(["ts", "event_id"]))
-
-    return events.groupBy("user_id").applyInPandas(ordered, "file string, chunk int, data binary")
-
-
-@query("SELECT user_id::INT AS chunk, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS ply, round_even(value * 10 - 2500, 0)::SMALLINT AS score FROM events")
-def q119_binpack(spark, sf_dir):
-    """Games encoded as chunks of bits and decoded again; an illegal move in them would be an error."""
-    return binpack.decode(played(spark, sf_dir)).select("chunk", "ply", "score")
-
-
-#: Lines of play for queries over games, and what is known about them.
-LINES = (
-    ("Ruy Lopez", "e4 e5 Nf3 Nc6 Bb5 a6 Bxc6 dxc6 O-O f6", "e2e4 e7e5 g1f3 b8c6 f1b5 a7a6 b5c6 d7c6 e1g1 f7f6"),
-    ("Scholar", "e4 e5 Bc4 Nc6 Qh5 Nf6 Qxf7#", "e2e4 e7e5 f1c4 b8c6 d1h5 g8f6 h5f7"),
-    ("Queen's Gambit", "d4 d5 c4 e6 Nc3 Nf6", "d2d4 d7d5 c2c4 e7e6 b1c3 g8f6"),
-    ("English", "c4 e6 Nc3 Nf6 d4 d5", "c2c4 e7e6 b1c3 g8f6 d2d4 d7d5"),
-    ("En passant", "e4 Nf6 e5 d5 exd6 exd6", "e2e4 g8f6 e4e5 d7d5 e5d6 e7d6"),
-    ("Illegal", "e4 e5 Ke3 Nf6", "e2e4 e7e5"),
-)
-_LINES = ", ".join(f"({k}, '{n.replace(chr(39), chr(39) * 2)}', string_split('{u}', ' '), '{s.replace('+', '')}')" for k, (n, s, u) in enumerate(LINES))
-
-
-def _games(spark, sf_dir):
-    moves = F.array(*(F.array(*map(F.lit, s.split(" "))) for _, s, _ in LINES))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.get(moves, (F.col("c_custkey") % len(LINES)).cast("int")).alias("moves"))
-
-
-def _plies(spark, sf_dir):
-    return replay(_games(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey"), "c_custkey", "moves")
-
-
-@query(f"""WITH l(k, name, moves, sans) AS (VALUES {_LINES}), u AS (SELECT k, unnest(moves) AS uci, generate_subscripts(moves, 1)::INT AS ply FROM l)
-SELECT c_custkey, ply, uci FROM customer JOIN u ON c_custkey % {len(LINES)} = k""")
-def q120_replay(spark, sf_dir):
-    """Moves as source and target squares, found by the rules; what is not legal is left out."""
-    return _plies(spark, sf_dir).where("error is null").select("c_custkey", "ply", "uci")
-
-
-@query(f"SELECT c_custkey FROM customer WHERE c_custkey % {len(LINES)} <> 5")
-def q121_valid_games(spark, sf_dir):
-    """Games all of whose moves are legal."""
-    return valid_games(_plies(spark, sf_dir), "c_custkey")
-
-
-@query(f"""SELECT c_custkey, CASE c_custkey % {len(LINES)} WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 6 WHEN 4 THEN 2 ELSE 2 END::INT AS ply,
-CASE c_custkey % {len(LINES)} WHEN 0 THEN 'Ruy Lopez' WHEN 1 THEN 'Open Game' WHEN 2 THEN 'Three Knights of the Gambit' WHEN 3 THEN 'Three Knights of the Gambit' WHEN 4 THEN 'Alekhine' ELSE 'Open Game' END AS name FROM customer""")
-def q122_named_positions(spark, sf_dir):
-    """The deepest position with a name; two orders of moves that reach one position get one name."""
-    lines = [("Open Game", "e4 e5"), ("Ruy Lopez", "e4 e5 Nf3 Nc6 Bb5"), ("Alekhine", "e4 Nf6"), ("Three Knights of the Gambit", "d4 Nf6 c4 e6 Nc3 d5"), ("Queen's Pawn", "d4 d5")]
-    named = named_positions(spark.createDataFrame([(n, m.split(" ")) for n, m in lines], "name string, moves array<string>"), "name", "moves")
-    return deepest_name(_plies(spark, sf_dir), "c_custkey", named)
-
-
-@query(f"""WITH l(k, name, moves, sans) AS (VALUES {_LINES}), c AS (SELECT c_custkey % {len(LINES)} AS line, count(*) AS games FROM customer GROUP BY 1)
-SELECT line::BIGINT AS line, (games * len(list_filter(string_split(sans, ' '), lambda x: contains(x, 'x'))))::BIGINT AS captures, (games * len(moves))::BIGINT AS plies FROM l JOIN c ON line = k""")
-def q123_kinds_of_moves(spark, sf_dir):
-    """Captures by line of play, found by the rules."""
-    rows = _plies(spark, sf_dir).where("error is null")
-    return rows.groupBy((F.col("c_custkey") % len(LINES)).alias("line")).agg(F.sum((F.col("kind") == "capture").cast("long")).alias("captures"), F.count(F.lit(1)).alias("plies"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 'white', 'Main system', 3::INT), (3::BIGINT, 'black', 'Sicilian', 2::INT)) t(number, side, system, moves)")
-def q124_repertoire(spark, sf_dir):
-    """Lines of a repertoire with comments, blank lines and move numbers."""
-    rows = [(1, "white Main system: 1. e4 e5 2. Nf3  # the usual"), (2, "   # nothing"), (3, "black Sicilian: 1. e4 c5")]
-    out = parse_repertoire(spark.createDataFrame(rows, "number long, line string"), "line", F.col("number"))
-    return out.select(F.col("at").alias("number"), "side", "system", F.size("moves").alias("moves"))
-
-
 @query("SELECT l_shipmode, min(l_orderkey * 100 + l_linenumber)::BIGINT AS first FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, l_orderkey, l_linenumber FROM lineitem) GROUP BY 1 ORDER BY 2")
 def q125_first_order(spark, sf_dir):
     """Distinct keys in the order of their first occurrence."""
