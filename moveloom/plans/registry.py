@@ -32,4 +32,4 @@ PAIRINGS = """p AS (SELECT s_nationkey AS a, c_nationkey AS b, CASE l_returnflag
 TREE = GAMES + """, t AS (SELECT k, array_to_string(moves[1:k], ' ') AS prefix, (count(*) FILTER (result = 2))::BIGINT AS white, (count(*) FILTER (result = 1))::BIGINT AS draw, (count(*) FILTER (result = 0))::BIGINT AS black, count(*) AS n
   FROM g, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(moves) >= k GROUP BY ALL)"""
 
-from . import calibration, curve_queries, features, growing, ledgers, live, rating_queries, sampling_queries, sequence_queries, source_queries  # noqa: E402, F401
+from . import calibration, curve_queries, features, growing, ledgers, live, mechanisms, rating_queries, sampling_queries, sequence_queries, source_queries  # noqa: E402, F401
