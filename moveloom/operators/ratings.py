@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import elo_of, expected_score
+from ..sources.folders import written
+from .scans import rank_rows, scan
 
 Z95 = 1.96
 
@@ -49,8 +51,7 @@ def trinomial_llr(wins: Column, draws: Column, losses: Column, elo0: float, elo1
 
 def pair_up(games: DataFrame, opening: str, a_white: str, seq: str, points: str) -> DataFrame:
     """Games of one opening with opposite colours, first come first paired: (opening, pair, a_points)."""
-    turn = F.row_number().over(Window.partitionBy(opening, a_white).orderBy(seq)).cast("long")
-    numbered = games.withColumn("pair", turn)
+    numbered = written(rank_rows(games, [opening, a_white], [F.col(seq)], "pair"))
     white, black = numbered.where(F.col(a_white)), numbered.where(~F.col(a_white))
     return white.select(opening, "pair", F.col(points).alias("_w")).join(black.select(opening, "pair", F.col(points).alias("_b")), [opening, "pair"]).select(opening, "pair", (F.col("_w") + F.col("_b")).alias("a_points"))
 
@@ -74,9 +75,8 @@ def pooled_matches(pairs: DataFrame, match: str, sides: str) -> DataFrame:
 
 
 def running_llr(trials: DataFrame, by: str, order: list[str], points: str, s0: float, s1: float) -> DataFrame:
-    """Normal-model ratio after each trial, from running sums: one sort per group, no self-join."""
-    upto = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = trials.withColumn("k", F.count(F.lit(1)).over(upto)).withColumn("_s", F.sum(points).over(upto)).withColumn("_q", F.sum(F.col(points) * F.col(points)).over(upto))
+    """Normal-model ratio after each trial, from running sums over ranges, so that a group of any size is in many tasks."""
+    run = scan(trials, [by], [F.col(c) for c in order], {"k": F.lit(1).cast("long"), "_s": F.col(points), "_q": F.col(points) * F.col(points)})
     mean = F.col("_s") / F.col("k")
     variance = F.col("_q") / F.col("k") - mean * mean
     value = F.col("k") * (s1 - s0) * (2 * mean - s0 - s1) / (2 * variance)

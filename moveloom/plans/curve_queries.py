@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curves as C
+from ..operators.scans import scan
 from ..sources.tables import curves
 from .registry import CURVES, query
 
@@ -94,4 +95,5 @@ def q51_lane_schedule(spark, sf_dir):
     from ..sources.tables import table
 
     jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderpriority").alias("lane"), F.col("o_orderkey").alias("job"), F.round(F.col("o_totalprice") / 100000.0, 3).alias("hours"))
-    return jobs.withColumn("starts", r(F.sum("hours").over(Window.partitionBy("lane").orderBy("job").rowsBetween(Window.unboundedPreceding, 0)) - F.col("hours")))
+    run = scan(jobs, ["lane"], [F.col("job")], {"upto": F.col("hours")})
+    return run.select("lane", "job", "hours", r(F.col("upto") - F.col("hours")).alias("starts"))

@@ -21,15 +21,16 @@ def _landed(spark, sf_dir):
 def q99_stream_dedupe(spark, sf_dir):
     """Each key of a log once, whichever file brings it."""
     base, schema = _landed(spark, sf_dir)
-    ledger.drain(ledger.tail(spark, f"{base}/in", schema, "event_id"), f"{base}/out", f"{base}/state")
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    ledger.drain_new(ledger.tail(spark, f"{base}/in", schema), f"{base}/out", f"{base}/state", "event_id")
+    return spark.read.schema(schema).parquet(f"{base}/out").select(*schema.names)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS top FROM events GROUP BY 1")
 def q100_stream_fold(spark, sf_dir):
     """A cumulative ledger, folded batch by batch."""
     base, schema = _landed(spark, sf_dir)
-    stream = ledger.tail(spark, f"{base}/in", schema, "event_id")
+    ledger.drain_new(ledger.tail(spark, f"{base}/in", schema), f"{base}/once", f"{base}/seen", "event_id")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/once")
     ledger.fold_into(stream, f"{base}/sums", f"{base}/state", ["event_type"], {"n": "count(1)", "total": "sum(value)", "top": "max(value)"})
     out = ledger.folded(spark, f"{base}/sums", ["event_type"], {"n": "sum(n)", "total": "sum(total)", "top": "max(top)"})
     return out.withColumn("total", F.round("total", 4))
@@ -40,9 +41,9 @@ def q101_stream_static_join(spark, sf_dir):
     """A log enriched from a table."""
     base, schema = _landed(spark, sf_dir)
     static = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    stream = ledger.tail(spark, f"{base}/in", schema, "event_id").join(static, "user_id").select("event_id", "c_mktsegment")
-    ledger.drain(stream, f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    stream = ledger.tail(spark, f"{base}/in", schema).join(static, "user_id").select("event_id", "c_mktsegment")
+    ledger.drain_new(stream, f"{base}/out", f"{base}/state", "event_id")
+    return spark.read.parquet(f"{base}/out").select("event_id", "c_mktsegment")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, CASE WHEN value >= 50 THEN 1.0::DOUBLE WHEN value >= 20 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS x FROM events),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import expected_score
 from ..operators import ratings as R
+from ..operators.scans import scan
 from ..sources.tables import pairings, table
 from .registry import PAIRINGS, query
 
@@ -201,9 +201,9 @@ def q73_residuals(spark, sf_dir):
 def q74_running_tally(spark, sf_dir):
     """Wins and draws of each player so far, game by game."""
     games = pairings(spark, sf_dir)
-    w = Window.partitionBy("a").orderBy("l_orderkey", "l_linenumber", "l_partkey", "b").rowsBetween(Window.unboundedPreceding, 0)
-    run = lambda v: F.sum(F.when(F.col("score") == v, 1).otherwise(0)).over(w).cast("long")
-    return games.select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", run(1.0).alias("wins"), run(0.5).alias("draws"))
+    has = lambda v: F.when(F.col("score") == v, 1).otherwise(0).cast("long")
+    run = scan(games, ["a"], [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "b")], {"wins": has(1.0), "draws": has(0.5)})
+    return run.select("a", "l_orderkey", "l_linenumber", "l_partkey", "b", "wins", "draws")
 
 
 @query(f"""WITH {_PAIRS}, s AS (SELECT count(*) AS pairs, count(DISTINCT opening) AS matches, (count(*) FILTER (a_points = 0))::BIGINT AS bin0, (count(*) FILTER (a_points = 2))::BIGINT AS bin4, avg(a_points / 2) AS score FROM z)

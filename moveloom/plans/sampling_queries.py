@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bands, seeded_order
 from ..operators import sampling as S
+from ..operators.scans import rank_rows
 from ..sources.tables import table
 from .registry import query
 
@@ -38,11 +38,7 @@ def q22_quota_cells(spark, sf_dir):
 def q23_systematic_sample(spark, sf_dir):
     """Every 37th row by rank. Ranks come from counts per range of keys, so no task sees more than its range."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    size = 1 << 12
-    blocked = orders.withColumn("block", F.floor(F.col("o_orderkey") / size))
-    before = blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("block")) - F.col("n")).drop("n")
-    inside = blocked.withColumn("i", F.row_number().over(Window.partitionBy("block").orderBy("o_orderkey")) - 1)
-    placed = inside.join(before, "block").select("o_orderkey", (F.col("i") + F.col("before")).alias("i"))
+    placed = rank_rows(orders, [], [F.col("o_orderkey")], "n").select("o_orderkey", (F.col("n") - 1).alias("i"))
     return S.systematic(placed, F.col("i"), 37).orderBy("i").limit(200).select("o_orderkey")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
+from ..operators.scans import rank_rows
 from ..sources.folders import written
 from ..sources.tables import games, result_white, table
 from .registry import GAMES, TREE, query
@@ -53,10 +54,8 @@ def q05_plies_histogram(spark, sf_dir):
 
 def dictionary(spark, sf_dir):
     """Lines of the tree with enough games, numbered by text; a broadcastable dimension in practice."""
-    from pyspark.sql import Window
-
     lines = tree(spark, sf_dir).where("n >= 5").select("k", "prefix")
-    return lines.withColumn("id", F.row_number().over(Window.orderBy("prefix", "k")).cast("long"))
+    return rank_rows(lines, [], [F.col("prefix"), F.col("k")], "id")
 
 
 @query(f"""WITH {TREE}, d AS (SELECT k, prefix, row_number() OVER (ORDER BY prefix, k) AS id FROM t WHERE n >= 5)
@@ -104,10 +103,8 @@ def q11_occurrence(spark, sf_dir):
 @query(f"WITH {GAMES}, r AS (SELECT game, unnest(moves) AS move, generate_subscripts(moves, 1) AS ply FROM g), d AS (SELECT move, (row_number() OVER (ORDER BY move))::BIGINT AS system FROM (SELECT DISTINCT move FROM r) WHERE move LIKE '%F') SELECT game, arg_max(system, ply) AS system, max(ply)::BIGINT AS ply FROM r JOIN d USING (move) GROUP BY game")
 def q12_last_system(spark, sf_dir):
     """The deepest ply that is in a dictionary decides."""
-    from pyspark.sql import Window
-
     rows = games(spark, sf_dir).select("game", F.posexplode("moves").alias("at", "move"))
-    known = rows.select("move").distinct().where(F.col("move").endswith("F")).withColumn("system", F.row_number().over(Window.orderBy("move")).cast("long"))
+    known = rank_rows(rows.select("move").distinct().where(F.col("move").endswith("F")), [], [F.col("move")], "system")
     best = rows.join(known, "move").groupBy("game").agg(F.max(F.struct("at", "system")).alias("b"))
     return best.select("game", F.col("b.system").alias("system"), (F.col("b.at") + 1).cast("long").alias("ply"))
 

@@ -57,10 +57,13 @@ def stops(lines: DataFrame, key: str, points: str, order: str, s0: float, s1: fl
     return lines.groupBy(key).applyInPandasWithState(update, STOPS, "n long, total double, squares double, stopped boolean", "append", "NoTimeout")
 
 
-def tail(spark: SparkSession, folder: str, schema: T.StructType, key: str, per_batch: int = 4) -> DataFrame:
-    """The lines of a growing folder, each key once; per_batch bounds what is in flight."""
+def tail(spark: SparkSession, folder: str, schema: T.StructType, per_batch: int = 4, key: str | None = None, time: str = "ts") -> DataFrame:
+    """The lines of a growing folder; per_batch bounds what is in flight. With a key each key comes once within a day of event time.
+
+    The day bounds the state; drain_new() drops keys that come again at any distance.
+    """
     lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)
-    return lines.dropDuplicates([key])
+    return lines if key is None else lines.withWatermark(time, "1 day").dropDuplicatesWithinWatermark([key])
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -87,7 +90,7 @@ def drain_new(stream: DataFrame, out: str, checkpoint: str, key: str) -> None:
 
 
 def fold_into(stream: DataFrame, folder: str, checkpoint: str, by: list[str], aggregates: dict[str, str]) -> None:
-    """Partial sums of each batch are appended under the batch's number; a repeated batch overwrites itself."""
+    """Partial sums of each batch are appended under the batch's number; a repeated batch overwrites itself, so each line counts once."""
 
     def write(batch: DataFrame, number: int) -> None:
         sums = batch.groupBy(*by).agg(*(F.expr(e).alias(n) for n, e in aggregates.items()))
