@@ -104,3 +104,17 @@ def highest_bit(bits: Column) -> Column:
 def merged_maps(first: Column, second: Column) -> Column:
     """Keys of both maps; where both have one, the second's value."""
     return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+
+
+def parse_move(text: Column) -> Column:
+    """struct(source, target, promotion) of a move in coordinates: squares from 0 (a1) to 63 (h8), promotion null if there is none; all null if it is no move."""
+    good = text.rlike("^[a-h][1-8][a-h][1-8][qrbn]?$")
+    square = lambda at: (F.ascii(F.substring(text, at, 1)) - 97 + 8 * (F.ascii(F.substring(text, at + 1, 1)) - 49)).cast("int")
+    promotion = F.substring(text, 5, 1)
+    return F.struct(F.when(good, square(1)).alias("source"), F.when(good, square(3)).alias("target"), F.when(good & (promotion != ""), promotion).alias("promotion"))
+
+
+def parse_reference(text: Column) -> Column:
+    """struct(path, ply) of `path@N`; without a number after the last `@`, all of it is the path and ply is null."""
+    number = F.regexp_extract(text, "@([0-9]{1,18})$", 1)
+    return F.struct(F.regexp_replace(text, "@[0-9]{1,18}$", "").alias("path"), F.when(number != "", number.try_cast("long")).alias("ply"))

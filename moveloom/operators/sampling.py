@@ -98,6 +98,19 @@ def weighted_union(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
     return out
 
 
+def last_of(rows: DataFrame, by: Sequence[str], order: Sequence[Column], seen: Column, name: str) -> DataFrame:
+    """The last row of each key by the order, with the least `seen` of all its rows; sorted by that, as keys first came. Aggregates only, before the shuffle too."""
+    rest = [c for c in rows.columns if c not in by]
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    kept = rows.groupBy(*by).agg(F.min(seen).alias(name), last)
+    return kept.select(*by, name, "_last.*").orderBy(name)
+
+
+def quarantined(inputs: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """The inputs that the manifest quarantines, once each, with the number of its entries that name them (reasons)."""
+    return inputs.select(key).distinct().join(manifest.groupBy(key).agg(F.count(F.lit(1)).alias("reasons")), key)
+
+
 def refuse_quarantined(inputs: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     """The inputs, or an error that counts all that the manifest quarantines and lists the first 1000."""
     found = inputs.join(manifest.select(key).distinct(), key, "left_semi").select(key).distinct()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import parse_move, parse_reference
 from ..operators import permute, setkeys, sketches, visits
-from ..sources import exports
+from ..operators.sampling import last_of, quarantined, refuse_quarantined
+from ..sources import exports, sortedbook
 from ..sources.folders import work_folder
 from ..sources.tables import games, table
 from .registry import GAMES, query
@@ -120,3 +122,52 @@ def q151_nested_export(spark, sf_dir):
     base = work_folder(spark)
     table(spark, sf_dir, "orders").select(line.alias("value")).write.text(base)
     return exports.flattened(exports.read_export(spark, base), "me")
+
+
+@query("""WITH e AS (SELECT (l_partkey * 922337203685477 - 4611686018427387904 + l_partkey % 2 * 4611686018427387904)::BIGINT AS key, l_linenumber AS move, l_quantity::INT AS weight, l_orderkey AS learn FROM lineitem),
+w AS (SELECT (p_partkey * 922337203685477 - 4611686018427387904 + p_partkey % 2 * 4611686018427387904)::BIGINT AS key FROM part WHERE p_size < 10)
+SELECT key, move::INT AS move, count(*) AS n, sum(weight)::BIGINT AS weight, sum(learn)::BIGINT AS learn FROM e JOIN w USING (key) GROUP BY ALL""")
+def q152_sorted_book(spark, sf_dir):
+    """Entries written in the order of their keys and looked up for some of these, with what a join would give."""
+    key = lambda c: (F.col(c) * 922337203685477 - (1 << 62) + F.col(c) % 2 * (1 << 62)).cast("long").alias("key")
+    entries = table(spark, sf_dir, "lineitem").select(key("l_partkey"), F.col("l_linenumber").cast("int").alias("move"), F.col("l_quantity").cast("int").alias("weight"), F.col("l_orderkey").cast("long").alias("learn"))
+    book = work_folder(spark)
+    sortedbook.write_book(entries, book)
+    if sortedbook.write_book(entries, book, skip_if_exists=True):
+        raise AssertionError("a finished book is not written again")
+    found = sortedbook.look_up(spark, book, table(spark, sf_dir, "part").where("p_size < 10").select(key("p_partkey")))
+    return found.groupBy("key", "move").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.sum("learn").alias("learn"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P') SELECT c_custkey, count(o_orderkey) AS reasons FROM customer JOIN m ON c_custkey = o_custkey GROUP BY 1""")
+def q153_quarantined(spark, sf_dir):
+    """Inputs that a manifest quarantines, with how often it names them; a build that has one of them is refused."""
+    manifest = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    inputs = table(spark, sf_dir, "customer").select("c_custkey")
+    hits = quarantined(inputs, manifest, "c_custkey")
+    try:
+        refuse_quarantined(inputs, manifest, "c_custkey")
+    except ValueError:
+        return hits
+    raise AssertionError("a build with quarantined inputs was not refused")
+
+
+@query("SELECT user_id, min(event_id) AS first_seen, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
+def q154_last_wins(spark, sf_dir):
+    """The last row of each key, in the order in which keys were first seen."""
+    events = table(spark, sf_dir, "events")
+    return last_of(events, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_id"), "first_seen").select("user_id", "first_seen", "event_type", "value")
+
+
+@query(r"""WITH s AS (SELECT o_orderkey, o_custkey, chr((97 + o_orderkey % 8)::INT) || (1 + o_custkey % 8) || chr((97 + o_custkey % 8)::INT) || (1 + o_orderkey % 8) AS squares, CASE o_orderkey % 5 WHEN 0 THEN 'q' WHEN 1 THEN 'x' ELSE '' END AS tail FROM orders)
+SELECT o_orderkey, CASE WHEN tail <> 'x' THEN (o_orderkey % 8 + 8 * (o_custkey % 8))::INT END AS source, CASE WHEN tail <> 'x' THEN (o_custkey % 8 + 8 * (o_orderkey % 8))::INT END AS target, CASE WHEN tail = 'q' THEN 'q' END AS promotion,
+  'book/c' || squares AS path, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 100 END AS ply FROM s""")
+def q155_parsed_moves(spark, sf_dir):
+    """Moves as squares and promotions, and references to a ply of a file; what is no move or has no ply gives nulls."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    letter = lambda x: F.char((97 + x % 8).cast("int"))
+    squares = F.concat(letter(k), (1 + c % 8).cast("string"), letter(c), (1 + k % 8).cast("string"))
+    tail = F.when(k % 5 == 0, "q").when(k % 5 == 1, "x").otherwise("")
+    reference = F.concat(F.lit("book/c"), squares, F.when(k % 3 > 0, F.concat(F.lit("@"), (k % 100).cast("string"))).otherwise(""))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", parse_move(F.concat(squares, tail)).alias("m"), parse_reference(reference).alias("r"))
+    return rows.select("o_orderkey", "m.source", "m.target", "m.promotion", "r.path", "r.ply")
