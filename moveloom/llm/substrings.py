@@ -42,6 +42,8 @@ WIDTH = 50
 SEED = 24
 #: Bytes of text per bucket of anchors, and anchors per packed row before it is dealt.
 BUCKET_BYTES = 8_000_000
+#: Bytes of texts in a bucket of their table, which a task reads as a whole.
+TEXT_BYTES = 128 << 20
 CHUNK_ANCHORS = 400_000
 #: Bytes of distinct strings of a chunk.
 CHUNK_BYTES = 32_000_000
@@ -89,14 +91,17 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _distinct_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The distinct texts as a table bucketed by key, so that joins on the key leave it in place.
+def _distinct_texts(scratch: Scratch, docs: DataFrame, total: int) -> DataFrame:
+    """The distinct texts, total bytes of them, as a table bucketed by key, so that joins on the key leave it in place.
 
-    Each task sorts its rows by key and sends one text of each, so a group of copies is never gathered.
+    Each task sorts its rows by key and sends one text of each, so a group of copies is never gathered. Buckets are so many times
+    the shuffle's partitions that one holds TEXT_BYTES on average; the files lie in the shared folder with the other tables.
     """
+    spark = scratch.spark
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts *= max(1, -(-total // (parts * TEXT_BYTES)))
     name = f"moveloom_texts_{uuid.uuid4().hex}"
-    docs.groupBy("key").agg(F.first("text").alias("text")).write.bucketBy(parts, "key").format("parquet").saveAsTable(name)
+    docs.groupBy("key").agg(F.first("text").alias("text")).write.bucketBy(parts, "key").format("parquet").option("path", f"{scratch.base}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
@@ -421,7 +426,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, width: int = WIDTH) ->
     ids = scratch.keep(sizes)
     total = ids.agg(F.sum("bytes").alias("b")).first().b or 0
     buckets = int(max(16, total // BUCKET_BYTES))
-    texts = _distinct_texts(spark, docs)
+    texts = _distinct_texts(scratch, docs, total)
     posted = _posted(texts, buckets, width).groupBy("bucket").applyInPandas(_shared, "chunk string, kind int, low binary, place binary, known binary")
     shared = scratch.keep(posted.groupBy("chunk").applyInPandas(_by_text, "key string, shared binary"))
     strings = _strings(texts.join(shared, "key").join(ids.select("key", "least"), "key"), buckets * FINER, width)
