@@ -157,8 +157,12 @@ def _window_hits(words: Column, templates: dict[str, tuple[str, ...]], threshold
     return F.filter(F.transform(starts, hit), lambda h: h["dice"] >= threshold)
 
 
-def _likest(hits: Column) -> Column:
-    """Hits that no likelier hit of another licence overlaps by more than half, nor a much longer one holds."""
+def _likest(hits: DataFrame, longest: int) -> DataFrame:
+    """hits (doc_id, text_key, hit) less those that a likelier hit of another licence overlaps by more than half, or a much longer one holds.
+
+    Windows have at most `longest` words, so what meets one begins in its stretch of so many words or in a neighbour; a
+    text of many notices is compared stretch by stretch.
+    """
 
     def beaten(x: Column, y: Column) -> Column:
         both = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
@@ -168,7 +172,11 @@ def _likest(hits: Column) -> Column:
         longer = (10 * both >= 9 * other) & (4 * own >= 5 * other)
         return (y["license"] != x["license"]) & (holds | (more & half & ~longer))
 
-    return F.filter(hits, lambda x: ~F.exists(hits, lambda y: beaten(x, y)))
+    own = F.floor(F.col("hit.start") / longest)
+    near = hits.distinct().select("doc_id", "text_key", "hit", own.alias("home"), F.explode(F.array(own - 1, own, own + 1)).alias("stretch"))
+    met = near.groupBy("doc_id", "text_key", "stretch").agg(F.collect_list(F.struct("hit", (F.col("home") == F.col("stretch")).alias("own"))).alias("hits"))
+    kept = F.filter("hits", lambda x: x["own"] & ~F.exists("hits", lambda y: beaten(x["hit"], y["hit"])))
+    return met.select("doc_id", "text_key", F.explode(F.transform(kept, lambda x: x["hit"])).alias("hit"))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] = ALL_TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,9 +190,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     # a lambda's variable holds the lower-cased text once for all words
     held = F.exists(F.array(F.lower(body)), lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)))
     texts = docs.where(held)
-    split = texts.select(F.col(doc_id).alias("doc_id"), F.explode_outer(F.array(F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), ""))).alias("words"))
-    hits = split.select("doc_id", F.explode_outer(F.array(_window_hits(F.col("words"), templates, threshold))).alias("hits")).where(F.size("hits") > 0)
-    within_text = hits.select("doc_id", F.explode_outer(_likest(F.col("hits"))).alias("hit")).select("doc_id", F.struct("hit.dice", "hit.license").alias("hit"))
+    split = texts.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("text_key"), F.explode_outer(F.array(F.array_remove(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), ""))).alias("words"))
+    hits = split.select("doc_id", "text_key", F.explode_outer(F.array(_window_hits(F.col("words"), templates, threshold))).alias("hits")).where(F.size("hits") > 0)
+    hits = hits.select("doc_id", "text_key", F.explode_outer("hits").alias("hit"))
+    longest = max(len(re.findall(r"[^\W_]+", text)) for texts_ in templates.values() for text in texts_)
+    within_text = _likest(hits, longest).select("doc_id", F.struct("hit.dice", "hit.license").alias("hit"))
     single = texts.select(F.col(doc_id).alias("doc_id"), F.explode_outer(units).alias("unit"))
     # explode() of one element keeps the filter below from being computed with the set once per condition
     sets = single.select("doc_id", F.explode_outer(F.array(bigrams(F.col("unit")))).alias("set")).withColumn("n", F.size("set"))
