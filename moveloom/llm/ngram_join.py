@@ -16,9 +16,9 @@ number of sets that have them, rare ones first, then by hash.
 4. Links are contracted to components after each round. Then postings whose nodes all lie in one component
    have nothing left to say; in all others each pair across two components that may still link is counted
    as in 3, and components are contracted once more. So no link between different components is missed, and
-   copies are never expanded into all their pairs. An n-gram that more than OPEN_NODES such nodes post is
-   split first: of two sets that link and share it as the first of their n-grams, both also have a second
-   one in common within one place more of their prefixes, so these nodes meet under both together.
+   copies are never expanded into all their pairs. At an n-gram that more than OPEN_NODES
+   such nodes post, a pair becomes a row only if the n-gram is the first that both post and what the prefixes
+   share leaves a link possible.
 
 An n-gram that several sets of one chunk have goes to its range once; the sets stay with the chunk. So what
 a very common n-gram sends does not grow with its documents but with the chunks. A chunk sends a range one
@@ -57,8 +57,8 @@ CHUNK_SETS = 60_000
 RANGE_DOCS = 2_500
 #: Parts of the components among which the two nodes that lead an n-gram are found.
 LEADER_PARTS = 16
-#: Nodes of several components that may post one n-gram before it is split by a second one.
-OPEN_NODES = 100
+#: Nodes that may post an open n-gram before its pairs are held against what their prefixes share.
+OPEN_NODES = 16
 NO_ID = -(1 << 63)
 _P = np.uint64(0x9DDFEA08EB382D69)
 
@@ -255,8 +255,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     single = wanted.select("node", "order", "cuts", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
     begin, end = F.get("cuts", F.col("fragment")), F.get("cuts", F.col("fragment") + 1)
     parts = single.where(end > begin).select("node", "fragment", F.slice("order", begin + 1, end - begin).alias("grams"))
-    cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
-    left = cut.join(parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), ["a", "fragment"])
+    left = pairs.join(parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a")  # pairs as they are: a table eight times its files would be broadcast
     both = left.join(parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b")), ["b", "fragment"])
     partial = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
@@ -298,36 +297,44 @@ def _sorted_pair() -> list:
     return [F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("size_a", "size_b"), ("size_b", "size_a"))]
 
 
-def _across(scratch: Scratch, sets: DataFrame, posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components that share a posted n-gram and may link."""
-    named = posted.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _across(scratch: Scratch, posted: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different components that share a posted n-gram and may link.
 
-    def open_(rows: DataFrame, keys: list[str]) -> DataFrame:
-        several = rows.groupBy(*keys).agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("nodes")).where("least <> most")
-        return rows.join(scratch.keep(several.select(*keys, "nodes")), keys)  # a join of two tables, whose large keys can be split
-
-    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
-        x, y = (rows.select(*(F.col(k).alias(f"{k}_{s}") for k in keys), *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component"))) for s in "ab")
-        x, y = x.withColumn("a", F.col("node_a")), y.withColumn("b", F.col("node_b"))
-        same = F.col(f"{keys[0]}_a") == F.col(f"{keys[0]}_b")
-        for k in keys[1:]:
-            same = same & (F.col(f"{k}_a") == F.col(f"{k}_b"))
-        return x.join(y, same & (F.col("component_a") != F.col("component_b")) & (F.col("node_a") < F.col("node_b")) & _possible(percent)).select("a", "b", "size_a", "size_b")
-
-    found = scratch.keep(open_(named, ["gram"]))
-    pairs = met(found.where(F.col("nodes") <= OPEN_NODES), ["gram"])
-    many = found.where(F.col("nodes") > OPEN_NODES)
-    if percent <= 50:  # such sets may have but one n-gram in common
-        pairs = pairs.union(met(many, ["gram"]))
-    elif many.limit(1).count():
-        # a pair whose shared n-grams in the prefixes are all in `many` has a second one within one place more
-        alone = F.col("size") - F.size("order")
-        longer = F.slice("order", F.col("pos") - alone + 2, F.greatest(_prefix(percent) + 1 - (F.col("pos") - alone + 1), F.lit(0)))
-        seconds = many.join(sets.select("node", "order"), "node").select("gram", "node", "size", "pos", "component", F.explode(longer.cast("array<long>")).alias("gram2"))
-        pairs = pairs.union(met(scratch.keep(open_(seconds, ["gram", "gram2"])), ["gram", "gram2"]))
+    An n-gram is open if nodes of several components post it, as do the two of each pair wanted. At one that more than OPEN_NODES
+    nodes post, a pair becomes a row only if it is their first one in common and what they share in their prefixes and the
+    longer of their rests are enough; most of what sets differ in lies in the prefixes, so few pairs that do not link pass.
+    Nodes of the component that posts an n-gram most often are never held against one another.
+    """
+    named = posted.select("gram", "node", "size", "pos").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    shares = named.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = shares.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = scratch.keep(named.join(scratch.keep(several.select("gram", F.col("main.component").alias("main"), "nodes")), "gram"))  # a join of two tables, whose large keys can be split
+    rows = found.withColumn("is_main", F.col("component") == F.col("main"))
+
+    def met(rows: DataFrame, more: list[str], enough: Column) -> DataFrame:
+        x, y = (rows.select("gram", "is_main", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "pos", "component", *more))) for s in "ab")
+        x = x.where("not is_main").drop("is_main").withColumn("a", F.col("node_a"))
+        y = y.withColumn("b", F.col("node_b"))
+        other = (F.col("component_a") != F.col("component_b")) & (F.col("is_main") | (F.col("node_a") < F.col("node_b")))
+        return x.join(y.withColumnRenamed("gram", "gram_b"), (F.col("gram") == F.col("gram_b")) & other & _possible(percent) & enough).select(*_sorted_pair())
+
+    pairs = met(rows.where(F.col("nodes") <= OPEN_NODES), [], F.lit(True))
+    many = rows.where(F.col("nodes") > OPEN_NODES)
+    if many.limit(1).count():
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x["gram"])
+        posts = found.groupBy("node").agg(listed.alias("open"), F.max("nodes").alias("most")).where(F.col("most") > OPEN_NODES)
+        pairs = pairs.union(met(scratch.keep(many.join(posts.select("node", "open"), "node")), ["open"], _enough(percent)))
     return pairs.distinct()
 
 
+def _enough(percent: int) -> Column:
+    """The n-gram is the first that both prefixes have, and these have enough in common: of what a pair shares, all before the end of the
+    prefix that ends first is in both prefixes, and the rest is behind that prefix in its set."""
+    both = F.array_intersect("open_a", "open_b")
+    behind = F.greatest(*(F.ceil(F.lit(percent) * F.col(s) / F.lit(100.0)) - 1 for s in ("size_a", "size_b")))
+    return (F.get(both, F.lit(0)) == F.col("gram")) & ((100 + percent) * (F.size(both) + behind) >= percent * (F.col("size_a") + F.col("size_b")))
+
+
 def _prefix(percent: int) -> Column:
     """How many of a set's n-grams of several sets are in its prefix; n-grams of one set stand first in the order and are passed over."""
     return (F.col("size") - F.ceil(F.lit(percent) * F.col("size") / F.lit(100.0)) + 1 - (F.col("size") - F.size("order"))).cast("int")
@@ -385,7 +392,7 @@ def join_classes(spark: SparkSession, docs: DataFrame, n: int = N, percent: int
     labels = spark.createDataFrame([], "node long, component long")
     links = tried = None
     for turn in range(ROUNDS + 1):
-        pairs = _led(scratch, posted, labels, percent) if turn < ROUNDS else _across(scratch, sets, posted, labels, percent)
+        pairs = _led(scratch, posted, labels, percent) if turn < ROUNDS else _across(scratch, posted, labels, percent)
         pairs = scratch.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
             continue

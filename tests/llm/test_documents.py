@@ -69,6 +69,29 @@ def test_jaccard_of_common_ngrams(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(classes_by_hand(rows, 2, percent))
 
 
+def test_near_misses_make_few_pairs(spark, monkeypatch):
+    """Variants of one text, most of them just too far apart to link, are not made into all their pairs."""
+    from random import Random
+
+    rng, made, across = Random(3), [], ngram_join._across
+    rows = []
+    for i in range(120):
+        words = [f"w{k}" for k in range(400)]
+        for k in rng.sample(range(400), 12):
+            words[k] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+
+    def counted(*args):
+        made.append(across(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    got = ngram_join.join_classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(classes_by_hand(rows, 4, 85))
+    assert made[0].count() <= 2000  # of 7140
+
+
 def test_packed_ngrams():
     import numpy as np
 
