@@ -101,6 +101,12 @@ def highest_bit(bits: Column) -> Column:
     return F.length(F.bin(bits)) - 1
 
 
+def wrapped(x: Column) -> Column:
+    """The lower 64 bits of a whole decimal, as a signed number."""
+    half, whole = F.lit(str(1 << 63)).cast("decimal(20,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return (F.pmod(x + half, whole) - half).cast("long")
+
+
 def merged_maps(first: Column, second: Column) -> Column:
     """Keys of both maps; where both have one, the second's value."""
     return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_move, parse_reference
+from ..functions.scalars import parse_move, parse_reference, wrapped
 from ..operators import permute, setkeys, sketches, visits
 from ..operators.sampling import last_of, quarantined, refuse_quarantined
 from ..sources import exports, sortedbook
@@ -129,7 +129,8 @@ w AS (SELECT (p_partkey * 922337203685477 - 4611686018427387904 + p_partkey % 2
 SELECT key, move::INT AS move, count(*) AS n, sum(weight)::BIGINT AS weight, sum(learn)::BIGINT AS learn FROM e JOIN w USING (key) GROUP BY ALL""")
 def q152_sorted_book(spark, sf_dir):
     """Entries written in the order of their keys and looked up for some of these, with what a join would give."""
-    key = lambda c: (F.col(c) * 922337203685477 - (1 << 62) + F.col(c) % 2 * (1 << 62)).cast("long").alias("key")
+    # keys beyond 64 bits, of parts from 10,001 on, keep their lower 64, which are as many different ones
+    key = lambda c: wrapped(F.col(c).cast("decimal(20,0)") * F.lit(922337203685477) - F.lit(1 << 62) + (F.col(c) % 2).cast("decimal(1,0)") * F.lit(1 << 62)).alias("key")
     entries = table(spark, sf_dir, "lineitem").select(key("l_partkey"), F.col("l_linenumber").cast("int").alias("move"), F.col("l_quantity").cast("int").alias("weight"), F.col("l_orderkey").cast("long").alias("learn"))
     book = work_folder(spark)
     sortedbook.write_book(entries, book)

@@ -85,3 +85,16 @@ def test_unfinished_and_odd_books(spark, tmp_path):
     assert sortedbook.write_book(odd, f"{tmp_path}/b")
     assert sorted(map(tuple, sortedbook.read_book(spark, f"{tmp_path}/b").collect())) == [(0, 0, 65535, 0), (5, 2, 0, 3)]
     assert sortedbook.look_up(spark, f"{tmp_path}/b", odd.select("key")).where(F.col("key") == 5).count() == 1
+
+
+def test_query_with_keys_beyond_64_bits(spark, tmp_path):
+    """Parts from 10,001 on, as tables from a tenth of scale 1 on have them: the entries of a join by part."""
+    from moveloom.plans.mechanisms import q152_sorted_book
+
+    parts = [0, 1, 2, 10000, 10001, 15535, 20000, 1200001]
+    lines = spark.createDataFrame([(p, k % 3, float(k), 10 * p + k) for p in parts for k in range(1, 6)], "l_partkey long, l_linenumber long, l_quantity double, l_orderkey long")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, 1 + p % 2 * 20) for p in parts], "p_partkey long, p_size long").write.parquet(f"{tmp_path}/part.parquet")
+    want = lines.where("l_partkey % 2 = 0").groupBy("l_partkey", "l_linenumber").agg(F.count(F.lit(1)), F.sum("l_quantity").cast("long"), F.sum("l_orderkey")).collect()
+    signed = lambda p: (p * 922337203685477 - (1 << 62) + (1 << 63)) % (1 << 64) - (1 << 63)
+    assert sorted((r.key, r.move, r.n, r.weight, r.learn) for r in q152_sorted_book(spark, str(tmp_path)).collect()) == sorted((signed(r[0]), *r[1:]) for r in want)
