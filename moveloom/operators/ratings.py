@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import elo_of, expected_score
 from ..sources.folders import written
-from .scans import rank_rows, scan
+from .scans import rank_rows, scan, tasks_for
 
 Z95 = 1.96
 
@@ -52,8 +52,13 @@ def trinomial_llr(wins: Column, draws: Column, losses: Column, elo0: float, elo1
 def pair_up(games: DataFrame, opening: str, a_white: str, seq: str, points: str) -> DataFrame:
     """Games of one opening with opposite colours, first come first paired: (opening, pair, a_points)."""
     numbered = written(rank_rows(games, [opening, a_white], [F.col(seq)], "pair"))
-    white, black = numbered.where(F.col(a_white)), numbered.where(~F.col(a_white))
-    return white.select(opening, "pair", F.col(points).alias("_w")).join(black.select(opening, "pair", F.col(points).alias("_b")), [opening, "pair"]).select(opening, "pair", (F.col("_w") + F.col("_b")).alias("a_points"))
+    tasks = tasks_for(numbered)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select(opening, "pair", F.col(points).alias(name))
+        return rows.repartition(tasks, opening, "pair") if tasks else rows
+
+    return side(numbered.where(F.col(a_white)), "_w").join(side(numbered.where(~F.col(a_white)), "_b"), [opening, "pair"]).select(opening, "pair", (F.col("_w") + F.col("_b")).alias("a_points"))
 
 
 def pentanomial(pairs: DataFrame, *by: str) -> DataFrame:
@@ -67,6 +72,7 @@ def pentanomial(pairs: DataFrame, *by: str) -> DataFrame:
 
 def pooled_matches(pairs: DataFrame, match: str, sides: str) -> DataFrame:
     """Pentanomial of all pairs (a_points) of several matches; matches of other sides than the first's are an error."""
+    pairs = written(pairs)
     first = pairs.agg(F.min(sides).alias("low"), F.max(sides).alias("high")).first()
     if first.low != first.high:
         raise ValueError(f"these matches are not between the same sides: {first.low}, {first.high}")

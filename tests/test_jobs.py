@@ -122,3 +122,17 @@ def test_scan_over_ranges(spark):
         assert got[g, k] == running[g]
     numbers = scans.rank_rows(df, ["g"], [F.col("k").desc()], "n").where("g = 'big'").orderBy("n").collect()
     assert [r.n for r in numbers] == list(range(1, len(numbers) + 1)) and [r.k for r in numbers] == sorted((r.k for r in numbers), reverse=True)
+
+
+def test_tasks_of_scans_do_not_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(scans, "RANGE_ROWS", 50)
+    df = spark.range(4000).select(F.lit("one").alias("g"), F.col("id").alias("k"))
+    out = scans.scan(df, ["g"], [F.col("k")], {"total": F.col("k")}).withColumn("task", F.spark_partition_id())
+    assert out.where("total <> k * (k + 1) / 2").count() == 0 and out.count() == 4000
+    assert max(r["count"] for r in out.groupBy("task").count().collect()) <= 400
+    from moveloom.operators import ratings
+
+    games = spark.range(4000).select(F.lit("one").alias("opening"), (F.col("id") % 2 == 0).alias("white"), F.col("id").alias("seq"), (F.col("id") / 4000).alias("points"))
+    pairs = ratings.pair_up(games, "opening", "white", "seq", "points").withColumn("task", F.spark_partition_id())
+    assert {r.pair: r.a_points for r in pairs.collect()} == {k + 1: 2 * k / 4000 + (2 * k + 1) / 4000 for k in range(2000)}
+    assert max(r["count"] for r in pairs.groupBy("task").count().collect()) <= 200
