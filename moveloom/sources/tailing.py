@@ -2,7 +2,8 @@
 
 An offset is a byte for each file. A batch ends behind the last line end that a file has when it is planned, so a line
 that is still being written is not read; it comes with the batch after its end was written. A file's new bytes are cut into
-pieces of `splitBytes`; a piece has the lines that start in it, so pieces are read by as many tasks.
+pieces of `splitBytes`, or of more where a batch would have more than MOST_PIECES of them; a piece has the lines that start in
+it, so pieces are read by as many tasks.
 
 Defined cases: files may appear at any time; one that is gone or shorter than its offset has nothing new until it is
 longer; empty lines are lines; bytes that are no UTF-8 become replacement characters; a line may be longer than a piece.
@@ -11,6 +12,7 @@ longer; empty lines are lines; bytes that are no UTF-8 become replacement charac
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -22,6 +24,8 @@ from .stores import files_of, store_of
 SCHEMA = T.StructType([T.StructField("file", T.StringType()), T.StructField("position", T.LongType()), T.StructField("value", T.StringType())])
 _BLOCK = 1 << 16
 _ROWS = 5000
+#: Pieces of a batch, beside one for each file.
+MOST_PIECES = 400
 
 
 def whole_lines(path: str, known: int, size: int, store=None) -> int:
@@ -62,9 +66,11 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[Piece]:
         out = []
+        fresh = sum(max(0, last - start.get(path, 0)) for path, last in end.items())
+        split = max(self.split, -(-fresh // MOST_PIECES))
         for path, last in sorted(end.items()):
             begin = start.get(path, 0)
-            out += [Piece(path, a, min(last, a + self.split), a == begin) for a in range(begin, last, self.split)]
+            out += [Piece(path, a, min(last, a + split), a == begin) for a in range(begin, last, split)]
         return out
 
     def read(self, partition: Piece) -> Iterator:
@@ -142,13 +148,15 @@ def write_lines(lines: DataFrame, folder: str) -> int:
         name = out = None
         total = 0
         for batch in batches:
-            for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for file, group in groupby(rows, lambda r: r[0]):
                 if file != name:
                     if out:
                         out.close()
                     name, out = file, store.open_output_stream(f"{base}/{file}")
-                out.write(line.encode())
-                total += len(line.encode())
+                raw = "".join(line for _, line in group).encode()
+                out.write(raw)
+                total += len(raw)
         if out:
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["bytes"])

@@ -130,3 +130,15 @@ def test_empty_folders(spark, tmp_path):
     assert stores.files_of(f"{tmp_path}/nothing") == []
     with pytest.raises(Exception, match="no Parquet file"):
         rowgroups.read_groups(spark, str(tmp_path)).count()
+
+
+def test_large_batches_have_bounded_pieces():
+    """Pieces grow with what is new, so that a large log is not read by a task for each small piece of it."""
+    reader = tailing.TailReader({"path": "/nowhere", "splitBytes": "100"})
+    few = reader.partitions({"a": 50}, {"a": 350})
+    assert [(p.begin, p.end, p.first) for p in few] == [(50, 150, True), (150, 250, False), (250, 350, False)]
+    many = reader.partitions({"a": 7}, {"a": 10_000_007, "b": 3_000_001})
+    assert len(many) <= tailing.MOST_PIECES + 2
+    for name, begin, end in (("a", 7, 10_000_007), ("b", 0, 3_000_001)):
+        own = [p for p in many if p.path == name]
+        assert own[0].begin == begin and own[-1].end == end and all(x.end == y.begin for x, y in zip(own, own[1:], strict=False))
