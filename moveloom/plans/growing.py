@@ -97,7 +97,7 @@ def q143_queue_states(spark, sf_dir):
     log = events.select((F.col("user_id") * 10 + F.floor(F.dayofmonth("ts") / 4)).alias("job"), F.col("event_id").alias("number"), what.alias("what"), F.col("ts").cast("timestamp").alias("ts"))
     base, middle = work_folder(spark), log.agg(F.expr("timestamp_millis(percentile_approx(unix_millis(ts), 0.5))").alias("m")).first().m
     for part in (F.col("ts") <= F.lit(middle), F.col("ts") > F.lit(middle)):
-        ledger.land_in_order(log.where(part), f"{base}/in", "ts", 2)
-        lines = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+        ledger.land_part(log.where(part), f"{base}/in")
+        lines = spark.readStream.schema(log.schema).json(f"{base}/in")
         queue.run(queue.transitions(lines, _RULES), f"{base}/out", f"{base}/state")
     return queue.states(spark.read.schema(queue.TRANSITIONS).parquet(f"{base}/out")).select("job", "state", "attempts", "spent")

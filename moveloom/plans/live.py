@@ -56,7 +56,7 @@ def q128_stream_stops(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", points.alias("x"))
     base, middle = work_folder(spark), table(spark, sf_dir, "events").agg(F.median("event_id").alias("m")).first().m
     for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
-        ledger.land_in_order(events.where(part), f"{base}/in", "event_id", 2)
-        lines = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+        ledger.land_part(events.where(part), f"{base}/in")
+        lines = spark.readStream.schema(events.schema).json(f"{base}/in")
         ledger.drain(ledger.stops(lines, "user_id", "x", "event_id", 0.4, 0.6, 10), f"{base}/out", f"{base}/state")
     return spark.read.schema(ledger.STOPS).parquet(f"{base}/out").select("key", "stopped_at")

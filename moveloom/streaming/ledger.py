@@ -16,14 +16,9 @@ def land(rows: DataFrame, folder: str, files: int) -> None:
     rows.repartition(files).write.mode("append").json(folder)
 
 
-def land_in_order(rows: DataFrame, folder: str, order: str, files: int) -> None:
-    """Write rows as files that hold the order's ranges one after the other; a stream takes up older files first."""
-    from pyspark.sql import Window
-
-    place = F.ntile(files).over(Window.orderBy(order))  # of a small landing; a log lands in order by itself
-    placed = rows.withColumn("_file", place)
-    for k in range(1, files + 1):
-        placed.where(F.col("_file") == k).drop("_file").coalesce(1).sortWithinPartitions(order).write.mode("append").json(folder)
+def land_part(rows: DataFrame, folder: str) -> None:
+    """Append a part of a log as JSON files, one for each of its tasks; a stream that runs after each part takes the parts in order."""
+    rows.write.mode("append").json(folder)
 
 
 STOPS = "key long, stopped_at long, llr double"

@@ -61,3 +61,18 @@ def test_budgets():
     assert queue.stopped(queue.Job("running", 0, 100_000, 0, 1), RULES, 20_001)[0].state == "failed"
     assert queue.stopped(queue.Job("running", 0, 100_000, 0, 1), RULES, 20_000)[1] is None
     assert queue.step(queue.Job("done"), RULES, "start", 9)[0].state == "done"
+
+
+@pytest.mark.parametrize("name", ["q128_stream_stops", "q143_queue_states"])
+def test_parts_land_in_many_files_and_one_batch_each(spark, monkeypatch, tmp_path, name):
+    """No part of a log passes through one task, and states are read and written once for each part."""
+    import os
+
+    from moveloom.plans import growing, live, registry
+
+    module = live if name.startswith("q128") else growing
+    monkeypatch.setattr(module, "work_folder", lambda _: str(tmp_path))
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(6).write.parquet(f"{tmp_path}/sf/events.parquet")
+    assert registry.QUERIES[name](spark, f"{tmp_path}/sf").count() >= 0
+    assert len([f for f in os.listdir(f"{tmp_path}/in") if f.startswith("part-")]) >= 8
+    assert len([f for f in os.listdir(f"{tmp_path}/state/commits") if f.isdigit()]) <= 4
