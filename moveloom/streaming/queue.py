@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -76,61 +76,66 @@ class Machine(StatefulProcessor):
         self.history = handle.getListState("history", "what string")
 
     def _job(self) -> Job:
-        return Job(*self.value.get()) if self.value.exists() else Job()
+        held = self.value.get()
+        return Job(*held) if held is not None else Job()
 
     def _moved(self, before: Job, after: Job, at: int, wrong: str | None, key: Any, out: list) -> Job:
         if after.number != before.number:
             if wrong:
                 self.history.appendValue((wrong,))
             notes = [x[0] for x in self.history.get()] if after.state in FINAL and self.history.exists() else []
-            out.append((int(key[0]), after.number, at, after.state, after.attempts, after.spent, "; ".join(notes) or None))
+            out.append(_ROW(int(key[0]), after.number, at, after.state, after.attempts, after.spent, "; ".join(notes) or None))
         return after
 
-    def _keep(self, job: Job) -> None:
-        self.value.update(tuple(job))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if job.state == "running":
-            self.handle.registerTimer(job.limit(self.rules) + 1)
-        if job.state in FINAL:
+    def _keep(self, before: Job, job: Job, timers: list[int]) -> None:
+        """Write what changed; each call is a message to the JVM."""
+        if job != before:
+            self.value.update(tuple(job))
+        wanted = [job.limit(self.rules) + 1] if job.state == "running" else []
+        for timer in timers:
+            if timer not in wanted:
+                self.handle.deleteTimer(timer)
+        for timer in wanted:
+            if timer not in timers:
+                self.handle.registerTimer(timer)
+        if job.state in FINAL and before.state not in FINAL:
             self.history.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        job, out = self._job(), []
-        events = pd.concat([pdf[["at", "number", "what"]] for pdf in rows]).sort_values(["at", "number"])
-        for at, _, what in events.itertuples(index=False):
+        job = before = self._job()
+        if before.state in FINAL:
+            return iter(())
+        out: list = []
+        for at, _, what in sorted((r.at, r.number, r.what) for r in rows):
             if job.state in FINAL:
                 break
             limit = job.limit(self.rules)
-            after, wrong = stopped(job, self.rules, int(at))
+            after, wrong = stopped(job, self.rules, at)
             job = self._moved(job, after, limit, wrong, key, out)
-            after, wrong = step(job, self.rules, what, int(at))
-            job = self._moved(job, after, int(at), wrong, key, out)
-        self._keep(job)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+            after, wrong = step(job, self.rules, what, at)
+            job = self._moved(job, after, at, wrong, key, out)
+        # a running job has the one timer behind its limit
+        self._keep(before, job, [before.limit(self.rules) + 1] if before.state == "running" else [])
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        job, out = self._job(), []
-        limit = job.limit(self.rules)
-        after, wrong = stopped(job, self.rules, int(expiredTimerInfo.getExpiryTimeInMs()))
-        self._keep(self._moved(job, after, limit, wrong, key, out))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        before, out = self._job(), []
+        limit = before.limit(self.rules)
+        after, wrong = stopped(before, self.rules, int(expiredTimerInfo.getExpiryTimeInMs()))
+        self._keep(before, self._moved(before, after, limit, wrong, key, out), list(self.handle.listTimers()))
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
-_COLUMNS = [c.split(" ")[0] for c in TRANSITIONS.split(", ")]
+_ROW = Row(*(c.split(" ")[0] for c in TRANSITIONS.split(", ")))
 
 
 def transitions(events: DataFrame, rules: Rules, delay: str = "1 minute") -> DataFrame:
     """A stream (job, number, what, ts) -> every change of a job's state; events later than the delay are passed over."""
     placed = events.withWatermark("ts", delay).select("job", "number", "what", F.unix_millis("ts").alias("at"), "ts")
-    return placed.groupBy("job").transformWithStateInPandas(Machine(rules), TRANSITIONS, "Append", "EventTime")
+    return placed.groupBy("job").transformWithState(Machine(rules), TRANSITIONS, "Append", "EventTime")
 
 
 def run(stream: DataFrame, out: str, checkpoint: str) -> None:
