@@ -43,12 +43,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     classes = ngram_join.join_classes(spark, keyed.select(F.col(key).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     rows = classes.groupBy(F.col("doc_id").alias(key)).agg(F.first("component_id").alias("component"), F.count(F.lit(1)).alias("n"))
     ids = keyed.select(key, F.col("doc_id").alias("id")).distinct()
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", key, "n")).alias("first")
-    chosen = Scratch(spark).keep(rows.join(ids, key).groupBy("component").agg(first).select(f"first.{key}", "first.n"))
+    scratch = Scratch(spark)
+    members = scratch.keep(rows.join(ids, key))
     del classes, rows
     free_shuffles(spark)
-    kept = keyed.join(chosen.select(key), key, "left_semi")
-    if chosen.where("n > 1").limit(1).count():  # rows equal in id and text
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", key)).alias("first")
+    groups = scratch.keep(members.groupBy("component").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1").select("component", F.col(f"first.{key}").alias("stays")))
+    gone = scratch.keep(members.join(groups, "component").where(F.col(key) != F.col("stays")).select(key))
+    free_shuffles(spark)
+    kept = keyed.join(gone, key, "left_anti")  # what goes is a small part of what stays, so texts are shuffled only where even that is too much to broadcast
+    if members.where("n > 1").limit(1).count():  # rows equal in id and text
         kept = kept.dropDuplicates([key])
     return kept.select(docs.columns)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -64,6 +66,37 @@ def test_survivors_are_rows_not_ids(spark):
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
 
 
+def written(spark) -> int:
+    """Bytes of the tables in the shared folder."""
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return sum(p.stat().st_size for p in root.rglob("*.parquet") if p.is_file())
+
+
+def test_quality_rules_write_no_texts(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(500)) if i % 9 else "too short", f"s{i % 3}") for i in range(300)]
+    before = written(spark)
+    kept = P.drop_low_quality(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(300) if i % 9}
+    assert written(spark) - before < 100_000  # the texts have some 1.5 MB
+
+
+def test_survivors_are_not_shuffled_by_key(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(12))) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(40)] + [(4000, rows[7][1] + " end")]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")  # less than the keys of what stays, more than those of what goes
+    try:
+        kept = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        ids = sorted(r.doc_id for r in kept.collect())
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert ids == list(range(3000))
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_empty_table(spark):
     docs = empty_docs(spark)
     for _, stage in P.STAGES:
